@@ -104,9 +104,9 @@ def phrase_matches(s: Shard, q: Queries) -> tuple[np.ndarray, np.ndarray]:
             break
         off = order[win, k]
         want = q.term[win, off]
-        ok = (start >= 0) & (start + off < len(s.rank))
+        inside = (start >= 0) & (start + off < len(s.rank))
         # A position is in the term's list exactly if the term stands there.
-        ok &= (want < 0) | (s.rank[np.where(ok, start + off, 0)] == want)
+        ok = (want < 0) | (inside & (s.rank[np.where(inside, start + off, 0)] == want))
         win, start = win[ok], start[ok]
     last = np.searchsorted(s.first, start, side="right")
     ok = (start >= 0) & (start + q.width[win] <= s.first[np.minimum(last, len(s.first) - 1)])

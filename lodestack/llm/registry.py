@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bpe, decontaminate
 
 QUERIES = {
+    "op9_bpe_round_trip": bpe.query,
     "op10_decontaminate": decontaminate.query,
 }
 
