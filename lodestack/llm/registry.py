@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, secrets
 
 QUERIES = {
+    "op6_secret_scan": secrets.query,
     "op9_bpe_round_trip": bpe.query,
     "op10_decontaminate": decontaminate.query,
 }
