@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, secrets
+from . import bpe, decontaminate, langid, secrets, token_counts
 
 QUERIES = {
+    "op3_language_id": langid.query,
+    "op7_token_counts": token_counts.query,
     "op6_secret_scan": secrets.query,
     "op9_bpe_round_trip": bpe.query,
     "op10_decontaminate": decontaminate.query,
