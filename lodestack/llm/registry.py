@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, secrets, token_counts
+from . import bpe, decontaminate, langid, near_dup, quality, secrets, token_counts
 
 QUERIES = {
+    "op2_quality_rules": quality.query,
     "op3_language_id": langid.query,
     "op7_token_counts": token_counts.query,
+    "op4_near_dup": near_dup.query,
     "op6_secret_scan": secrets.query,
     "op9_bpe_round_trip": bpe.query,
     "op10_decontaminate": decontaminate.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": quality.ORACLE_SQL,
+}
