@@ -70,15 +70,18 @@ class Words:
         """64-bit hash of each word."""
         if not len(self):
             return np.zeros(0, np.uint64)
-        n = len(self.buf)
-        place = np.arange(n, dtype=np.int64) - np.repeat(self.start, self.end + 1 - self.start)
-        if place.max() >= len(_POWER):
-            power = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
-        else:
-            power = _POWER
-        value = _BYTE[self.buf]
-        value *= power[place]
-        return mix(np.add.reduceat(value, self.start))
+        out = np.empty(len(self), np.uint64)
+        # In blocks of about a megabyte, or one word.
+        cut = np.unique(np.concatenate((np.searchsorted(self.start, np.arange(0, len(self.buf), 1 << 20)), [len(self)])))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            start, end = self.start[a:b], self.end[a:b]
+            place = np.arange(start[0], end[-1] + 1) - np.repeat(start, end + 1 - start)
+            longest = int((end - start).max()) + 1
+            power = _POWER if longest <= len(_POWER) else np.cumprod(np.full(longest, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
+            value = _BYTE[self.buf[start[0] : end[-1] + 1]]
+            value *= power[place]
+            out[a:b] = np.add.reduceat(value, start - start[0])
+        return mix(out)
 
     def bytes_of(self) -> bytes:
         return self.buf.tobytes()
