@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, near_dup, quality, secrets, substring_dedup, token_counts
+from . import bpe, decontaminate, langid, language_model, near_dup, quality, secrets, substring_dedup, token_counts
 
 QUERIES = {
+    "op8_language_model": language_model.query,
     "op1_substring_dedup": substring_dedup.query,
     "op2_quality_rules": quality.query,
     "op3_language_id": langid.query,
