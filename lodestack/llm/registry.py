@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, language_model, near_dup, quality, secrets, substring_dedup, token_counts
+from . import bpe, decontaminate, langid, language_model, near_dup, quality, secrets, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op5_warc_index": warc.query,
     "op8_language_model": language_model.query,
     "op1_substring_dedup": substring_dedup.query,
     "op2_quality_rules": quality.query,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc_index": warc.ORACLE_SQL,
     "op2_quality_rules": quality.ORACLE_SQL,
 }
