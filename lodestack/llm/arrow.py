@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 # White space that ends a word, 0x20 and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
@@ -137,6 +138,7 @@ def append_columns(
     ``keep``: columns of ``df`` to carry along (all by default). A carried
     column that has the name of a new one gives way to it.
     """
+    bound_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     taken = {f.name.lower() for f in new}
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in taken]
@@ -153,6 +155,17 @@ def append_columns(
     return source.mapInArrow(run, schema)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches by bytes as well as rows: ten thousand long texts are much for a worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(spark.conf.get(name).rstrip("b"))
+    except ValueError:
+        return  # set by the user, with a unit
+    if now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -171,6 +184,7 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage; lost executors cost nothing that was written.
     """
+    bound_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

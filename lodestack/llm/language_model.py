@@ -44,6 +44,8 @@ from .arrow import LOWER, SPACE, mix, slices, split_words, stash, texts_of
 from .langid import distinct
 
 DEPTH = 4
+#: Text worked on at once.
+SLICE = 1 << 20
 EDGE = 0xFF  # stands before and after a text; no byte of UTF-8
 
 
@@ -176,7 +178,7 @@ def _requests(rows: DataFrame, buckets: int) -> DataFrame:
         block = TaskContext.get().partitionId()
         h, size, times, body = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         grams, often, ends = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             texts = texts_of(part.column("text"))
             learn = np.array(part.column("learn").to_pylist(), bool)
             ends += int(learn.sum())
@@ -276,9 +278,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
     total, kinds = (n or 0) + ends, (v or 0) + (ends > 0)
     log_base = float(np.log10(total + kinds + 1))
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got = {"word": ([np.zeros(0, np.uint64)], [np.zeros(0)]), "gram": ([np.zeros(0, np.uint64)], [np.zeros(0)])}
-        for kind, blob in zip(right.column("kind").to_pylist(), right.column("packed").to_pylist()):
+        for kind, blob in zip(right["kind"], right["packed"]):
             k, x = _unpack(blob)
             got[kind][0].append(k)
             got[kind][1].append(x)
@@ -288,8 +290,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
             order = np.argsort(k)
             tables[kind] = k[order], x[order]
         out = []
-        for part in slices(left.to_batches(), "text"):
-            texts = texts_of(part.column("text"))
+        for packed in left["packed"]:
+            ids, texts = _unpack(packed)
             w = split_words(texts, SPACE, lower=True)
             c = _look_up(*tables["word"], w.hashes())
             doc, size = w.doc(), len(texts)
@@ -298,20 +300,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
             g, owner = text_grams(texts)
             g, place = np.unique(g, return_inverse=True)
             own = np.bincount(owner, weights=_look_up(*tables["gram"], g)[place], minlength=size)
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t or b"") for t in texts], pa.int64()), "n_tokens": w.counts().astype(np.int64) + 1,
-                        "n_known": known, "train_tokens": pa.array([total] * size, pa.int64()), "base_score": base, "score": own,
-                    }
-                )
-            )
-        return pa.concat_tables(out)
+            bytes_ = np.array([len(t) for t in texts], np.int64)
+            out.append(pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "n_bytes": bytes_, "n_tokens": w.counts().astype(np.int64) + 1, "n_known": known, "train_tokens": total, "base_score": base, "score": own}))
+        return pd.concat(out)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    numbered = rows.select("doc_id", "text", F.spark_partition_id().alias("block"))
-    return numbered.groupBy("block").cogroup(answers.select("block", "kind", "packed").groupBy("block")).applyInArrow(run, schema)
+    return _packed_documents(rows).groupBy("block").cogroup(answers.select("block", "kind", "packed").groupBy("block")).applyInPandas(run, schema)
+
+
+def _packed_documents(rows: DataFrame) -> DataFrame:
+    """Ids and texts by the megabyte, with the number of their input partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId()
+        for part in slices(batches, "text", SLICE):
+            packed = _pack(part.column("doc_id").to_pylist(), texts_of(part.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed], pa.binary())], names=["block", "packed"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "block int, packed binary")
 
 
 def _sum_ends(asked: DataFrame) -> int:
