@@ -13,14 +13,23 @@ time order and a process stops once it is later than the latest component.
 Texts of the same words are one node, known by a 128-bit digest. Signatures are
 cut into ``BANDS`` bands of ``ROWS`` components. Inside a band's bucket:
 
-1. Every member is compared with one representative (that which shares most
-   buckets, then in two more rounds others at random), links join classes.
-2. Members that are still in different classes are compared with each other,
-   unless the triangle inequality (one minus weighted Jaccard is a metric)
-   shows from their distances to the representative that they can't be linked.
-
-So no link between texts that share a bucket is lost, and one large group of
-copies costs its size, not its square. Overlaps are counted exactly.
+1. Every member is compared with the bucket's head, the member that shares most
+   buckets; those that are left out of its class are compared with a head of
+   their own. Links join classes.
+2. A member a that is still apart from its bucket's class (the largest that the
+   members meet) may be linked with a member b of that class or with another one
+   that is apart from it. Let R be
+   what most of some members of the class have (any set R will do). What a and b
+   have in common lies in R or outside of it. If they share nothing outside R,
+   then with m the smaller of their overlaps with R their similarity is at most
+   m / (|a| + |b| - m), which leaves few sizes of b. So the pairs to compare are
+   those that share an item outside R (an equi-join of the items outside R) and
+   those of such sizes (an equi-join by size). Of the items outside R only the
+   rarest take part, as many as a prefix filter needs.
+
+So no link between texts that share a bucket is lost, and a large group of
+texts, most of which resemble one of them, costs its size and not its square.
+Overlaps are counted exactly.
 
 Defined results: a text of one to four words is one shingle; null text and text
 without words are alone in their class; rows with a null id have a class of
@@ -36,13 +45,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import SPACE, mix, slices, split_words, stash, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Members of a class that say what most of it has; any number gives the same links.
+MODELS = 31
 ROWS, BANDS = 6, 32
 M = ROWS * BANDS
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
@@ -86,7 +97,7 @@ def bag_min_hash(doc: np.ndarray, item: np.ndarray, count: np.ndarray, n_docs: i
     r = 0
     while len(t):
         r += 1
-        x = mix(seed + np.uint64(r) * _C1)
+        x = mix(seed + np.full(1, r, np.uint64) * _C1)
         t = t - np.log(((x >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53) / (width * m)
         y = mix(x ^ _C2)
         slot = d * m + (y % np.uint64(m)).astype(np.int64)
@@ -111,7 +122,7 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +131,9 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = band_keys(bag_min_hash(doc, item, count, part.num_rows))
             offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BANDS)
             bands = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)), mask=pa.array([x is None for x in digests]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digests, pa.binary()), bands], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(digests, pa.binary()), bands], names=["doc_id", "text_key", "node", "bands"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, node binary, bands array<bigint>")
+    return source.mapInArrow(run, f"doc_id {kind}, text_key bigint, node binary, bands array<bigint>")
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -130,22 +141,22 @@ def _bags(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            doc, item, count, _ = shingle_bags(texts_of(part.column("text")))
+            doc, item, count, digests = shingle_bags(texts_of(part.column("text")))
             copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             keys = mix(np.repeat(item, count) + copy.astype(np.uint64) * _C2).astype(np.int64)
             ends = np.concatenate(([0], np.cumsum(np.bincount(np.repeat(doc, count), minlength=part.num_rows))))
             items = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([part.column("node"), items], names=["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), items], names=["node", "items"])
 
-    return docs.select("node", "text").mapInArrow(run, "node binary, items array<bigint>")
+    return docs.select("text").mapInArrow(run, "node binary, items array<bigint>")
 
 
-def _similarity(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """Add ``sim``, the weighted Jaccard similarity of nodes ``a`` and ``b``."""
     one = bags.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
     two = bags.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    both = F.size(F.array_intersect("items_a", "items_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("items_a") + F.size("items_b") - both)).alias("sim"))
+    both = pairs.join(one, "a").join(two, "b").withColumns({"na": F.size("items_a"), "nb": F.size("items_b"), "both": F.size(F.array_intersect("items_a", "items_b"))})
+    return both.withColumn("sim", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b", "sim")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -174,8 +185,10 @@ def _relabel(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id``, ``node`` (digest of its
-    words) and ``class_id`` (the smallest id of its class).
+    """One row for each row of ``docs``: ``doc_id``, ``text_key`` (hash of its
+    text), ``node`` (digest of its words), ``class_id`` (the smallest id of its
+    class) and ``first`` (it is the row that stands for its class; copies of a
+    row with the same id are all first).
     """
     sig = stash(_signatures(docs, id_col, text_col), "near-signatures")
     # Copies of a text have equal bands: counting distinct texts needs one row of each.
@@ -185,76 +198,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if multi.isEmpty():
         labels = multi.select("node", F.col("node").alias("label"))
     else:
-        labels = _link(docs, text_col, multi, threshold)
-    rows = sig.select("doc_id", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(classes, "label", "left").select("doc_id", "node", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+        labels = _link(docs, id_col, text_col, sig, multi, threshold)
+    rows = sig.select("doc_id", "text_key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    classes = rows.filter("label is not null").groupBy("label").agg(F.min(order).alias("least"))
+    alone = F.col("label").isNull()
+    return rows.join(classes, "label", "left").select(
+        "doc_id", "text_key", "node",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least.id")).alias("class_id"),
+        (alone | (order == F.col("least"))).alias("first"),
+    )
 
 
-def _link(docs: DataFrame, text_col: str, multi: DataFrame, threshold: float) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, one of each class."""
+    judged = stash(near_duplicates(docs, id_col, text_col, threshold).select("doc_id", "text_key", "node", "first"), "near-classes")
+    losers = judged.filter("not first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    keyed = docs.withColumn("__text_key", F.xxhash64(F.col(text_col).cast("string")))
+    left = keyed.join(losers, keyed[id_col].eqNullSafe(losers["__id"]) & (keyed["__text_key"] == losers["__key"]), "left_anti")
+    copies = judged.filter("first and node is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
+    if not copies.isEmpty():  # whole rows that come more than once
+        has_word = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        left = left.filter(has_word).dropDuplicates([id_col, "__text_key"]).unionByName(left.filter(~has_word))
+    return left.drop("__text_key")
+
+
+def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: DataFrame, threshold: float) -> DataFrame:
     support = multi.groupBy("node").agg(F.sum("n").alias("support"))
     multi = stash(multi.join(support, "node").select("bucket", "node", "support"), "near-buckets")
-    # Whole texts of the nodes in question, once each.
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("node", _node_of("text"))
     wanted = support.select("node")
-    bags = stash(_bags(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))), "near-bags")
+    # Whole texts of the nodes in question, from one row each.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    source = sig.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(order).alias("o")).select("o.__id", "o.__key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = rows.join(source, rows["doc_id"].eqNullSafe(source["__id"]) & (rows["text_key"] == source["__key"]), "left_semi")
+    bags = stash(_bags(rows.dropDuplicates(["doc_id", "text_key"])), "near-bags")
 
     heads = multi.groupBy("bucket").agg(F.max(F.struct("support", "node"))["node"].alias("head"))
-    with_head = multi.join(heads, "bucket")
-    pairs = with_head.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    judged = stash(_similarity(pairs, bags), "near-judged")
-    own = judged.select(F.col("a").alias("node"), F.col("b").alias("head"), (1 - F.col("sim")).alias("far"))
-    multi = stash(with_head.join(own, ["node", "head"], "left").select("bucket", "node", F.coalesce("far", F.lit(0.0)).alias("far")), "near-buckets")
+    with_head = multi.join(heads, "bucket").filter("node <> head")
+    pairs = with_head.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    judged = stash(_compared(pairs, bags), "near-judged")
     loops = wanted.select(F.col("node").alias("a"), F.col("node").alias("b"))
     labels = components(loops.union(judged.filter(F.col("sim") >= threshold).select("a", "b")), "near-labels")
 
-    for turn in (1, 2):
-        placed = multi.join(labels, "node")
-        lot = F.xxhash64(F.lit(turn), "node")
-        heads = placed.groupBy("bucket").agg(F.max(F.struct(lot.alias("lot"), "node", "label")).alias("h")).select("bucket", F.col("h.node").alias("head"), F.col("h.label").alias("head_label"))
-        pairs = placed.join(heads, "bucket").filter("label <> head_label").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        labels = _judge(pairs, bags, labels, threshold, f"near-turn{turn}")
-
-    # What is left: members outside the largest class of their bucket, against all of other classes.
-    placed = multi.join(labels, "node")
-    per_class = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    largest = per_class.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("top"), F.count("*").alias("classes")).filter("classes > 1")
-    split = stash(placed.join(largest, "bucket").select("bucket", "node", "label", "far", (F.col("label") != F.col("top")).alias("apart")), "near-split")
-    left = split.filter("apart").select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"), F.col("far").alias("fx"))
+    ends = lambda side, df=None: (labels if df is None else df).select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
+    left = with_head.join(labels, "node").join(ends("head"), "head").filter("label <> lhead")
+    second = left.groupBy("bucket").agg(F.max(F.struct("support", "node", "label")).alias("h")).select("bucket", F.col("h.node").alias("b"), F.col("h.label").alias("lb"))
+    pairs = left.join(second, "bucket").filter("label <> lb").select(F.col("node").alias("a"), "b").distinct()
+    labels = _judge(pairs, bags, labels, threshold, "near-second")
+
+    # A bucket's class is the largest that its members meet in their buckets; nodes apart from it, with its members.
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    placed = stash(multi.select("bucket", "node").join(labels, "node").join(sizes, "label"), "near-placed")
+    mixed = placed.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high"))
+    home = placed.select("bucket", "node").join(mixed.select("bucket", "top"), "bucket").groupBy("node").agg(F.max("top").alias("home"))
+    met = placed.join(mixed.filter("low <> high").select("bucket"), "bucket", "left_semi").join(home, "node")
+    cls = met.groupBy("bucket").agg(F.max("home")["label"].alias("cls"))
+    away = stash(met.join(cls, "bucket").filter("label <> cls").select("node", "label", "cls").distinct(), "near-away")
+    inside = labels.join(away.select(F.col("cls").alias("label")).distinct(), "label", "left_semi").select("node", "label", F.col("label").alias("cls"))
+    some = Window.partitionBy("cls").orderBy(F.xxhash64("node"), "node")
+    models = inside.withColumn("place", F.row_number().over(some)).filter(F.col("place") <= MODELS)
+    votes = models.join(bags, "node").select("cls", F.explode("items").alias("item")).groupBy("cls", "item").agg(F.count("*").alias("votes"))
+    quorum = models.groupBy("cls").agg(F.count("*").alias("models"))
+    common = votes.join(quorum, "cls").filter("votes * 2 > models").groupBy("cls").agg(F.collect_list("item").alias("common"))
+    both = away.withColumn("apart", F.lit(True)).unionByName(inside.withColumn("apart", F.lit(False))).join(bags, "node").join(common, "cls", "left")
+    shared = F.coalesce("common", F.array().cast("array<bigint>"))
+    around = both.select("cls", "node", "label", "apart", F.size("items").alias("na"), F.size(F.array_intersect("items", shared)).alias("both"), F.array_except("items", shared).alias("outside"))
+    around = stash(around, "near-around")
+    apart = around.filter("apart")
+    t = threshold
+    # Of a's items outside R at most (1 - t)|a| are not in b, so the first common one in any fixed order,
+    # the rarest first, is among that many and one of either.
+    long = around.select("cls", "node", "label", "apart", "na", F.explode("outside").alias("item"))
+    long = long.withColumn("often", F.count("*").over(Window.partitionBy("cls", "item")))
+    rarest = F.row_number().over(Window.partitionBy("cls", "node").orderBy("often", "item"))
+    first = stash(long.withColumn("place", rarest).filter(F.col("place") <= F.floor((1 - t) * F.col("na") + 1e-9) + 1).filter("often > 1"), "near-rarest")
+    items = lambda df, tag: df.select("cls", "item", F.col("node").alias(f"a{tag}"), F.col("label").alias(f"l{tag}"), F.col("apart").alias(f"apart{tag}"), F.col("na").alias(f"n{tag}"))
     # Two members that are both apart meet once, in the order of their digests.
-    on = (
-        (left["bucket"] == split["bucket"]) & (left["lx"] != split["label"]) & (F.abs(left["fx"] - split["far"]) <= 1 - threshold + 1e-9)
-        & (~split["apart"] | (left["x"] < split["node"]))
-    )
-    pairs = left.join(split, on).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    once = (F.col("l1") != F.col("l2")) & (~F.col("apart2") | (F.col("a1") < F.col("a2"))) & (F.col("n1") >= t * F.col("n2") - 1e-9) & (F.col("n2") >= t * F.col("n1") - 1e-9)
+    sharing = items(first.filter("apart"), 1).join(items(first, 2), ["cls", "item"]).filter(once)
+    sizes = F.sequence(F.ceil(t * F.col("na") - 1e-9), F.floor(F.least(F.col("both") * (1 + t) / t - F.col("na"), F.col("na") / t) + 1e-9))
+    any_size = F.ceil(t * F.col("na") - 1e-9) <= F.floor(F.least(F.col("both") * (1 + t) / t - F.col("na"), F.col("na") / t) + 1e-9)
+    fit = apart.filter(any_size).select("cls", F.explode(sizes).alias("size"), F.col("node").alias("a1"), F.col("label").alias("l1"), F.col("na").alias("n1"))
+    others = around.select("cls", F.col("na").cast("bigint").alias("size"), F.col("node").alias("a2"), F.col("label").alias("l2"), F.col("both").alias("both2"))
+    sized = fit.join(others, ["cls", "size"]).filter((F.col("l1") != F.col("l2")) & (F.col("both2") >= t * (F.col("n1") + F.col("size")) / (1 + t) - 1e-9))
+    both = sharing.select("a1", "a2").union(sized.select("a1", "a2"))
+    pairs = both.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
     return _judge(pairs, bags, labels, threshold, "near-rest")
 
 
 def _judge(pairs: DataFrame, bags: DataFrame, labels: DataFrame, threshold: float, name: str) -> DataFrame:
-    found = _similarity(pairs, bags).filter(F.col("sim") >= threshold)
+    found = _compared(pairs, bags).filter(F.col("sim") >= threshold)
     ends = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     links = stash(found.join(ends("a"), "a").join(ends("b"), "b").filter("la <> lb").select("la", "lb").distinct(), f"{name}-links")
     return labels if links.isEmpty() else _relabel(labels, links, name)
 
 
-def _node_of(text_col: str):
-    """The digest of a text's words, as ``shingle_bags`` makes it."""
-
-    @F.pandas_udf("binary")
-    def node(texts):
-        import pandas as pd
-
-        out = []
-        for i in range(0, len(texts), 200):
-            part = [None if t is None else t.encode() for t in texts.iloc[i : i + 200].tolist()]
-            w = split_words(part, SPACE)
-            buf = w.bytes_of()
-            out += [hashlib.blake2b(buf[w.start[a] : w.end[b - 1]], digest_size=16).digest() if b > a else None for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
-        return pd.Series(out, dtype=object)
-
-    return node(text_col)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", "class_id")

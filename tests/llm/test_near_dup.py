@@ -34,6 +34,36 @@ def test_edges(spark):
     assert N.near_duplicates(df).count() == len(rows)
 
 
+def test_keep_first(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text, "a"), (3, text + " x", "b"), (3, text + " x", "b"), (None, text, "c"), (7, None, "d"), (7, None, "d"), (8, "", "e"), (9, "other words here", "f"), (3, "again other words", "g"), (None, "lone", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, first string")
+    got = sorted((str(r.doc_id), r.first) for r in N.keep_first(df).collect())
+    assert got == sorted([("3", "b"), ("7", "d"), ("7", "d"), ("8", "e"), ("9", "f"), ("3", "g"), ("None", "h")])
+    assert N.keep_first(df).columns == df.columns
+
+
+def test_a_large_group_of_edited_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(260):
+        t = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            t[rng.randrange(len(t))] = f"e{rng.random()}"
+        if k % 10 == 0:
+            t = t[: rng.randrange(90, 150)]
+        rows.append((k, " ".join(t)))
+    for k in range(60):  # a second family, near the first
+        t = [*base[:70], *(f"v{i}" for i in range(80))]
+        for _ in range(rng.randrange(0, 6)):
+            t[rng.randrange(len(t))] = f"e{rng.random()}"
+        rows.append((1000 + k, " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(df).collect()}
+    assert got == N.brute_force(rows)
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
