@@ -1,0 +1,48 @@
+"""A registry of named table functions and column functions with their schemas."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+@dataclass(frozen=True)
+class ToolSpec:
+    """A function that gives a DataFrame, with what a caller has to know."""
+
+    name: str
+    category: str
+    run: Callable[..., DataFrame]
+    parameters: dict[str, str] = field(default_factory=dict)  # name: SQL type
+    most_chars: int = 800
+
+
+class Registry:
+    def __init__(self) -> None:
+        self._tools: dict[str, ToolSpec] = {}
+
+    def register(self, spec: ToolSpec) -> ToolSpec:
+        if spec.name in self._tools:
+            raise ValueError(f"{spec.name} is registered already")
+        self._tools[spec.name] = spec
+        return spec
+
+    def get(self, name: str) -> ToolSpec:
+        return self._tools[name]
+
+    def by_category(self, category: str) -> list[ToolSpec]:
+        return sorted((t for t in self._tools.values() if t.category == category), key=lambda t: t.name)
+
+    def schemas(self, spark: SparkSession) -> DataFrame:
+        """(name, category, parameter, type) of all functions."""
+        rows = [(t.name, t.category, p, k) for t in self._tools.values() for p, k in t.parameters.items()]
+        return spark.createDataFrame(rows, "name string, category string, parameter string, type string")
+
+    def dispatch(self, name: str, *args, **parameters) -> DataFrame:
+        spec = self.get(name)
+        unknown = set(parameters) - set(spec.parameters)
+        if unknown:
+            raise TypeError(f"{name} has no {', '.join(sorted(unknown))}")
+        return spec.run(*args, **parameters)

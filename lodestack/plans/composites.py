@@ -1 +1,193 @@
-"""Queries."""
+"""Searches and checks composed of other operators, and long-term memory."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..functions.registry import Registry, ToolSpec
+from ..operators import evaluation, grounding, memory, ranking, retrieval
+from .aggregates import GOLD, gold
+from .inputs import ARMS, REQUESTS, TURNS, arm, requests, table, turns
+from .registry import query
+
+# Both scores of a pool's rows: the vectors' scores of each arm; row texts are the documents of the same id.
+BLEND = "(CASE WHEN count(first) OVER w > 0 AND count(second) OVER w > 0 THEN 0.6 * CASE WHEN max(first) OVER w > min(first) OVER w THEN (first - min(first) OVER w) / (max(first) OVER w - min(first) OVER w) ELSE 0.5 END + 0.4 * CASE WHEN max(second) OVER w > min(second) OVER w THEN (second - min(second) OVER w) / (max(second) OVER w - min(second) OVER w) ELSE 0.5 END ELSE coalesce(first, second) END)"
+FUSED = ARMS + """, arms AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM sparse),
+fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM arms GROUP BY ALL)),
+top AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM fused WHERE rank <= 192), kept AS (SELECT *, count(*) FILTER (WHERE score >= t * 0.4) OVER (PARTITION BY query_id) AS n FROM top), pool AS (SELECT query_id, chunk_id, rank FROM kept WHERE rank <= greatest(n, 32)),
+full_ AS (SELECT p.query_id, p.chunk_id, p.rank, s.source_stem, s.d AS first, s.s AS second, regexp_replace(coalesce(x.text, 'v' || p.chunk_id), '\\s+', '', 'g') AS body FROM pool p JOIN scored s USING (query_id, chunk_id) LEFT JOIN documents x ON x.doc_id = p.chunk_id),
+dd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY query_id, body ORDER BY rank) = 1)),
+ca AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, r) AS c, count(*) OVER (PARTITION BY query_id) AS n FROM dd),
+cc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, chunk_id) AS r2 FROM ca WHERE n <= 24 OR c <= 24),
+bl AS (SELECT *, coalesce(round(""" + BLEND + """, 6), 0) AS score FROM cc WINDOW w AS (PARTITION BY query_id)),
+ranked AS (SELECT query_id, chunk_id, source_stem, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r2) AS rank FROM bl)"""
+CUT = """, n AS (SELECT *, least(count(*) FILTER (WHERE score >= 0.3) OVER (PARTITION BY query_id), 8) AS k FROM {src}), l AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM n WHERE rank <= CASE WHEN k < 3 THEN 3 ELSE k END),
+e AS (SELECT *, min(CASE WHEN score < 0.6 * before THEN rank END) OVER (PARTITION BY query_id) AS edge FROM l), cut AS (SELECT query_id, chunk_id, source_stem, score, rank FROM e WHERE edge IS NULL OR rank < edge)"""
+
+
+def scored(spark, d):
+    """Rows of both arms with both scores and texts."""
+    from ..functions.vectors import cosine, dot
+
+    a, b = arm(spark, d, "dense"), arm(spark, d, "sparse")
+    ids = a.select("query_id", "chunk_id", "source_stem").unionByName(b.select("query_id", "chunk_id", "source_stem")).distinct()
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    both = ids.join(e.withColumnsRenamed({"vec_id": "chunk_id", "embedding": "v"}), "chunk_id").join(e.withColumnsRenamed({"vec_id": "query_id", "embedding": "q"}), "query_id")
+    lead = lambda c: F.slice(c, 1, 16)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    full = both.select("query_id", "chunk_id", "source_stem", F.round(cosine(F.col("q"), F.col("v")), 6).alias("first"), F.round(dot(lead("q"), lead("v")), 6).alias("second"))
+    return a, b, full.join(docs, "chunk_id", "left").select("query_id", "chunk_id", "source_stem", "first", "second", F.coalesce("text", F.concat(F.lit("v"), F.col("chunk_id").cast("string"))).alias("content"))
+
+
+@query("i03_blend", f"WITH {ARMS}, m AS (SELECT query_id, chunk_id, d AS first, CASE WHEN query_id % 100 = 0 THEN NULL ELSE s END AS second FROM dense JOIN scored USING (query_id, chunk_id)), b AS (SELECT query_id, {BLEND} AS blend FROM m WINDOW w AS (PARTITION BY query_id)) SELECT query_id, count(*) AS n, round(sum(blend), 4) AS total, round(max(blend), 4) AS top FROM b GROUP BY query_id")
+def blend(spark, d):
+    a, _, s = scored(spark, d)
+    m = a.select("query_id", "chunk_id").join(s, ["query_id", "chunk_id"]).withColumn("second", F.when(F.col("query_id") % 100 != 0, F.col("second")))
+    b = m.select("query_id", ranking.blend(m, "first", "second").alias("blend"))
+    return b.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("blend"), 4).alias("total"), F.round(F.max("blend"), 4).alias("top"))
+
+
+@query("j01_hybrid_search", f"WITH {FUSED}{CUT.format(src='ranked')} SELECT query_id, chunk_id, score, rank FROM cut")
+def hybrid(spark, d):
+    a, b, s = scored(spark, d)
+    return retrieval.hybrid([a, b], None, s).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("j02_batch_search", f"WITH {ARMS}, r AS (SELECT query_id, 0 AS sub, chunk_id, rank FROM dense WHERE rank <= 5 UNION ALL SELECT query_id, 1, chunk_id, rank FROM sparse WHERE rank <= 12), n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY sub, rank) = 1) SELECT query_id, sub, chunk_id, rank, sub > 0 AS pinned FROM n QUALIFY sub = 0 OR row_number() OVER (PARTITION BY query_id, sub ORDER BY rank) <= 4")
+def batch(spark, d):
+    a, b = arm(spark, d, "dense"), arm(spark, d, "sparse")
+    side = lambda df, n, k: df.filter(F.col("rank") <= k).select("query_id", F.lit(n).alias("sub"), "chunk_id", "rank")
+    return retrieval.batched(side(a, 0, 5).unionByName(side(b, 1, 12)))
+
+
+@query("j03_image_search", f"WITH {ARMS}, i AS (SELECT * FROM dense WHERE label <> 5), j AS (SELECT * FROM sparse WHERE label <> 5), a AS (SELECT query_id, chunk_id, rank FROM i UNION ALL SELECT query_id, chunk_id, rank FROM j), f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM a GROUP BY ALL) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 8")
+def image_search(spark, d):
+    a, b = (arm(spark, d, k).filter("label <> 5") for k in ("dense", "sparse"))
+    return ranking.fuse(a.unionByName(b), limit=8).select("query_id", "chunk_id", "rank")
+
+
+@query("j04_rerank_fallback", f"WITH {ARMS}, s AS (SELECT d.query_id, d.chunk_id, d.rank, CASE WHEN d.query_id % 100 = 0 THEN NULL ELSE s.s END AS score FROM dense d JOIN scored s USING (query_id, chunk_id)) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, rank) AS rank FROM s")
+def rerank(spark, d):
+    a, _, s = scored(spark, d)
+    m = a.select("query_id", "chunk_id", "rank").join(s.select("query_id", "chunk_id", "second"), ["query_id", "chunk_id"])
+    score = F.when(F.col("query_id") % 100 != 0, F.col("second"))
+    return ranking.ranked(m.withColumn("score", score), F.desc_nulls_last("score"), "rank").select("query_id", "chunk_id", "rank")
+
+
+@query("j05_recall_queries", "WITH q AS (SELECT item_id AS query_id, 0 AS arm, text FROM benchmark UNION ALL SELECT item_id, 1, regexp_replace(text, '(?i)\\bthe\\b', 'this very', 'g') FROM benchmark) SELECT query_id, arm, md5(text) AS text FROM q QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY arm) = 1")
+def recall_queries(spark, d):
+    from ..operators.layout import glossary_replaced
+
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    both = b.withColumn("arm", F.lit(0)).unionByName(b.withColumn("text", glossary_replaced({"the": "this very"})(F.col("text"))).withColumn("arm", F.lit(1)))
+    once = both.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "text").orderBy("arm"))).filter("n = 1")
+    return once.select("query_id", "arm", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query("j06_grounding_gate")
+def grounding_gate(spark, d):
+    docs = table(spark, d, "documents")
+    answer = F.concat(F.substring("text", 1, 120), F.lit("。共 "), (F.col("doc_id") * 7 + 11).cast("string"), F.lit(" 台。"), F.when(F.col("doc_id") % 3 == 0, "资料中未找到。").otherwise("结束。"))
+    a = docs.select(F.col("doc_id").alias("id"), answer.alias("answer"), F.array("text", F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") * 7 + 11).cast("string")).otherwise("")).alias("sources"))
+    v = docs.select(F.col("doc_id").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("item")).withColumn("supported", (F.col("id") + F.col("item")) % 5 != 0)
+    return grounding.gated(a, v).select("id", "action", F.md5(F.col("answer").cast("binary")).alias("answer"))
+
+
+@query("j07_quality_gate", f"WITH {REQUESTS} SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'fail' WHEN tier = 'simple' THEN 'pass' WHEN event_id % 17 = 0 THEN 'refusal' WHEN event_id % 4 = 0 THEN 'warn' WHEN latency_ms / 1000 < 0.5 THEN 'weak' ELSE 'pass' END AS verdict FROM requests")
+def quality_gate(spark, d):
+    i = F.col("event_id")
+    answer = F.when(i % 13 == 0, " ").when(i % 17 == 0, "资料中未找到").otherwise("fine")
+    g = grounding.quality_gate(F.col("tier"), answer, F.when(i % 4 == 0, 0).otherwise(3), F.col("latency_ms") / 1000)
+    return requests(spark, d).select("event_id", g.alias("g")).select("event_id", "g.verdict")
+
+
+@query("j08_prefetch_blocks", f"WITH {TURNS}, t AS (SELECT thread_id, string_agg(role || ': ' || content[1:20], chr(10) ORDER BY pos) AS block, count(*) AS n FROM (SELECT * FROM turns WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY pos DESC) <= 4) GROUP BY thread_id) SELECT thread_id, n, md5(block) AS block FROM t")
+def prefetch(spark, d):
+    from ..operators import conversation
+
+    r = conversation.recent(turns(spark, d), limit=4)
+    g = r.groupBy("thread_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", F.concat("role", F.lit(": "), F.substring("content", 1, 20)).alias("l")))).alias("l"))
+    return g.select("thread_id", "n", F.md5(F.array_join(F.transform("l", lambda x: x["l"]), "\n").cast("binary")).alias("block"))
+
+
+@query("j09_stage_funnel", f"WITH {ARMS}, {GOLD}, q AS (SELECT DISTINCT query_id FROM gold), s AS (SELECT query_id, min(d.rank) AS recall, min(CASE WHEN d.rank <= 24 THEN d.rank END) AS pool, min(CASE WHEN d.rank <= 4 THEN d.rank END) AS cut FROM gold LEFT JOIN dense d USING (query_id, chunk_id) GROUP BY query_id) SELECT query_id, recall, pool, cut, CASE WHEN recall IS NULL THEN 'recall' WHEN pool IS NULL THEN 'pool' WHEN cut IS NULL THEN 'cut' END AS lost_at FROM s")
+def funnel(spark, d):
+    a = arm(spark, d, "dense")
+    return evaluation.funnel([("recall", a), ("pool", a.filter("rank <= 24")), ("cut", a.filter("rank <= 4"))], gold(spark, d))
+
+
+@query("i07_semantic_groups")
+def semantic_groups(spark, d):
+    e = table(spark, d, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("u"), F.col("label").cast("string")).alias("username"), F.lit("fact").alias("category"), "embedding")
+    return memory.semantic_groups(rows, 0.3).select("id", "username", "into")
+
+
+@query("i09_null_vectors", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND trim(text) <> '' ORDER BY doc_id LIMIT 100")
+def null_vectors(spark, d):
+    m = table(spark, d, "documents").withColumn("v", F.when(F.col("doc_id") % 3 != 0, F.lit(1)))
+    return m.filter("v is null and trim(text) <> ''").orderBy("doc_id").limit(100).select("doc_id")
+
+
+FACTS = "f AS (SELECT event_id AS fid, 'u' || (user_id % 20) AS thread_id, event_type AS q, 'k' || (event_id % 3) AS a, value / 500 AS importance, event_id % 10 = 0 AS degraded, event_id % 6 = 0 AS promoted, ts FROM events)"
+
+
+def facts(spark, d):
+    e, i = table(spark, d, "events"), F.col("event_id")
+    return e.select(i.alias("fid"), F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("thread_id"), F.col("event_type").alias("q"), F.concat(F.lit("k"), (i % 3).cast("string")).alias("a"), (F.col("value") / 500).alias("importance"), (i % 10 == 0).alias("degraded"), (i % 6 == 0).alias("promoted"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("i10_evicted_facts", f"WITH {FACTS}, s AS (SELECT *, importance * 1000 + epoch_us(ts) / 3600000000.0::DOUBLE - CASE WHEN promoted THEN 5000 ELSE 0 END AS score FROM f) SELECT thread_id, fid FROM s QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY score DESC, fid DESC) <= 50")
+def evicted(spark, d):
+    s = facts(spark, d).withColumn("score", memory.eviction_score(F.col("importance"), F.col("ts"), F.col("promoted")))
+    return memory.evicted(s, 50).select("thread_id", "fid")
+
+
+@query("i11_upserted_facts", f"WITH {FACTS} SELECT thread_id, CASE WHEN degraded THEN 'row' || fid ELSE q || a END AS k, count(*) AS freq, max(fid) AS fid, round(max(CASE WHEN degraded THEN 0.3 ELSE importance END), 6) AS importance FROM f GROUP BY ALL")
+def upserted_facts(spark, d):
+    u = memory.upserted_facts(facts(spark, d))
+    names = facts(spark, d).select("fid", F.when(F.col("degraded"), F.concat(F.lit("row"), F.col("fid").cast("string"))).otherwise(F.concat("q", "a")).alias("k"))
+    return u.join(names, "fid").select("thread_id", "k", "freq", "fid", F.round("importance", 6).alias("importance"))
+
+
+TOOLS = Registry()
+TOOLS.register(ToolSpec("search_text", "retrieval", lambda rows, k=5: rows.filter(F.col("rank") <= k), {"k": "int"}))
+TOOLS.register(ToolSpec("get_chunk", "retrieval", lambda rows, chunk_id="": rows.filter(F.col("chunk_id") == chunk_id), {"chunk_id": "string"}))
+TOOLS.register(ToolSpec("family_parts", "catalogue", lambda rows, base="": rows.filter(text.scope_stem(F.col("source_stem")) == base), {"base": "string"}))
+
+
+@query("u02_registry", "SELECT * FROM (VALUES ('search_text', 'retrieval', 'k', 'int'), ('get_chunk', 'retrieval', 'chunk_id', 'string'), ('family_parts', 'catalogue', 'base', 'string')) AS t(name, category, parameter, type)")
+def registry(spark, d):
+    return TOOLS.schemas(spark)
+
+
+@query("u03_table_functions", f"WITH {ARMS} SELECT query_id, chunk_id, rank FROM dense WHERE rank <= 3")
+def table_functions(spark, d):
+    return TOOLS.dispatch("search_text", arm(spark, d, "dense"), k=3).select("query_id", "chunk_id", "rank")
+
+
+@query("u05_citations", f"WITH {ARMS} SELECT query_id, chunk_id, source_stem, d.text[1:160] AS snippet, round(score, 4) AS score FROM dense JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 5")
+def citations(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return retrieval.citations(arm(spark, d, "dense").filter("rank <= 5").join(docs, "chunk_id"))
+
+
+@query(
+    "u06_lexical_scores",
+    r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS c FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
+SELECT item_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q) ELSE 0 END, 6) AS score FROM w""",
+)
+def lexical(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
+    return b.join(docs, "item_id").select("item_id", F.round(retrieval.lexical_score(F.col("q"), F.col("text")), 6).alias("score"))
+
+
+@query("u07_judge_shares", "SELECT user_id, event_type AS metric, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 4) AS share, count(*) AS n FROM events GROUP BY ALL")
+def judge_shares(spark, d):
+    v = table(spark, d, "events").select("user_id", F.col("event_type").alias("metric"), (F.col("value") > 50).alias("supported"))
+    return grounding.supported_share(v, "user_id", "metric")
+
+
