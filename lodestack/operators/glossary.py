@@ -27,7 +27,8 @@ def terms(docs: DataFrame, text_col: str = "text", least: int = 4, top: int = 40
     clean = F.filter(found(PHRASE), lambda p: ~F.exists(F.split(p, " "), lambda w: w.isin(STOP)))
     pairs = F.flatten(F.transform(F.filter(clean, lambda p: F.size(F.split(p, " ")) == 3), lambda p: F.array(F.substring_index(p, " ", 2), F.substring_index(p, " ", -2))))
     classes = [("multi", found(MULTI), least), ("acronym", found(ACRONYM), 2 * least), ("model", F.transform(F.filter(found(MODEL), lambda m: F.length(m) >= 3), F.lower), least), ("phrase", F.concat(clean, pairs), 2 * least)]
-    rows = docs.select(F.explode(F.concat(*[F.transform(a, lambda x, k=k, n=n: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("least"), x.alias("term"))) for k, a, n in classes])).alias("r")).select("r.*")
+    tagged = lambda k, n: lambda x: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("least"), x.alias("term"))
+    rows = docs.select(F.explode(F.concat(*[F.transform(a, tagged(k, n)) for k, a, n in classes])).alias("r")).select("r.*")
     counted = rows.groupBy("kind", "least", "term").agg(F.count("*").alias("tf")).filter("tf >= least")
     one = Window.partitionBy(F.lower("term")).orderBy(F.desc("tf"), "term")
     best = counted.withColumn("n", F.row_number().over(one)).filter("n = 1")
