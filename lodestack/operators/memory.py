@@ -73,7 +73,7 @@ def semantic_groups(rows: DataFrame, nearest: float = 0.9) -> DataFrame:
                 kept[hit] = x / n
         return pdf.assign(into=into)
 
-    schema = rows.schema.add("into", rows.schema["id"].dataType)
+    schema = T.StructType([*rows.schema.fields, T.StructField("into", rows.schema["id"].dataType)])
     return rows.groupBy("username", "category").applyInPandas(merge, schema)
 
 
