@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +94,6 @@ def point_id():
     """A pandas UDF of the UUID (version 5, DNS name space) of a chunk id; for exports."""
     import uuid
 
-    import pandas as pd
     from pyspark.sql import types as T
 
     @F.pandas_udf(T.StringType())
