@@ -11,6 +11,11 @@ for each measure is a parameter) of the quartiles of its own language and
 source; a group of fewer than ``LEAST_GROUP`` documents takes its language's, or
 that of all rows. Learned are documents that pass the base rule.
 
+The least distances above let ``repeats`` fail nothing that the base rule keeps.
+With ``learned`` the fence comes from the sketch alone as far as it can: three
+quartile distances, or the 0.99 quantile where the quartiles are equal; the
+least distances (``FLOORS``) are below what the base rule allows.
+
 Words end at 0x20 and 0x09 to 0x0D. Defined results: null text has no words, no
 lines and fails the base rule; null languages and sources are groups of their
 own; repeated rows count each time; texts of any length are measured whole; an
@@ -39,6 +44,9 @@ MEASURES = {
     "repeats": (100_000, False),
 }
 
+#: Least distances of the learned fences: three of them lie within the base rule.
+FLOORS = {"word_length": 100_000, "symbols": 5_000, "dup_lines": 30_000, "repeats": 20_000}
+
 
 def repeated_words(h: np.ndarray, first: np.ndarray, n: int = WINDOW) -> np.ndarray:
     """Words of each text inside n-word windows that it has twice or more."""
@@ -107,20 +115,21 @@ def top_of(bucket: str):
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """n, q1 and q3 of each measure from sketches merged by ``keys``."""
+    """n, q1, q3 and q99 of each measure from sketches merged by ``keys``."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "measure")
     run = merged.select(*keys, "measure", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("run"), F.sum("n").over(w).alias("n"))
-    least = lambda q: F.min(F.when(F.col("run") * 4 >= F.col("n") * q, F.col("bucket")))
-    out = run.groupBy(*keys, "measure").agg(F.max("n").alias("n"), least(1).alias("b1"), least(3).alias("b3"))
-    return out.select(*keys, "measure", "n", top_of("b1").alias("q1"), top_of("b3").alias("q3"))
+    least = lambda q, of=4: F.min(F.when(F.col("run") * of >= F.col("n") * q, F.col("bucket")))
+    out = run.groupBy(*keys, "measure").agg(F.max("n").alias("n"), least(1).alias("b1"), least(3).alias("b3"), least(99, 100).alias("b99"))
+    return out.select(*keys, "measure", "n", top_of("b1").alias("q1"), top_of("b3").alias("q3"), top_of("b99").alias("q99"))
 
 
-def fences(rows: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+def fences(rows: DataFrame, keys: tuple[str, str] = ("lang", "source"), learned: bool = False) -> DataFrame:
     """Lowest and highest value that is kept, for each group and measure.
 
     ``rows``: the groups' columns and a ``values`` map of the measures of the
-    rows to learn from.
+    rows to learn from. ``learned``: equal quartiles give way to the 0.99
+    quantile, and the least distances are those of ``FLOORS``.
     """
     one, two = keys
     long = rows.select(one, two, F.explode("values").alias("measure", "value"))
@@ -129,18 +138,21 @@ def fences(rows: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataF
     own, lang, every = quartiles(sketch, [one, two]), named(quartiles(sketch, [one]), "l"), named(quartiles(sketch, []), "a")
     out = own.join(lang, own[one].eqNullSafe(lang[f"{one}_l"]) & (own["measure"] == lang["measure_l"])).join(every, own["measure"] == every["measure_a"])
     pick = lambda c: F.when(F.col("n") >= LEAST_GROUP, F.col(c)).when(F.col("n_l") >= LEAST_GROUP, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
-    least = F.create_map(*[F.lit(x) for m, (d, _) in MEASURES.items() for x in (m, d)])[F.col("measure")]
+    least = F.create_map(*[F.lit(x) for m, (d, _) in MEASURES.items() for x in (m, FLOORS[m] if learned else d)])[F.col("measure")]
     reach = REACH * F.greatest(pick("q3") - pick("q1"), least)
+    high = pick("q3") + reach
+    if learned:
+        high = F.when(pick("q3") > pick("q1"), high).otherwise(F.greatest(pick("q99"), high))
     both = F.col("measure").isin([m for m, (_, b) in MEASURES.items() if b])
-    return out.select(one, two, "measure", F.when(both, pick("q1") - reach).otherwise(F.lit(-1)).alias("low"), (pick("q3") + reach).alias("high"))
+    return out.select(one, two, "measure", F.when(both, pick("q1") - reach).otherwise(F.lit(-1)).alias("low"), high.alias("high"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), learned: bool = False) -> DataFrame:
     """One row for each document: its id, the counts, ``base_failed``, ``failed`` (measures outside their fences) and ``kept``."""
     counted = stash(measure(docs.select(id_col, *keys, text_col), text_col, keep=[id_col, *keys]), "quality-counts")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = counted.withColumn("base_failed", failed).withColumn("values", F.create_map(*[x for m, v in _values().items() for x in (F.lit(m), v)]))
-    limits = fences(rows.filter("not base_failed"), keys)
+    limits = fences(rows.filter("not base_failed"), keys, learned)
     # The joined filter: one row of limits for each group.
     wide = limits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("limits")).withColumnsRenamed({k: f"__{k}" for k in keys})
     joined = rows.join(wide, rows[keys[0]].eqNullSafe(wide[f"__{keys[0]}"]) & rows[keys[1]].eqNullSafe(wide[f"__{keys[1]}"]), "left")
@@ -155,6 +167,11 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def learned_query(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return judge(docs, learned=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 _BUCKET = "CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END"
 _TOP = "CASE WHEN {b} < 64 THEN {b} ELSE (({b} - ({b} // 32 - 1) * 32 + 1) << CAST({b} // 32 - 1 AS INT)) - 1 END"
 

@@ -49,3 +49,30 @@ def test_judge(spark):
     assert not by[1000].kept and "symbols" in by[1000].failed and not by[1000].base_failed
     assert by[1001].base_failed and by[1002].base_failed and not by[1002].kept
     assert Q.judge(df.limit(0)).count() == 0
+
+
+def test_learned_fences(spark):
+    """Each measure rejects a document that passes the base rule, where the others are clean."""
+    words = [f"wort{i}" for i in range(100)]
+    clean = "\n".join(" ".join(words[k : k + 10]) for k in range(0, 100, 10))
+    run, odd = [f"lauf{i}" for i in range(8)], {}
+    odd["repeats"] = " ".join(words[:42] + run + words[42:84] + run)  # 16 of 100 words
+    odd["symbols"] = clean + " ##"
+    odd["dup_lines"] = clean + "\nx\nx\nx"
+    odd["word_length"] = clean.replace("wort", "langeswort")
+    rows = [(i, clean, "de", "s") for i in range(600)] + [(1000 + i, t, "de", "s") for i, t in enumerate(odd.values())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    by = {r.doc_id: r for r in Q.judge(df, learned=True).collect()}
+    assert all(by[i].kept for i in range(600))
+    for i, m in enumerate(odd):
+        assert not by[1000 + i].base_failed and m in by[1000 + i].failed and not by[1000 + i].kept, m
+    assert "repeats" not in {r.doc_id: r for r in Q.judge(df).collect()}[1000].failed
+    assert Q.judge(df.limit(0), learned=True).count() == 0
+
+
+def test_learned_quantile(spark):
+    """Equal quartiles: the 0.99 quantile is the fence, so a measure that 3 % of a source have is kept up to it."""
+    rows = [("de", "s", {"repeats": 0})] * 970 + [("de", "s", {"repeats": 200_000})] * 30
+    df = spark.createDataFrame(rows, "lang string, source string, values map<string, bigint>")
+    high = Q.fences(df, learned=True).first().high
+    assert 200_000 <= high < 300_000 <= Q.fences(df).first().high
