@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .arrow import LOWER, SPACE, mix, slices, split_words, stash, texts_of
 from .langid import distinct
 
-DEPTH = 4
+DEPTH = 6
 #: Text worked on at once.
 SLICE = 1 << 20
 EDGE = 0xFF  # stands before and after a text; no byte of UTF-8

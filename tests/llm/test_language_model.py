@@ -37,3 +37,14 @@ def test_query(spark, tiny):
         r = got[d.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
         assert (r.base_score, r.score) == pytest.approx(w[3:], rel=1e-9)
+
+
+def test_long_contexts(spark):
+    """The last byte of a word follows from its first, five bytes before: only that is a choice, of one bit."""
+    import random
+
+    choice = random.Random(1)
+    say = lambda: " ".join(choice.choice(["qbcdex", "rbcdey"]) for _ in range(400))
+    df = spark.createDataFrame([(i, say(), i > 0) for i in range(20)], "doc_id long, text string, learn boolean")
+    out = {r.doc_id: r for r in M.score(df).collect()}[0]
+    assert -out.score / math.log10(2) / 400 < 1.2
