@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.registry import Registry, ToolSpec
 from ..operators import evaluation, grounding, memory, ranking, retrieval
 from .aggregates import GOLD, gold
-from .inputs import ARMS, REQUESTS, TURNS, arm, requests, table, turns
+from .inputs import ARMS, REQUESTS, TURNS, arm, document_items, requests, table, turns
 from .registry import query
 
 # Both scores of a pool's rows: the vectors' scores of each arm; row texts are the documents of the same id.
@@ -185,6 +185,11 @@ def lexical(spark, d):
     return b.join(docs, "item_id").select("item_id", F.round(retrieval.lexical_score(F.col("q"), F.col("text")), 6).alias("score"))
 
 
+@query("u06_lexical_scores_all")
+def lexical_all(spark, d):
+    return document_items(spark, d).select("doc_id", "item_id", F.round(retrieval.lexical_score(F.col("fact"), F.col("text")), 6).alias("score"))
+
+
 @query("u07_judge_shares", "SELECT user_id, event_type AS metric, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 4) AS share, count(*) AS n FROM events GROUP BY ALL")
 def judge_shares(spark, d):
     v = table(spark, d, "events").select("user_id", F.col("event_type").alias("metric"), (F.col("value") > 50).alias("supported"))

@@ -34,6 +34,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def document_items(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id, text, fact): every document with the benchmark item of its number."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("fact"))
+    n = F.broadcast(b.agg((F.max("item_id") + 1).alias("n")))
+    docs = table(spark, d, "documents").select("doc_id", "text").crossJoin(n)
+    return docs.select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), "text").join(b, "item_id")
+
+
 CHUNKS = """lines AS (
   SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
 ), chunks AS (

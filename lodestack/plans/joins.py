@@ -96,7 +96,7 @@ def contained(spark, d):
 
 @query("c12_cited_sources")
 def cited(spark, d):
-    answers = table(spark, d, "documents").filter("doc_id % 20 = 0").select("doc_id", "source", F.concat(F.substring("text", 1, 200), F.lit(" [manual "), "source", F.lit(" p12] [图 3]")).alias("answer"))
+    answers = table(spark, d, "documents").select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" [manual "), "source", F.lit(" p12] [图 3]")).alias("answer"))
     sources = table(spark, d, "documents").select("source", F.concat(F.lit("Manual "), "source", F.lit(" edition "), (F.col("doc_id") % 3).cast("string")).alias("stem")).distinct()
     near = answers.join(sources, "source")
     return near.select("doc_id", "stem", citations.cites(F.col("answer"), F.col("stem")).alias("cited"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text, vectors
 from ..operators import memory, validation
-from .inputs import ARMS, CHUNKS, REQUESTS, TURNS, arm, chunks, requests, table, turns
+from .inputs import ARMS, CHUNKS, REQUESTS, TURNS, arm, chunks, document_items, requests, table, turns
 from .registry import query
 
 CJK = r"\x{4e00}-\x{9fff}"
@@ -146,6 +146,16 @@ def bigram_coverage(spark, d):
     return b.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("item_id", F.round(text.bigram_coverage(F.col("fact"), F.col("text")), 6).alias("cover"))
 
 
+@query("h14_anchor_share_all")
+def anchor_share_all(spark, d):
+    return document_items(spark, d).select("doc_id", "item_id", F.round(text.anchor_share(text.anchors(F.col("fact")), F.col("text")), 6).alias("share"))
+
+
+@query("h15_bigram_coverage_all")
+def bigram_coverage_all(spark, d):
+    return document_items(spark, d).select("doc_id", "item_id", F.round(text.bigram_coverage(F.col("fact"), F.col("text")), 6).alias("cover"))
+
+
 @query("h16_token_estimates", rf"WITH {TURNS} SELECT thread_id, pos, CAST(floor(len(regexp_extract_all(content || '设备手册', '[{CJK}]')) + len(list_filter(regexp_split_to_array(content || '设备手册', '\s+'), lambda x: x <> '')) * 1.3::DOUBLE) AS INT) + 4 AS tokens FROM turns")
 def token_estimates(spark, d):
     return turns(spark, d).select("thread_id", "pos", (text.token_estimate(F.concat("content", F.lit("设备手册"))) + 4).alias("tokens"))

@@ -47,3 +47,27 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_whole_tables(spark):
+    """c12 judges every document by its whole text, d27 every event."""
+    from lodestack.operators.citations import cited_names, is_cited
+
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", "source").collect()
+    stems = {}
+    for x in docs:
+        stems.setdefault(x.source, set()).add(f"Manual {x.source} edition {x.doc_id % 3}")
+    want = sorted((x.doc_id, s, is_cited(s, cited_names(f"{x.text or ''} [manual {x.source} p12] [图 3]"))) for x in docs if x.source is not None for s in stems[x.source])
+    assert sorted(map(tuple, entry.queries()["c12_cited_sources"](spark, D).collect())) == want
+    events = spark.read.parquet(f"{D}/events.parquet").select("user_id", "event_type").toPandas()
+    want = events.groupby([events.user_id, events.event_type == "error"]).size()
+    got = entry.queries()["d27_log_blocks"](spark, D).collect()
+    assert sorted((r.thread_id, r.category, r.n) for r in got) == sorted((f"u{u}", "timeout" if e else "served", n) for (u, e), n in want.items())
+
+
+@pytest.mark.parametrize("name", ["h14_anchor_share", "h15_bigram_coverage", "u06_lexical_scores"])
+def test_all_documents(spark, name):
+    """The pairs of the _all queries cover every document."""
+    got = entry.queries()[f"{name}_all"](spark, f"{D[:-5]}0.01")
+    docs = spark.read.parquet(f"{D[:-5]}0.01/documents.parquet")
+    assert got.count() == docs.count() > 200 and got.select("doc_id").distinct().count() == docs.count()
