@@ -71,3 +71,15 @@ def test_all_documents(spark, name):
     got = entry.queries()[f"{name}_all"](spark, f"{D[:-5]}0.01")
     docs = spark.read.parquet(f"{D[:-5]}0.01/documents.parquet")
     assert got.count() == docs.count() > 200 and got.select("doc_id").distinct().count() == docs.count()
+
+
+def test_gate_sees_whole_answers(spark):
+    """Answers that pass keep their whole text."""
+    import hashlib
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    rows = [r for r in entry.queries()["j06_grounding_gate"](spark, D).collect() if r.action == "pass" and len(docs[r.id] or "") > 120]
+    assert rows
+    for r in rows:
+        end = "资料中未找到。" if r.id % 3 == 0 else "结束。"
+        assert r.answer == hashlib.md5(f"{docs[r.id]}。共 {r.id * 7 + 11} 台。{end}".encode()).hexdigest()
