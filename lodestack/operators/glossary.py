@@ -5,33 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MULTI = r"\b[A-Z][A-Za-z0-9]*(?:[ ](?:of|for|and|the|in|with|to)?[ ]?[A-Z][A-Za-z0-9]*){1,3}\b"
-ACRONYM = r"\b[A-Z]{2,12}\b"
-MODEL = r"\b[A-Z][A-Za-z0-9]{0,10}(?:-[A-Z0-9][A-Za-z0-9]*)+\b"
-PHRASE = r"\b[a-z]{3,}(?: [a-z]{3,}){1,2}\b"
+# The patterns of the four classes of terms; \b sees the letters of every script.
+MULTI = r"(?U)\b[A-Z][A-Za-z0-9]*(?:[ ](?:of|for|and|the|in|with|to)?[ ]?[A-Z][A-Za-z0-9]*){1,3}\b"
+ACRONYM = r"(?U)\b[A-Z]{2,12}\b"
+MODEL = r"(?U)\b[A-Z][A-Za-z0-9]{0,10}(?:-[A-Z0-9][A-Za-z0-9]*)+\b"
+PHRASE = r"(?U)\b[a-z]{3,}(?: [a-z]{3,}){1,2}\b"
 # Words that no lower-case phrase has.
-STOP = (
-    "the and for with this that from are can will when where which into onto than then not but all any each per via use used using have has had was were been must should may might after before during between "
-    "such same other more most less least only also both over under out off its his her our their there here what how why"
-).split()
+STOP = [
+    "the", "and", "for", "with", "this", "that", "from", "are", "can", "will", "when", "where", "which", "into", "onto", "than", "then", "not", "but", "all", "any", "each", "per", "via", "use", "used",
+    "using", "have", "has", "had", "was", "were", "been", "must", "should", "may", "might", "after", "before", "during", "between", "such", "same", "other", "more", "most", "less", "least", "only",
+    "also", "both", "over", "under", "out", "off", "its", "his", "her", "our", "their", "there", "here", "what", "how", "why",
+]
+# Words of legal notices and stock sentences, which no lower-case phrase has either.
+BOILERPLATE = [
+    "notice", "copyright", "copyrights", "patent", "patents", "rights", "reserved", "asserted", "covered", "mentioned", "approved", "edition", "labels", "sheets", "liability", "warranty", "declined",
+    "responsibility", "assumes", "disclaims", "permission", "without", "except", "provided", "reproduction", "transmission", "retrieval", "photocopying", "recording", "scanning", "information", "material",
+    "materials", "products", "manufacturer", "supplier", "reference", "consult", "contact", "address", "establish", "ensure", "ensures", "appropriate", "applicable", "relevant", "following", "above",
+    "below", "given", "shown", "listed", "described", "discussed",
+]
+# Everyday words of manuals, which no capitalised phrase has.
+EVERYDAY = [
+    "with", "note", "caution", "warning", "figure", "table", "chapter", "section", "page", "manual", "contents", "appendix", "revision", "continued", "example", "default", "description", "parameter",
+    "parameters", "setting", "settings", "function", "display", "menu", "screen", "status", "system", "control", "operation", "installation", "maintenance", "troubleshooting", "overview", "introduction",
+    "general", "item", "items", "step", "steps", "no", "yes", "on", "off", "ok", "id", "part", "name", "type", "size", "mode", "data", "time", "date", "led", "lcd", "usb", "ac", "dc", "rpm", "psi", "kpa",
+    "mpa", "circuit", "diagram", "wiring", "power", "supply", "voltage", "current", "signal", "output", "input", "error", "alarm", "code", "press", "touch", "select", "enter", "set", "clear", "start", "stop",
+    "open", "close", "this", "that", "these", "those",
+]
 
 
 def terms(docs: DataFrame, text_col: str = "text", least: int = 4, top: int = 4000) -> DataFrame:
     """(term, tf): candidates of four classes, each with its own least frequency.
 
-    A phrase of three words also counts as its two pairs. Terms that differ in
-    case are one, with the highest count's spelling.
+    Capitalised phrases with an everyday word and lower-case phrases with a stop
+    or boilerplate word are no candidates. A phrase of three words also counts
+    as its two pairs. Terms that differ in case are one, with the highest
+    count's spelling. ``top``: the report has that many terms at most.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    clean = F.filter(found(PHRASE), lambda p: ~F.exists(F.split(p, " "), lambda w: w.isin(STOP)))
+    without = lambda words, low=False: lambda p: ~F.arrays_overlap(F.split(F.lower(p) if low else p, " +"), F.array(*map(F.lit, words)))
+    multi = F.filter(found(MULTI), without(EVERYDAY, True))
+    clean = F.filter(found(PHRASE), without(STOP + BOILERPLATE))
     pairs = F.flatten(F.transform(F.filter(clean, lambda p: F.size(F.split(p, " ")) == 3), lambda p: F.array(F.substring_index(p, " ", 2), F.substring_index(p, " ", -2))))
-    classes = [("multi", found(MULTI), least), ("acronym", found(ACRONYM), 2 * least), ("model", F.transform(F.filter(found(MODEL), lambda m: F.length(m) >= 3), F.lower), least), ("phrase", F.concat(clean, pairs), 2 * least)]
+    classes = [("multi", multi, least), ("acronym", found(ACRONYM), 2 * least), ("model", F.transform(F.filter(found(MODEL), lambda m: F.length(m) >= 3), F.lower), least), ("phrase", F.concat(clean, pairs), 2 * least)]
     tagged = lambda k, n: lambda x: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("least"), x.alias("term"))
     rows = docs.select(F.explode(F.concat(*[F.transform(a, tagged(k, n)) for k, a, n in classes])).alias("r")).select("r.*")
     counted = rows.groupBy("kind", "least", "term").agg(F.count("*").alias("tf")).filter("tf >= least")
-    one = Window.partitionBy(F.lower("term")).orderBy(F.desc("tf"), "term")
-    best = counted.withColumn("n", F.row_number().over(one)).filter("n = 1")
+    best = counted.groupBy(F.lower("term").alias("key")).agg(F.max_by("term", F.struct("tf", "term")).alias("term"), F.max("tf").alias("tf"))
     return best.orderBy(F.desc("tf"), "term").limit(top).select("term", "tf")
 
 

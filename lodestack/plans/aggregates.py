@@ -142,7 +142,23 @@ def slides(spark, d):
     return c.join(f, ["source", "content"]).join(n, "source").filter(~text.is_noise(F.col("content"), F.col("df"), F.col("least"))).select("chunk_id")
 
 
-@query("d12_terms")
+# The documents' only characters beyond ASCII are letters; ``_`` stands for them, as RE2's word boundary knows ASCII only.
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_FOUND = lambda pattern: f"regexp_extract_all(t, '{pattern.removeprefix('(?U)')}')"
+TERMS = f"""WITH d AS (SELECT regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS t FROM documents),
+phrase AS (SELECT p FROM (SELECT unnest({_FOUND(glossary.PHRASE)}) AS p FROM d) WHERE NOT list_has_any(string_split(p, ' '), {_LIST(glossary.STOP + glossary.BOILERPLATE)})),
+c AS (
+  SELECT 4 AS least, 'multi' AS kind, p AS term FROM (SELECT unnest({_FOUND(glossary.MULTI)}) AS p FROM d) WHERE NOT list_has_any(regexp_split_to_array(lower(p), ' +'), {_LIST(glossary.EVERYDAY)})
+  UNION ALL SELECT 8, 'acronym', unnest({_FOUND(glossary.ACRONYM)}) FROM d
+  UNION ALL SELECT 4, 'model', lower(p) FROM (SELECT unnest({_FOUND(glossary.MODEL)}) AS p FROM d) WHERE length(p) >= 3
+  UNION ALL SELECT 8, 'phrase', p FROM phrase
+  UNION ALL SELECT 8, 'phrase', array_to_string(string_split(p, ' ')[1:2], ' ') FROM phrase WHERE length(p) - length(replace(p, ' ', '')) = 2
+  UNION ALL SELECT 8, 'phrase', array_to_string(string_split(p, ' ')[2:3], ' ') FROM phrase WHERE length(p) - length(replace(p, ' ', '')) = 2
+), n AS (SELECT kind, term, count(*) AS tf FROM c GROUP BY kind, term, least HAVING count(*) >= least)
+SELECT arg_max(term, (tf, term)) AS term, max(tf) AS tf FROM n GROUP BY lower(term) ORDER BY tf DESC, term LIMIT 4000"""
+
+
+@query("d12_terms", TERMS)
 def terms(spark, d):
     return glossary.terms(table(spark, d, "documents"))
 
