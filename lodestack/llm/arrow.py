@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,20 +179,22 @@ def bound_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests on one machine) is a folder
-    of its own set.
+    Only where the session names none and all of Spark runs on this machine (as
+    in tests) is a folder of its own used; elsewhere that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:///tmp/checkpoints/lodestack"
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
-    Cuts the lineage; lost executors cost nothing that was written.
+    Cuts the lineage; lost executors cost nothing that was written. The table
+    stays until it is dropped.
     """
     bound_batches(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -199,5 +202,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*stashed: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in stashed:
+        if files := df.inputFiles():
+            fs, folder = pafs.FileSystem.from_uri(files[0].rsplit("/", 1)[0])
+            fs.delete_dir(folder)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
