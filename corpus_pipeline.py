@@ -45,10 +45,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; ``n_chars`` follows."""
-    found = secrets.redact(secrets.scan(_packed(docs, "text")))
-    out = found.select("__row.*", F.col("text").alias("__text"))
-    changed = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(changed).select(*[f"`{c}`" for c in docs.columns])
+    found = secrets.redact(secrets.scan(_packed(docs, "text"))).select("__row", "text")
+    changed = {"text": F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return found.select(*[changed.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +214,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, one of each class."""
     judged = stash(near_duplicates(docs, id_col, text_col, threshold).select("doc_id", "text_key", "node", "first"), "near-classes")
     losers = judged.filter("not first").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.col(text_col).cast("string")))
-    left = keyed.join(losers, keyed[id_col].eqNullSafe(losers["__id"]) & (keyed["__text_key"] == losers["__key"]), "left_anti")
+    # The whole row as one column, so that no name in it can clash.
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`").alias("__own"), F.xxhash64(text).alias("__text_key"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("__word"))
+    left = keyed.join(losers, keyed["__own"].eqNullSafe(losers["__id"]) & (keyed["__text_key"] == losers["__key"]), "left_anti")
     copies = judged.filter("first and node is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
     if not copies.isEmpty():  # whole rows that come more than once
-        has_word = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-        left = left.filter(has_word).dropDuplicates([id_col, "__text_key"]).unionByName(left.filter(~has_word))
-    return left.drop("__text_key")
+        left = left.filter("__word").dropDuplicates(["__own", "__text_key"]).unionByName(left.filter("not __word"))
+    return left.select("__row.*")
 
 
 def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: DataFrame, threshold: float) -> DataFrame:
@@ -230,7 +231,7 @@ def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: Da
     # Whole texts of the nodes in question, from one row each.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
     source = sig.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(order).alias("o")).select("o.__id", "o.__key")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
     rows = rows.join(source, rows["doc_id"].eqNullSafe(source["__id"]) & (rows["text_key"] == source["__key"]), "left_semi")
     bags = stash(_bags(rows.dropDuplicates(["doc_id", "text_key"])), "near-bags")
 
