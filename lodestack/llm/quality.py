@@ -5,16 +5,14 @@ log-linear histogram is the quantile sketch of a measure: values below 64 have
 buckets of their own, larger ones share a bucket with those of the same five
 leading bits after the first, so a quantile is right within 1/32. Histograms
 merge by adding counts: they are built for each language and source, merged
-into those of a language and of all rows, and give the quartiles. A document is
-kept if every measure lies within three quartile distances (a least distance
-for each measure is a parameter) of the quartiles of its own language and
-source; a group of fewer than ``LEAST_GROUP`` documents takes its language's, or
-that of all rows. Learned are documents that pass the base rule.
-
-The least distances above let ``repeats`` fail nothing that the base rule keeps.
-With ``learned`` the fence comes from the sketch alone as far as it can: three
-quartile distances, or the 0.99 quantile where the quartiles are equal; the
-least distances (``FLOORS``) are below what the base rule allows.
+into those of a language and of all rows, and give the quartiles. The quartiles
+of a language are drawn towards those of all rows, and those of a language and
+source towards its language's, with the weight of ``PRIOR`` documents, so a
+small group borrows from a large one and thresholds change smoothly as it grows.
+A document is kept if every measure lies within ``REACH`` quartile distances of
+the quartiles of its own language and source. Where the quartiles are close,
+``FLOORS`` take the place of their distance; three of them lie within what the
+base rule allows. Learned are documents that pass the base rule.
 
 Words end at 0x20 and 0x09 to 0x0D. Defined results: null text has no words, no
 lines and fails the base rule; null languages and sources are groups of their
@@ -34,18 +32,16 @@ from .arrow import SPACE, append_columns, mix, split_words, stash, texts_of
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30  # base rule: words, per cent
-LEAST_GROUP = 200
+PRIOR = 200  # documents that a larger group's quartiles count as
 REACH = 3  # quartile distances
 #: Measure: (least distance, whether values below the fence fail too), in millionths.
 MEASURES = {
-    "word_length": (500_000, True),
-    "symbols": (15_000, False),
-    "dup_lines": (120_000, False),
-    "repeats": (100_000, False),
+    "word_length": (300_000, True),
+    "symbols": (5_000, False),
+    "dup_lines": (80_000, False),
+    "repeats": (50_000, False),
 }
-
-#: Least distances of the learned fences: three of them lie within the base rule.
-FLOORS = {"word_length": 100_000, "symbols": 5_000, "dup_lines": 30_000, "repeats": 20_000}
+FLOORS = {m: d for m, (d, _) in MEASURES.items()}
 
 
 def repeated_words(h: np.ndarray, first: np.ndarray, n: int = WINDOW) -> np.ndarray:
@@ -115,21 +111,25 @@ def top_of(bucket: str):
 
 
 def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """n, q1, q3 and q99 of each measure from sketches merged by ``keys``."""
+    """n, q1 and q3 of each measure from sketches merged by ``keys``."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "measure")
     run = merged.select(*keys, "measure", "bucket", F.sum("n").over(w.orderBy("bucket")).alias("run"), F.sum("n").over(w).alias("n"))
-    least = lambda q, of=4: F.min(F.when(F.col("run") * of >= F.col("n") * q, F.col("bucket")))
-    out = run.groupBy(*keys, "measure").agg(F.max("n").alias("n"), least(1).alias("b1"), least(3).alias("b3"), least(99, 100).alias("b99"))
-    return out.select(*keys, "measure", "n", top_of("b1").alias("q1"), top_of("b3").alias("q3"), top_of("b99").alias("q99"))
+    least = lambda q: F.min(F.when(F.col("run") * 4 >= F.col("n") * q, F.col("bucket")))
+    out = run.groupBy(*keys, "measure").agg(F.max("n").alias("n"), least(1).alias("b1"), least(3).alias("b3"))
+    return out.select(*keys, "measure", "n", top_of("b1").alias("q1"), top_of("b3").alias("q3"))
+
+
+def drawn(own: str, n: str, wider: str) -> str:
+    """A group's quartile, drawn towards the wider group's by the weight of PRIOR documents; integers, as SQL."""
+    return f"({n} * {own} + {PRIOR} * {wider}) div ({n} + {PRIOR})"
 
 
-def fences(rows: DataFrame, keys: tuple[str, str] = ("lang", "source"), learned: bool = False) -> DataFrame:
+def fences(rows: DataFrame, keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """Lowest and highest value that is kept, for each group and measure.
 
     ``rows``: the groups' columns and a ``values`` map of the measures of the
-    rows to learn from. ``learned``: equal quartiles give way to the 0.99
-    quantile, and the least distances are those of ``FLOORS``.
+    rows to learn from.
     """
     one, two = keys
     long = rows.select(one, two, F.explode("values").alias("measure", "value"))
@@ -137,22 +137,20 @@ def fences(rows: DataFrame, keys: tuple[str, str] = ("lang", "source"), learned:
     named = lambda df, tag: df.withColumnsRenamed({c: f"{c}_{tag}" for c in df.columns})
     own, lang, every = quartiles(sketch, [one, two]), named(quartiles(sketch, [one]), "l"), named(quartiles(sketch, []), "a")
     out = own.join(lang, own[one].eqNullSafe(lang[f"{one}_l"]) & (own["measure"] == lang["measure_l"])).join(every, own["measure"] == every["measure_a"])
-    pick = lambda c: F.when(F.col("n") >= LEAST_GROUP, F.col(c)).when(F.col("n_l") >= LEAST_GROUP, F.col(f"{c}_l")).otherwise(F.col(f"{c}_a"))
-    least = F.create_map(*[F.lit(x) for m, (d, _) in MEASURES.items() for x in (m, FLOORS[m] if learned else d)])[F.col("measure")]
-    reach = REACH * F.greatest(pick("q3") - pick("q1"), least)
-    high = pick("q3") + reach
-    if learned:
-        high = F.when(pick("q3") > pick("q1"), high).otherwise(F.greatest(pick("q99"), high))
+    out = out.withColumns({f"w{k}": F.expr(drawn(f"q{k}_l", "n_l", f"q{k}_a")) for k in (1, 3)})
+    out = out.withColumns({f"d{k}": F.expr(drawn(f"q{k}", "n", f"w{k}")) for k in (1, 3)})
+    least = F.create_map(*[F.lit(x) for m, d in FLOORS.items() for x in (m, d)])[F.col("measure")]
+    reach = REACH * F.greatest(F.col("d3") - F.col("d1"), least)
     both = F.col("measure").isin([m for m, (_, b) in MEASURES.items() if b])
-    return out.select(one, two, "measure", F.when(both, pick("q1") - reach).otherwise(F.lit(-1)).alias("low"), high.alias("high"))
+    return out.select(one, two, "measure", F.when(both, F.col("d1") - reach).otherwise(F.lit(-1)).alias("low"), (F.col("d3") + reach).alias("high"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), learned: bool = False) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source")) -> DataFrame:
     """One row for each document: its id, the counts, ``base_failed``, ``failed`` (measures outside their fences) and ``kept``."""
     counted = stash(measure(docs.select(id_col, *keys, text_col), text_col, keep=[id_col, *keys]), "quality-counts")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = counted.withColumn("base_failed", failed).withColumn("values", F.create_map(*[x for m, v in _values().items() for x in (F.lit(m), v)]))
-    limits = fences(rows.filter("not base_failed"), keys, learned)
+    limits = fences(rows.filter("not base_failed"), keys)
     # The joined filter: one row of limits for each group.
     wide = limits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("limits")).withColumnsRenamed({k: f"__{k}" for k in keys})
     joined = rows.join(wide, rows[keys[0]].eqNullSafe(wide[f"__{keys[0]}"]) & rows[keys[1]].eqNullSafe(wide[f"__{keys[1]}"]), "left")
@@ -167,12 +165,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def learned_query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs, learned=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-
-
 _BUCKET = "CASE WHEN v < 64 THEN v ELSE (length(bin(v)) - 6) * 32 + (v >> (length(bin(v)) - 6)) END"
+_DRAWN = f"({{n}} * {{q}} + {PRIOR} * {{w}}) // ({{n}} + {PRIOR})"
 _TOP = "CASE WHEN {b} < 64 THEN {b} ELSE (({b} - ({b} // 32 - 1) * 32 + 1) << CAST({b} // 32 - 1 AS INT)) - 1 END"
 
 
@@ -208,12 +202,11 @@ counts AS (
 ), sketch AS (
   SELECT lang, source, measure, {_BUCKET} AS bucket, count(*) AS n FROM long WHERE NOT base_failed GROUP BY ALL
 ), own AS ({_quartile_sql(["lang", "source"])}), per_lang AS ({_quartile_sql(["lang"])}), per_all AS ({_quartile_sql([])}),
+wide AS (SELECT l.lang, l.measure, l.n, {_DRAWN.format(q="l.q1", n="l.n", w="a.q1")} AS q1, {_DRAWN.format(q="l.q3", n="l.n", w="a.q3")} AS q3 FROM per_lang l JOIN per_all a ON l.measure = a.measure),
 picked AS (
-  SELECT o.lang, o.source, o.measure,
-         CASE WHEN o.n >= {LEAST_GROUP} THEN o.q1 WHEN l.n >= {LEAST_GROUP} THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.n >= {LEAST_GROUP} THEN o.q3 WHEN l.n >= {LEAST_GROUP} THEN l.q3 ELSE a.q3 END AS q3,
-         CASE o.measure {" ".join(f"WHEN '{m}' THEN {d}" for m, (d, _) in MEASURES.items())} END AS least
-  FROM own o JOIN per_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN per_all a ON o.measure = a.measure
+  SELECT o.lang, o.source, o.measure, {_DRAWN.format(q="o.q1", n="o.n", w="w.q1")} AS q1, {_DRAWN.format(q="o.q3", n="o.n", w="w.q3")} AS q3,
+         CASE o.measure {" ".join(f"WHEN '{m}' THEN {d}" for m, d in FLOORS.items())} END AS least
+  FROM own o JOIN wide w ON o.lang IS NOT DISTINCT FROM w.lang AND o.measure = w.measure
 ), fences AS (
   SELECT lang, source, measure, CASE WHEN measure IN ({", ".join(f"'{m}'" for m, (_, b) in MEASURES.items() if b)}) THEN q1 - {REACH} * greatest(q3 - q1, least) ELSE -1 END AS low,
          q3 + {REACH} * greatest(q3 - q1, least) AS high FROM picked

@@ -9,7 +9,6 @@ QUERIES = {
     "op8_language_model": language_model.query,
     "op1_substring_dedup": substring_dedup.query,
     "op2_quality_rules": quality.query,
-    "op2_learned_fences": quality.learned_query,
     "op3_language_id": langid.query,
     "op7_token_counts": token_counts.query,
     "op4_near_dup": near_dup.query,

@@ -58,21 +58,52 @@ def test_learned_fences(spark):
     run, odd = [f"lauf{i}" for i in range(8)], {}
     odd["repeats"] = " ".join(words[:42] + run + words[42:84] + run)  # 16 of 100 words
     odd["symbols"] = clean + " ##"
-    odd["dup_lines"] = clean + "\nx\nx\nx"
+    odd["dup_lines"] = clean + "\nx" * 6
     odd["word_length"] = clean.replace("wort", "langeswort")
     rows = [(i, clean, "de", "s") for i in range(600)] + [(1000 + i, t, "de", "s") for i, t in enumerate(odd.values())]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    by = {r.doc_id: r for r in Q.judge(df, learned=True).collect()}
+    by = {r.doc_id: r for r in Q.judge(df).collect()}
     assert all(by[i].kept for i in range(600))
     for i, m in enumerate(odd):
         assert not by[1000 + i].base_failed and m in by[1000 + i].failed and not by[1000 + i].kept, m
-    assert "repeats" not in {r.doc_id: r for r in Q.judge(df).collect()}[1000].failed
-    assert Q.judge(df.limit(0), learned=True).count() == 0
 
 
-def test_learned_quantile(spark):
-    """Equal quartiles: the 0.99 quantile is the fence, so a measure that 3 % of a source have is kept up to it."""
-    rows = [("de", "s", {"repeats": 0})] * 970 + [("de", "s", {"repeats": 200_000})] * 30
-    df = spark.createDataFrame(rows, "lang string, source string, values map<string, bigint>")
-    high = Q.fences(df, learned=True).first().high
-    assert 200_000 <= high < 300_000 <= Q.fences(df).first().high
+def test_small_groups_borrow(spark):
+    """A source's fence goes from its language's to its own as it grows, without a jump."""
+    highs = []
+    for n in (1, 50, 199, 200, 201, 20000):
+        rows = [("de", "big", {"symbols": 0})] * 20000 + [("de", "own", {"symbols": 400_000})] * n
+        df = spark.createDataFrame(rows, "lang string, source string, values map<string, bigint>")
+        highs.append(Q.fences(df).filter("source = 'own'").first().high)
+    assert highs == sorted(highs) and highs[0] < 30_000 and highs[-1] > 390_000
+    assert highs[4] - highs[2] < 5_000
+
+
+def test_thresholds_of_every_group(spark):
+    """Fences against plain Python: quartiles of sketches, drawn towards the wider groups."""
+    import random
+
+    r = random.Random(7)
+    data = [(r.choice(["de", "en", None]), r.choice(["a", "b", None]), {m: r.choice([0, 5, 63, 64, 900, r.randrange(10**6)]) for m in Q.MEASURES}) for _ in range(700)]
+    got = {(x.lang, x.source, x.measure): (x.low, x.high) for x in Q.fences(spark.createDataFrame(data, "lang string, source string, values map<string, bigint>")).collect()}
+
+    def top(v):
+        if v < 64:
+            return v
+        shift = v.bit_length() - 6
+        return ((v >> shift) + 1 << shift) - 1
+
+    def quartile(values, q):
+        values = sorted(top(v) for v in values)
+        return next(v for i, v in enumerate(values, 1) if i * 4 >= len(values) * q)
+
+    for (lang, source, m), (low, high) in got.items():
+        groups = [[x[2][m] for x in data if test(x)] for test in (lambda x: True, lambda x: x[0] == lang, lambda x: x[:2] == (lang, source))]  # noqa: B023
+        q = {}
+        for k in (1, 3):
+            q[k] = quartile(groups[0], k)
+            for own in groups[1:]:
+                q[k] = (len(own) * quartile(own, k) + Q.PRIOR * q[k]) // (len(own) + Q.PRIOR)
+        reach = Q.REACH * max(q[3] - q[1], Q.FLOORS[m])
+        assert high == q[3] + reach and low == (q[1] - reach if Q.MEASURES[m][1] else -1)
+    assert len(got) == 9 * len(Q.MEASURES)
