@@ -7,8 +7,10 @@ boundaries, hashed into ``BUCKETS`` counters). A Viterbi pass over the words
 with a switching penalty labels them; runs of one label are the spans, and the
 language with most letters (bytes of words) is the document's.
 
-Training counts n-grams of all labelled texts; the model has a fixed size of
-``BUCKETS`` numbers a language, and at most ``MAX_LANGUAGES`` languages.
+Training counts n-grams of all labelled texts. The model has ``BUCKETS`` numbers
+a language for up to ``MAX_LANGUAGES`` languages; with more of them neighbouring
+counters are joined, so that its size stays the same. (Beyond 32 times as many
+languages fewer than ``LEAST_BUCKETS`` would be left, which is an error.)
 
 Defined results: null text, text without a letter, or a model without
 languages gives ``und``, score 0 and no spans; ties go to the language that
@@ -24,15 +26,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import LOWER, SPACE, Words, append_columns, mix, slices, split_words, texts_of
+from .arrow import LOWER, SPACE, Words, append_columns, mix, slices, split_words, stash, texts_of
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4, 5)
-MAX_LANGUAGES = 256
+MAX_LANGUAGES, LEAST_BUCKETS = 256, 1 << 10
 PENALTY = 9.0
 #: n-grams of several orders repeat the same evidence.
 DAMPING = 0.5
@@ -95,7 +98,7 @@ def scripts(u: Words) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    logp: np.ndarray  # BUCKETS x languages
+    logp: np.ndarray  # buckets x languages
     allowed: np.ndarray  # scripts x languages
 
 
@@ -122,24 +125,36 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counted = rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # At most MAX_LANGUAGES x (BUCKETS + scripts) rows, whatever the input.
-    table = counted.limit(MAX_LANGUAGES * width + 1).toPandas()
-    languages = sorted(table["lang"].unique().tolist())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model is bounded to {MAX_LANGUAGES}")
-    n = np.zeros((width, len(languages)))
-    n[table["bucket"].to_numpy(), np.searchsorted(np.array(languages, dtype=object).astype(str), table["lang"].to_numpy().astype(str)) if languages else []] = table["n"].to_numpy()
-    body = n[:BUCKETS] + SMOOTHING
+    counted = stash(rows.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "langid-counts")
+    many, size = counted.select("lang").distinct().count(), BUCKETS
+    while many * size > MAX_LANGUAGES * BUCKETS:
+        size //= 2
+    if size < LEAST_BUCKETS:
+        raise ValueError(f"{many} languages; the model is bounded to {MAX_LANGUAGES * BUCKETS // LEAST_BUCKETS}")
+    # The low bits of a bucket's number are those of its hash.
+    place = F.when(F.col("bucket") < BUCKETS, F.col("bucket") % size).otherwise(F.col("bucket") - BUCKETS + size)
+    wide = size + len(NAMES) + 1
+
+    def dense(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.bincount(pdf["bucket"], weights=pdf["n"], minlength=wide)
+        return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "counts": [own.tobytes()]})
+
+    # One row a language, MAX_LANGUAGES x BUCKETS numbers and those of the scripts at most, whatever the input.
+    table = counted.select("lang", place.alias("bucket"), "n").groupBy("lang").applyInPandas(dense, "lang string, counts binary").collect()
+    table = sorted((r.lang, r.counts) for r in table)
+    languages = [lang for lang, _ in table]
+    n = np.array([np.frombuffer(x) for _, x in table]).reshape(len(table), wide).T
+    body = n[:size] + SMOOTHING
     logp = np.log(body / body.sum(0, keepdims=True)) if languages else body
     logp = (logp - logp.mean(1, keepdims=True)) * DAMPING if languages else logp
-    share = n[BUCKETS:] / np.maximum(1, n[BUCKETS:].sum(0))
+    share = n[size:] / np.maximum(1, n[size:].sum(0))
     return Model(languages, logp.astype(np.float32), share >= SCRIPT_SHARE)
 
 
 def word_scores(u: Words, m: Model) -> np.ndarray:
     """Log-likelihood, less the languages' mean, of each word in each language."""
     owner, bucket = grams(u)
+    bucket %= len(m.logp)
     out = np.zeros((len(u), len(m.languages)), np.float64)
     for k in range(len(m.languages)):
         out[:, k] = np.bincount(owner, weights=m.logp[bucket, k], minlength=len(u))
@@ -221,3 +236,53 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = fit(docs.filter("not held_out and doc_id is not null"))
     return identify(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
+def brute_force(train: list[tuple[str | None, str | None]], texts: list[str | None]) -> list[tuple[str, float]]:
+    """(lang_pred, score) of texts, a word and an n-gram at a time; for tests."""
+    import re
+    from collections import Counter, defaultdict
+
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())
+
+    def buckets(word: bytes) -> list[int]:
+        b = b" " + bytes(LOWER[c] for c in word) + b" "
+        codes = [sum(c << 8 * k for k, c in enumerate(b[i : i + n])) + (n << 56) for n in ORDERS for i in range(len(b) - n + 1)]
+        return (mix(np.array(codes, np.uint64)) % np.uint64(BUCKETS)).tolist()
+
+    seen, kinds = defaultdict(Counter), defaultdict(Counter)
+    for t, lang in train:
+        if t is not None and lang is not None:
+            for w in split(t):
+                seen[lang].update(buckets(w))
+                kinds[lang][max(_SCRIPT[c] for c in w)] += 1
+            seen[lang].update([])
+    langs = sorted(seen)
+    n = np.array([[seen[x][b] for x in langs] for b in range(BUCKETS)], float).reshape(BUCKETS, len(langs)) + SMOOTHING
+    logp = np.log(n / n.sum(0)) if langs else n
+    logp = ((logp - logp.mean(1, keepdims=True)) * DAMPING).astype(np.float32) if langs else n
+    allowed = {k: [kinds[x][k] / max(1, sum(kinds[x].values())) >= SCRIPT_SHARE for x in langs] for k in range(len(NAMES) + 1)}
+    out = []
+    for t in texts:
+        words = split(t)
+        if not langs or not words or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        v, back = [0.0] * len(langs), []
+        script = [max(_SCRIPT[c] for c in w) for w in words]
+        for i, w in enumerate(words):
+            own = [0.0] * len(langs)
+            if script[i] and any(allowed[script[i]]):
+                b = buckets(w)
+                own = [float(np.cumsum(logp[b, k].astype(np.float64))[-1]) if allowed[script[i]][k] else -50.0 for k in range(len(langs))]
+            best = v.index(max(v))
+            top = v[best] - PENALTY if i else 0.0
+            back.append([k if v[k] >= top else best for k in range(len(langs))])
+            v = [max(v[k], top) + own[k] for k in range(len(langs))]
+        k, share = v.index(max(v)), [0] * len(langs)
+        for i in range(len(words) - 1, -1, -1):
+            share[k] += len(words[i]) if script[i] else 0
+            k = back[i][k]
+        best = share.index(max(share))
+        out.append((langs[best], share[best] / max(1, sum(share))))
+    return out

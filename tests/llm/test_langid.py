@@ -39,3 +39,25 @@ def test_held_out_accuracy(spark):
     got = L.query(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
     r = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.count("*").alias("n")).first()
     assert r.n > 100 and r.a > 0.95
+
+
+def test_query_like_brute_force(spark, tiny):
+    import zlib
+
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").collect()
+    held = {d.doc_id: zlib.crc32(str(d.doc_id).encode()) % 4 == 2 for d in docs}
+    want = L.brute_force([(d.text, d.lang) for d in docs if not held[d.doc_id]], [d.text for d in docs])
+    got = {r.doc_id: r for r in L.query(spark, tiny).collect()}
+    assert len(got) == len(docs)
+    for d, (pred, score) in zip(docs, want):
+        r = got[d.doc_id]
+        assert (r.held_out, r.lang_pred) == (held[d.doc_id], pred) and abs(r.score - score) < 1e-12
+
+
+def test_many_languages(spark):
+    """More languages than the model has room for: counters are joined, all languages stay."""
+    texts = [(f"wort{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i:03d}") for i in range(300)]
+    model = L.fit(spark.createDataFrame(texts, "text string, lang string"))
+    assert len(model.languages) == 300 and model.logp.size <= L.MAX_LANGUAGES * L.BUCKETS
+    got = L.identify(spark.createDataFrame(texts, "text string, lang string"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 290
