@@ -29,7 +29,9 @@ cut into ``BANDS`` bands of ``ROWS`` components. Inside a band's bucket:
 
 So no link between texts that share a bucket is lost, and a large group of
 texts, most of which resemble one of them, costs its size and not its square.
-Overlaps are counted exactly.
+Overlaps are counted exactly. The members of a large bucket or class are dealt
+over several keys in joins; what is grouped by bucket or class is added up in
+parts first.
 
 Defined results: a text of one to four words is one shingle; null text and text
 without words are alone in their class; rows with a null id have a class of
@@ -48,13 +50,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import SPACE, mix, slices, split_words, stash, texts_of
+from .arrow import SPACE, drop, mix, slices, split_words, stash, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Members of a class that say what most of it has; any number gives the same links.
 MODELS = 31
 ROWS, BANDS = 6, 32
+#: Members of a bucket, or of a class, that a join puts together; more of them are dealt over several keys.
+TOGETHER, CLASS_KEYS = 500, 16
 M = ROWS * BANDS
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
@@ -172,8 +176,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         step = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         upper = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = stash(step.join(upper, "label", "left").select("node", "old", F.least("label", "up").alias("label")), name)
+        drop(labels)
         labels = new.select("node", "label")
         if new.filter("old <> label").isEmpty():
+            drop(both)
             return labels
 
 
@@ -226,7 +232,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: DataFrame, threshold: float) -> DataFrame:
     support = multi.groupBy("node").agg(F.sum("n").alias("support"))
-    multi = stash(multi.join(support, "node").select("bucket", "node", "support"), "near-buckets")
+    keys = F.ceil(F.col("n") / TOGETHER).cast("int")
+    multi = stash(multi.join(support, "node").select("bucket", "node", "support", keys.alias("keys"), F.pmod(F.xxhash64("node"), keys.cast("bigint")).cast("int").alias("key")), "near-buckets")
+    # A row for every bucket, for each key that the bucket's members are dealt over.
+    dealt = lambda df: df.withColumn("key", F.explode(F.sequence(F.lit(0), F.col("keys") - 1))).drop("keys")
+    keys, by = F.max("keys").alias("keys"), ["bucket", "key"]
     wanted = support.select("node")
     # Whole texts of the nodes in question, from one row each.
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
@@ -235,8 +245,8 @@ def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: Da
     rows = rows.join(source, rows["doc_id"].eqNullSafe(source["__id"]) & (rows["text_key"] == source["__key"]), "left_semi")
     bags = stash(_bags(rows.dropDuplicates(["doc_id", "text_key"])), "near-bags")
 
-    heads = multi.groupBy("bucket").agg(F.max(F.struct("support", "node"))["node"].alias("head"))
-    with_head = multi.join(heads, "bucket").filter("node <> head")
+    heads = multi.groupBy("bucket").agg(F.max(F.struct("support", "node"))["node"].alias("head"), keys)
+    with_head = multi.join(dealt(heads), by).filter("node <> head")
     pairs = with_head.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     judged = stash(_compared(pairs, bags), "near-judged")
     loops = wanted.select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -244,18 +254,21 @@ def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: Da
 
     ends = lambda side, df=None: (labels if df is None else df).select(F.col("node").alias(side), F.col("label").alias(f"l{side}"))
     left = with_head.join(labels, "node").join(ends("head"), "head").filter("label <> lhead")
-    second = left.groupBy("bucket").agg(F.max(F.struct("support", "node", "label")).alias("h")).select("bucket", F.col("h.node").alias("b"), F.col("h.label").alias("lb"))
-    pairs = left.join(second, "bucket").filter("label <> lb").select(F.col("node").alias("a"), "b").distinct()
+    second = left.groupBy("bucket").agg(F.max(F.struct("support", "node", "label")).alias("h"), keys).select("bucket", F.col("h.node").alias("b"), F.col("h.label").alias("lb"), "keys")
+    pairs = left.join(dealt(second), by).filter("label <> lb").select(F.col("node").alias("a"), "b").distinct()
     labels = _judge(pairs, bags, labels, threshold, "near-second")
 
     # A bucket's class is the largest that its members meet in their buckets; nodes apart from it, with its members.
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    placed = stash(multi.select("bucket", "node").join(labels, "node").join(sizes, "label"), "near-placed")
-    mixed = placed.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high"))
-    home = placed.select("bucket", "node").join(mixed.select("bucket", "top"), "bucket").groupBy("node").agg(F.max("top").alias("home"))
-    met = placed.join(mixed.filter("low <> high").select("bucket"), "bucket", "left_semi").join(home, "node")
-    cls = met.groupBy("bucket").agg(F.max("home")["label"].alias("cls"))
-    away = stash(met.join(cls, "bucket").filter("label <> cls").select("node", "label", "cls").distinct(), "near-away")
+    # A class may hold a third of all members: its size goes to them by several keys.
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(CLASS_KEYS - 1))))
+    share = F.pmod(F.xxhash64("bucket", "node"), F.lit(CLASS_KEYS)).cast("int")
+    placed = multi.select("bucket", "key", "keys", "node").join(labels, "node").withColumn("share", share).join(sizes, ["label", "share"], "left")
+    placed = stash(placed.select("bucket", "key", "keys", "node", "label", F.coalesce("size", F.lit(1)).alias("size")), "near-placed")
+    mixed = placed.groupBy("bucket").agg(F.max(F.struct("size", "label")).alias("top"), F.min("label").alias("low"), F.max("label").alias("high"), keys)
+    home = placed.select("bucket", "key", "node").join(dealt(mixed.select("bucket", "top", "keys")), by).groupBy("node").agg(F.max("top").alias("home"))
+    met = placed.join(dealt(mixed.filter("low <> high").select("bucket", "keys")), by, "left_semi").join(home, "node")
+    cls = met.groupBy("bucket").agg(F.max("home")["label"].alias("cls"), keys)
+    away = stash(met.join(dealt(cls), by).filter("label <> cls").select("node", "label", "cls").distinct(), "near-away")
     inside = labels.join(away.select(F.col("cls").alias("label")).distinct(), "label", "left_semi").select("node", "label", F.col("label").alias("cls"))
     some = Window.partitionBy("cls").orderBy(F.xxhash64("node"), "node")
     models = inside.withColumn("place", F.row_number().over(some)).filter(F.col("place") <= MODELS)
@@ -285,7 +298,9 @@ def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: Da
     sized = fit.join(others, ["cls", "size"]).filter((F.col("l1") != F.col("l2")) & (F.col("both2") >= t * (F.col("n1") + F.col("size")) / (1 + t) - 1e-9))
     both = sharing.select("a1", "a2").union(sized.select("a1", "a2"))
     pairs = both.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
-    return _judge(pairs, bags, labels, threshold, "near-rest")
+    out = _judge(pairs, bags, labels, threshold, "near-rest")
+    drop(multi, bags, judged, placed, away, around, first)
+    return out
 
 
 def _judge(pairs: DataFrame, bags: DataFrame, labels: DataFrame, threshold: float, name: str) -> DataFrame:
