@@ -4,7 +4,7 @@ A window is ``WINDOW`` consecutive words of a document. Its minimiser is the
 smallest hash of the ``MMER``-word grams in it; consecutive windows with the
 same minimiser travel as one packed string (a super-k-mer) to the minimiser's
 bucket. A task packs each distinct string once and sends its strings for one
-bucket as one compressed row. A bucket sorts the windows of its strings, counts
+bucket as one compressed row; the number of buckets grows with the text. A bucket sorts the windows of its strings, counts
 them exactly (windows of equal hash are told apart by their words), and finds
 the smallest document of each; windows of larger documents go back as word
 ranges.
@@ -12,7 +12,7 @@ ranges.
 Hot minimisers: a first pass counts minimisers. Each task reports those that
 hold at least 1/K of its strings, which includes all that hold 2/K of all
 strings, and those that sum up to 1/K are hot, at most K of them (K is a few
-times the number of buckets). A window takes a hot gram as its minimiser only
+times the number of shuffle partitions). A window takes a hot gram as its minimiser only
 if it has no other, so contexts that share a frequent line or the edge of a
 frequent passage spread over many buckets. Strings all of whose grams are hot
 are copies of a few passages: they go to the bucket without their occurrences,
@@ -44,7 +44,10 @@ from pyspark.sql import functions as F
 from .arrow import SPACE, Words, append_columns, mix, slices, split_words, stash, texts_of
 
 WINDOW, MMER = 50, 6
-FLUSH_BYTES = 16 << 20
+#: What a task packs before it sends it: bytes of new strings, and so many for each occurrence.
+FLUSH_BYTES, OCCURRENCE_BYTES = 16 << 20, 32
+#: Text whose strings one bucket is to have.
+BUCKET_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 _C = np.uint64(0x9E3779B97F4A7C15)
 _TOP = np.uint64(1 << 63)
@@ -150,6 +153,7 @@ class _Packer:
             self.most[k] = doc
         if not self.hot[k]:
             self.occ.append((k, doc, tag, start))
+            self.size += OCCURRENCE_BYTES
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         texts, bucket = list(self.known), np.array(self.bucket, np.int64)
@@ -178,7 +182,7 @@ def _tags(texts: list[bytes | None]) -> list[int]:
 
 
 def _pack(source: DataFrame, hot: np.ndarray, buckets: int, window: int, mmer: int) -> DataFrame:
-    shipped = source.sparkSession.sparkContext.broadcast(hot)  # bounded by a few times the number of buckets
+    shipped = source.sparkSession.sparkContext.broadcast(hot)  # bounded by a few times the number of shuffle partitions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Packer(buckets)
@@ -305,8 +309,10 @@ def _hot_occurrences(source: DataFrame, hot: np.ndarray, window: int, mmer: int)
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, mmer: int = MMER) -> DataFrame:
     """(id, tag, ranges): word ranges that a document with a smaller id has too; tag is the text's crc32."""
     spark, source = docs.sparkSession, _source(docs, id_col, text_col)
-    buckets = 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_minimisers(source, 4 * buckets, window, mmer)
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(6 * partitions, -(-size // BUCKET_BYTES))
+    hot = hot_minimisers(source, 24 * partitions, window, mmer)
     packed = _pack(source, hot, buckets, window, mmer)
     found = packed.groupBy("bucket").applyInPandas(_count_bucket(window), FOUND)
     if len(hot):
@@ -320,7 +326,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = found.filter("key is null").select("id", "tag", F.struct("start", "end").alias("r")).unionByName(hot_ranges)
     else:
         found = found.select("id", "tag", F.struct("start", "end").alias("r"))
-    return found.groupBy("id", "tag").agg(F.collect_list("r").alias("ranges"))
+    # As a set: rows with the same id and text have the same ranges.
+    return found.groupBy("id", "tag").agg(F.collect_set("r").alias("ranges"))
 
 
 def _joined_runs(col: str):
