@@ -550,7 +550,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     answers = words.select("block", "kind", "packed").unionByName(grams.select("block", "kind", "packed"))
-    return of("doc").select("block", "packed").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    # So many partitions that a task has a block or two, however many there are.
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * of("doc").select("block").distinct().count())
+    parted = lambda df: df.repartition(n, "block").groupBy("block")
+    return parted(of("doc").select("block", "packed")).cogroup(parted(answers)).applyInPandas(run, schema)
 
 
 def _table(packed: pd.Series) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,10 @@ one-character piece matches may be taken as unknown, 10 below the smallest
 score; a run of unknown characters is one token, or its bytes' tokens where
 the vocabulary has a piece for every byte.
 
+The public vocabulary file that is the default holds the pieces of a merge-based
+model; here their scores are those of a unigram model, as the library's own
+unigram model takes them when it is given the same pieces.
+
 A worker keeps the counts of ``CACHE`` units; a unit of any length is counted.
 
 Defined results: null text counts as empty, which has no tokens; repeated rows

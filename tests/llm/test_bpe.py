@@ -64,3 +64,14 @@ def test_query(spark, library, tiny):
         assert got[r.doc_id].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         text = library.decode(want, skip_special_tokens=False)
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_decode_of_any_ids(own, library):
+    """Ids that split characters, stand alone or repeat: broken bytes become replacement characters as in the library."""
+    import numpy as np
+
+    rng = random.Random(4)
+    whole = [i for t in ("日本語 👩‍👩‍👧 é ñ ß", "naïve €", "plain words") for i in library.encode(t, add_special_tokens=False).ids]
+    for _ in range(300):
+        ids_ = [rng.choice(whole) if rng.random() < 0.7 else rng.randrange(library.get_vocab_size()) for _ in range(rng.randrange(12))]
+        assert own.decode(np.array(ids_, np.int64)).decode("utf-8", "replace") == library.decode(ids_, skip_special_tokens=False)
