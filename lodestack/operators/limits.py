@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,43 +38,59 @@ def overlapping(leases: DataFrame, key: str) -> DataFrame:
 
 
 class Breaker:
-    """Closed, open and half-open; probes after the cooldown, one failure of which opens it again."""
+    """Closed or open; after the cooldown one call is let through as a probe, which closes or opens it anew.
+
+    ``threshold`` failures in a row open a closed one; a fatal outcome says
+    nothing about the service there, but is a failed probe. With ``give_up``, so
+    many failed probes in a row make it refuse all calls for ``rest`` seconds;
+    after them the probes are counted anew.
+    """
 
-    def __init__(self, threshold: int = 2, cooldown: float = 30.0, probes: int = 1):
-        self.threshold, self.cooldown, self.probes = threshold, cooldown, probes
-        self.state, self.failures, self.since, self.tried = "closed", 0, 0.0, 0
+    def __init__(self, threshold: int = 2, cooldown: float = 30.0, give_up: int = 0, rest: float = 60.0):
+        self.threshold, self.cooldown, self.give_up, self.rest = threshold, cooldown, give_up, rest
+        self.load("closed", 0, 0.0, 0)
 
-    def load(self, state: str, failures: int, since: float, tried: int) -> Breaker:
-        self.state, self.failures, self.since, self.tried = state, failures, since, tried
+    def load(self, state: str, failures: int, since: float, lost: int) -> Breaker:
+        self.state, self.failures, self.since, self.lost = state, failures, since, lost
         return self
 
+    def save(self) -> tuple:
+        return self.state, self.failures, self.since, self.lost
+
     def call(self, now: float, outcome: str) -> bool:
-        """Whether the call is let through; its outcome is counted if it is. A fatal outcome says nothing about the service."""
-        if self.state == "open" and now - self.since >= self.cooldown:
-            self.state, self.tried = "half_open", 0
-        if self.state == "open" or (self.state == "half_open" and self.tried >= self.probes):
+        """Whether the call is let through; its outcome is counted if it is."""
+        waited = now - self.since
+        if self.state == "given_up" and waited >= self.rest:
+            self.state, self.lost = "open", 0
+        if self.state == "given_up" or (self.state == "open" and waited < self.cooldown):
             return False
-        if self.state == "half_open":
-            self.tried += 1
         if outcome == "ok":
-            self.state, self.failures = "closed", 0
+            self.load("closed", 0, now, 0)
+        elif self.state == "open":  # the probe has failed
+            given_up = 0 < self.give_up <= self.lost + 1
+            self.load("given_up" if given_up else "open", self.failures, now, self.lost + 1)
         elif outcome != "fatal":
-            self.failures += 1
-            if self.state == "half_open" or self.failures >= self.threshold:
-                self.state, self.since = "open", now
-        elif self.state == "half_open":
-            self.tried -= 1
+            self.load("closed" if self.failures + 1 < self.threshold else "open", self.failures + 1, now, 0)
         return True
 
 
-def breaker_replay(calls: DataFrame, threshold: int = 2, cooldown: float = 30.0, probes: int = 1) -> DataFrame:
-    """(name, event_id, admitted, state) of each call in the order of time, by name."""
+def breaker_replay(calls: DataFrame, threshold: int = 2, cooldown: float = 30.0, give_up: int = 0, rest: float = 60.0) -> DataFrame:
+    """(name, event_id, admitted, state) of each call in the order of time, by name.
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Breaker(threshold, cooldown, probes)
-        rows = []
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples(index=False):
-            rows.append((r.name, r.event_id, b.call(r.ts.timestamp(), r.outcome), b.state))
-        return pd.DataFrame(rows, columns=["name", "event_id", "admitted", "state"])
+    The calls of a name stream through one task in order, which holds the state
+    of its breaker and nothing else.
+    """
 
-    return calls.select("name", "event_id", "ts", "outcome").groupBy("name").applyInPandas(replay, "name string, event_id bigint, admitted boolean, state string")
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, b = None, Breaker()
+        for pdf in batches:
+            admitted, state = [], []
+            for own, ts, outcome in zip(pdf["name"], pdf["ts"], pdf["outcome"], strict=True):
+                if own != name or name is None:
+                    name, b = own, Breaker(threshold, cooldown, give_up, rest)
+                admitted.append(b.call(ts.timestamp(), outcome))
+                state.append(b.state)
+            yield pdf[["name", "event_id"]].assign(admitted=admitted, state=state)
+
+    ordered = calls.select("name", "event_id", "ts", "outcome").repartition("name").sortWithinPartitions("name", "ts", "event_id")
+    return ordered.mapInPandas(replay, "name string, event_id bigint, admitted boolean, state string")

@@ -50,32 +50,37 @@ def semantic_groups(rows: DataFrame, nearest: float = 0.9) -> DataFrame:
     In the order of id, a memory joins the nearest one kept so far if its cosine
     is ``nearest`` or more, and takes its place; else it is kept by itself.
     Adds ``into``, the id of the memory that it updates, its own if it is new.
+    Without a vector, or with one of length 0, it is kept by itself. Rows of a
+    group stream through a task in order; only its kept vectors are held, as
+    many as a user has different memories.
     """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        kept: list[np.ndarray] = []
-        owner, into = [], []
-        for i, v in zip(pdf["id"], pdf["embedding"], strict=True):
-            x = None if v is None or not len(v) else np.asarray(v, float)
-            n = 0.0 if x is None else float(np.linalg.norm(x))
-            hit = None
-            if n and kept:
-                sims = np.round(np.stack(kept) @ (x / n), 9)
-                j = int(sims.argmax())
-                hit = j if sims[j] >= nearest else None
-            if hit is None:
-                into.append(i)
-                if n:
-                    kept.append(x / n)
+    names = [f.name for f in rows.schema.fields]
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, kept, owner, n = None, np.zeros((0, 0)), [], 0
+        for pdf in batches:
+            into = []
+            for name, category, i, v in zip(pdf["username"], pdf["category"], pdf["id"], pdf["embedding"], strict=True):
+                if (name, category) != group:
+                    group, owner, n = (name, category), [], 0
+                length = float(np.linalg.norm(v)) if v is not None and len(v) else 0.0
+                if not length:
+                    into.append(i)
+                    continue
+                x = np.asarray(v, float) / length
+                sims = np.round(kept[:n] @ x, 9) if n else np.zeros(0)
+                hit = int(sims.argmax()) if n else -1
+                if hit < 0 or sims[hit] < nearest:
+                    hit, n = n, n + 1
                     owner.append(i)
-            else:
+                    if n > len(kept) or kept.shape[1] != len(x):  # twice the room
+                        kept = np.concatenate((kept[: n - 1].reshape(n - 1, len(x)), np.zeros((n + 16, len(x)))))
+                kept[hit] = x
                 into.append(owner[hit])
-                kept[hit] = x / n
-        return pdf.assign(into=into)
+            yield pdf.assign(into=into)[[*names, "into"]]
 
     schema = T.StructType([*rows.schema.fields, T.StructField("into", rows.schema["id"].dataType)])
-    return rows.groupBy("username", "category").applyInPandas(merge, schema)
+    return rows.repartition("username", "category").sortWithinPartitions("username", "category", "id").mapInPandas(merge, schema)
 
 
 def recall(memories: DataFrame, questions: DataFrame, k: int = 5, farthest: float | None = None) -> DataFrame:

@@ -77,10 +77,11 @@ def cut(df: DataFrame, tau: float = 0.3, most: int = 8, least: int = 3, cliff: f
 def grid_cut(df: DataFrame, settings: DataFrame) -> DataFrame:
     """Every setting (tau, cliff, k) on every ranking; the cliff compares with the top score here.
 
-    A null tau cuts nothing. Settings are a small table of literals.
+    A null tau cuts nothing. The grid of settings times all rows is what is asked
+    for; Spark broadcasts the settings if they are as few as they should be.
     """
     top = F.max("score").over(Window.partitionBy(Q))
-    rows = df.withColumn("__top", top).crossJoin(F.broadcast(settings))
+    rows = df.withColumn("__top", top).join(settings)
     ok = (F.col("tau").isNull() | (F.col("score") >= F.col("tau"))) & ((F.col("cliff") == 0) | (F.col("score") >= F.col("cliff") * F.col("__top"))) & (F.col("rank") <= F.col("k"))
     return rows.filter(ok).drop("__top")
 

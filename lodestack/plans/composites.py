@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.registry import Registry, ToolSpec
 from ..operators import evaluation, grounding, memory, ranking, retrieval
 from .aggregates import GOLD, gold
-from .inputs import ARMS, REQUESTS, TURNS, arm, document_items, requests, table, turns
+from .inputs import ARMS, PAIRED, REQUESTS, TURNS, arm, document_items, requests, table, turns
 from .registry import query
 
 # Both scores of a pool's rows: the vectors' scores of each arm; row texts are the documents of the same id.
@@ -122,7 +122,7 @@ def funnel(spark, d):
 def semantic_groups(spark, d):
     e = table(spark, d, "embeddings")
     rows = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("u"), F.col("label").cast("string")).alias("username"), F.lit("fact").alias("category"), "embedding")
-    return memory.semantic_groups(rows, 0.3).select("id", "username", "into")
+    return memory.semantic_groups(rows).select("id", "username", "into")
 
 
 @query("i09_null_vectors", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND trim(text) <> '' ORDER BY doc_id LIMIT 100")
@@ -158,6 +158,13 @@ TOOLS.register(ToolSpec("get_chunk", "retrieval", lambda rows, chunk_id="": rows
 TOOLS.register(ToolSpec("family_parts", "catalogue", lambda rows, base="": rows.filter(text.scope_stem(F.col("source_stem")) == base), {"base": "string"}))
 
 
+@query("u01_tool_specs", "SELECT * FROM (VALUES ('get_chunk', 'retrieval', 'chunk_id:string', 800, 1), ('search_text', 'retrieval', 'k:int', 800, 1), ('family_parts', 'catalogue', 'base:string', 800, 1)) AS t(name, category, parameters, most_chars, n)")
+def tool_specs(spark, d):
+    """What each declared function asks for, and how much of its result is shown."""
+    specs = [t for c in ("retrieval", "catalogue") for t in TOOLS.by_category(c)]
+    return spark.createDataFrame([(t.name, t.category, ",".join(f"{k}:{v}" for k, v in t.parameters.items()), t.most_chars, len(t.parameters)) for t in specs], "name string, category string, parameters string, most_chars int, n int")
+
+
 @query("u02_registry", "SELECT * FROM (VALUES ('search_text', 'retrieval', 'k', 'int'), ('get_chunk', 'retrieval', 'chunk_id', 'string'), ('family_parts', 'catalogue', 'base', 'string')) AS t(name, category, parameter, type)")
 def registry(spark, d):
     return TOOLS.schemas(spark)
@@ -176,17 +183,10 @@ def citations(spark, d):
 
 @query(
     "u06_lexical_scores",
-    r"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS c FROM benchmark b JOIN documents d ON d.doc_id = b.item_id)
-SELECT item_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q) ELSE 0 END, 6) AS score FROM w""",
+    rf"""WITH {PAIRED}, w AS (SELECT p.doc_id, item_id, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS q, list_distinct(list_filter(regexp_split_to_array(lower(p.text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS c FROM benchmark b JOIN paired p USING (item_id))
+SELECT doc_id, item_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, c)) / len(q) ELSE 0 END, 6) AS score FROM w""",
 )
 def lexical(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return b.join(docs, "item_id").select("item_id", F.round(retrieval.lexical_score(F.col("q"), F.col("text")), 6).alias("score"))
-
-
-@query("u06_lexical_scores_all")
-def lexical_all(spark, d):
     return document_items(spark, d).select("doc_id", "item_id", F.round(retrieval.lexical_score(F.col("fact"), F.col("text")), 6).alias("score"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ingest
-from ..sources import content_list
+from ..sources import content_list, sidecar, tables
 from .inputs import CHUNKS, REQUESTS, chunks, requests, table
 from .registry import query
 
@@ -180,3 +180,27 @@ def live_tasks(spark, d):
 @query("a26_quality_report", f"WITH {CHUNKS} SELECT content_type AS kind, count(*) AS points, count(*) FILTER (WHERE trim(content) <> '' AND length(content) > 40) AS described FROM chunks GROUP BY content_type")
 def quality_report(spark, d):
     return chunks(spark, d).groupBy(F.col("content_type").alias("kind")).agg(F.count("*").alias("points"), F.count_if((F.trim("content") != "") & (F.length("content") > 40)).alias("described"))
+
+
+_IMAGE_FIELDS = [f.split(" ", 1) for f in tables.IMAGE_CHUNK.split(", ")]
+
+
+@query(
+    "a06_collection_schema",
+    "SELECT doc_id, concat_ws('/', " + ", ".join(f"typeof({c})" for c in ("chunk_id", "image_path", "page_num", "ingested_at", "dense")) + ") AS types, chunk_id, page_num, length(dense) AS dims, caption IS NULL AND description IS NULL AS bare FROM (SELECT vec_id AS doc_id, CAST(vec_id AS VARCHAR) AS chunk_id, 'd/' || vec_id || '.jpg' AS image_path, CAST(label AS INT) AS page_num, CAST(NULL AS DOUBLE) AS ingested_at, CAST(embedding AS FLOAT[]) AS dense, NULL AS caption, NULL AS description FROM embeddings)",
+)
+def collection_schema(spark, d):
+    """Rows of any shape, conformed to the schema of the image collection."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("CHUNK_ID"), F.concat(F.lit("d/"), F.col("vec_id").cast("string"), F.lit(".jpg")).alias("image_path"), F.col("label").cast("string").alias("page_num"), F.col("embedding").cast("array<double>").alias("dense"), F.lit(1).alias("stray"))
+    c = tables.conformed(e, tables.IMAGE_CHUNK)
+    names = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "array<float>": "FLOAT[]"}
+    types = "/".join(names[dict(c.dtypes)[f]] for f in ("chunk_id", "image_path", "page_num", "ingested_at", "dense"))
+    assert c.columns == [f for f, _ in _IMAGE_FIELDS]
+    return c.select(F.col("chunk_id").cast("bigint").alias("doc_id"), F.lit(types).alias("types"), "chunk_id", "page_num", F.size("dense").cast("bigint").alias("dims"), (F.col("caption").isNull() & F.col("description").isNull()).alias("bare"))
+
+
+@query("a12_loaded_set", "SELECT DISTINCT 'd' || (doc_id // 3) AS stem FROM documents WHERE doc_id % 5 <> 0")
+def loaded_set(spark, d):
+    """The set of loaded stems from the lines of a side table, some of which are broken."""
+    line = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('{"stem": "d'), F.expr("doc_id div 3").cast("string"))).otherwise(F.to_json(F.struct(F.concat(F.lit("d"), F.expr("doc_id div 3").cast("string")).alias("stem"))))
+    return sidecar.parsed(table(spark, d, "documents").select(line.alias("value")), "stem string").distinct()

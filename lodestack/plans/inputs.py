@@ -42,6 +42,8 @@ def document_items(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", (F.col("doc_id") % F.col("n")).alias("item_id"), "text").join(b, "item_id")
 
 
+PAIRED = "paired AS (SELECT doc_id, doc_id % (SELECT max(item_id) + 1 FROM benchmark) AS item_id, text FROM documents)"
+
 CHUNKS = """lines AS (
   SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
 ), chunks AS (

@@ -94,12 +94,30 @@ def contained(spark, d):
     return n.withColumnRenamed("pos", "one").join(b, "source_stem").filter((F.col("one") < F.col("two")) & (F.contains("k", F.col("k2")) | F.contains("k2", F.col("k")))).select("doc_id", "one", "two")
 
 
-@query("c12_cited_sources")
+_PLAIN = lambda c: f"regexp_replace(lower({c}), '{citations.NOISE}', '', 'g')"
+_SHARES = lambda size: f"length(n) >= {size} AND len(list_filter(range(1, length(n) - {size} + 2), lambda i: contains(s, n[i:i + {size} - 1]))) > 0"
+
+
+@query(
+    "c12_cited_sources",
+    f"""WITH a AS (SELECT doc_id, source, coalesce(text, '') || ' [manual ' || source || ' p12] [图 3]' || CASE doc_id % 2 WHEN 0 THEN ' https://kb.example/' || source || '/a' ELSE '' END AS answer FROM documents),
+b AS (SELECT DISTINCT source, CASE doc_id % 4 WHEN 3 THEN 'https://kb.example/' || source || '/' END AS url, CASE WHEN doc_id % 4 < 3 THEN ['Manual ' || source || ' edition ', source || ' by the manual ', 'Guide ' || source || ' '][doc_id % 4 + 1] || (doc_id % 3) ELSE '' END AS stem FROM documents WHERE source IS NOT NULL),
+m AS (SELECT doc_id, answer, list_filter(list_transform(list_filter(regexp_extract_all(answer, '{citations.BRACKET}', 1), lambda x: NOT regexp_matches(x, '{citations.FIGURE}')), lambda x: {_PLAIN(f"regexp_replace(x, '{citations.PAGE}', '')")}), lambda y: length(y) >= 4) AS names FROM a),
+p AS (SELECT a.doc_id, b.stem, b.url, m.answer, m.names, {_PLAIN('b.stem')} AS s FROM a JOIN b USING (source) JOIN m USING (doc_id)),
+o AS (SELECT doc_id, stem, url, s, unnest(names) AS n FROM p),
+h AS (SELECT DISTINCT doc_id, stem, url FROM o WHERE s <> '' AND (contains(n, s) OR contains(s, n) OR ({_SHARES(f"greatest({citations.LONG}, CAST(ceil(length(n) / 2) AS INT))")})
+  OR ({_SHARES(citations.SHORT)} AND len(list_filter(list_distinct(string_split(n, '')), lambda c: contains(s, c))) / len(list_distinct(string_split(n, ''))) >= {citations.COVER})))
+SELECT p.doc_id, p.stem, p.url, CASE WHEN p.url IS NOT NULL THEN contains(answer, rtrim(p.url, '/')) ELSE h.doc_id IS NOT NULL END AS cited FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND p.stem = h.stem AND p.url IS NOT DISTINCT FROM h.url""",
+)
 def cited(spark, d):
-    answers = table(spark, d, "documents").select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" [manual "), "source", F.lit(" p12] [图 3]")).alias("answer"))
-    sources = table(spark, d, "documents").select("source", F.concat(F.lit("Manual "), "source", F.lit(" edition "), (F.col("doc_id") % 3).cast("string")).alias("stem")).distinct()
+    docs, i, src = table(spark, d, "documents"), F.col("doc_id"), F.col("source")
+    web = F.concat(F.lit(" https://kb.example/"), src, F.lit("/a"))
+    answers = docs.select("doc_id", "source", F.concat(F.coalesce("text", F.lit("")), F.lit(" [manual "), src, F.lit(" p12] [图 3]"), F.when(i % 2 == 0, web).otherwise("")).alias("answer"))
+    names = F.array(F.concat(F.lit("Manual "), src, F.lit(" edition ")), F.concat(src, F.lit(" by the manual ")), F.concat(F.lit("Guide "), src, F.lit(" ")))
+    stem = F.when(i % 4 < 3, F.concat(F.get(names, (i % 4).cast("int")), (i % 3).cast("string"))).otherwise("")
+    sources = docs.filter("source is not null").select("source", F.when(i % 4 == 3, F.concat(F.lit("https://kb.example/"), src, F.lit("/"))).alias("url"), stem.alias("stem")).distinct()
     near = answers.join(sources, "source")
-    return near.select("doc_id", "stem", citations.cites(F.col("answer"), F.col("stem")).alias("cited"))
+    return near.select("doc_id", "stem", "url", citations.cites(F.col("answer"), F.col("stem"), F.col("url")).alias("cited"))
 
 
 def _terms(spark, d, key, name):

@@ -189,8 +189,12 @@ SELECT thread_id, pos, CASE WHEN length(q) <= 1 OR regexp_matches(q, '{routing.G
 
 @query("b16_clarify", CLARIFY)
 def clarify(spark, d):
-    w = Window.partitionBy("thread_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return asked(spark, d).withColumn("history", F.collect_list("content").over(w)).select("thread_id", "pos", routing.needs_clarification(F.col("content"), F.col("history")).alias("clarify"))
+    # Places of the messages that say something are even, of the others odd: eight places back are the last four of them.
+    says = F.trim(F.coalesce("content", F.lit(""))) != ""
+    order = Window.partitionBy("thread_id").orderBy("pos")
+    placed = asked(spark, d).withColumn("place", 2 * F.count_if(says).over(order) + F.when(says, 0).otherwise(1))
+    recent = F.collect_list(F.when(says, F.col("content"))).over(Window.partitionBy("thread_id").orderBy("place").rangeBetween(-8, -1))
+    return placed.withColumn("history", recent).select("thread_id", "pos", routing.needs_clarification(F.col("content"), F.col("history")).alias("clarify"))
 
 
 SUBS = r"""list_filter(list_transform(regexp_split_to_array(replace(content, '. ', '; '), '[？?；;]\s*'), lambda p: regexp_replace(trim(p), '^(?:[0-9①②③④⑤]+[.、)〕]\s*|[第一二三四五六七八九十]+[,，]\s*)', '')), lambda p: length(p) >= 6)"""

@@ -50,7 +50,7 @@ def seats(spark, d):
 
 # Layout items: the lines of a document, with kinds and heading levels by position.
 ITEMS = CHUNKS + """, items AS (SELECT doc_id, pos, ['text', 'text', 'image', 'text', 'table', 'text', 'chart', 'text'][pos % 8 + 1] AS type, CASE WHEN pos % 10 = 0 THEN 1 WHEN pos % 10 = 4 THEN 2 WHEN pos % 10 = 7 AND doc_id % 2 = 0 THEN 3 END AS text_level,
-  CASE WHEN pos % 8 IN (1, 3, 5) THEN (pos // 2 + 1) || '. ' ELSE '' END || content[1:24] AS text FROM chunks)"""
+  CASE WHEN pos % 8 IN (1, 3, 5) THEN (pos // 2 + 1) || '. ' ELSE '' END || content AS text FROM chunks)"""
 
 
 def items(spark, d):
@@ -58,7 +58,7 @@ def items(spark, d):
     p = F.col("pos")
     level = F.when(p % 10 == 0, 1).when(p % 10 == 4, 2).when((p % 10 == 7) & (F.col("doc_id") % 2 == 0), 3)
     head = F.when((p % 8).isin(1, 3, 5), F.concat(F.expr("cast(pos div 2 + 1 as string)"), F.lit(". "))).otherwise("")
-    return chunks(spark, d).select("doc_id", "pos", F.get(F.array(*map(F.lit, kinds)), (p % 8).cast("int")).alias("type"), level.alias("text_level"), F.concat(head, F.substring("content", 1, 24)).alias("text"))
+    return chunks(spark, d).select("doc_id", "pos", F.get(F.array(*map(F.lit, kinds)), (p % 8).cast("int")).alias("type"), level.alias("text_level"), F.concat(head, "content").alias("text"))
 
 
 RUNS = ITEMS + r""", n AS (SELECT *, CASE WHEN type = 'text' AND text_level IS NULL THEN TRY_CAST(regexp_extract(trim(text), '^(\d{1,2})\s*[．.、)]\s*\S', 1) AS INT) END AS n FROM items WHERE type NOT IN ('image', 'chart', 'table')),
@@ -82,6 +82,18 @@ def heading_paths(spark, d):
     return layout.heading_paths(items(spark, d).withColumn("level", level), F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).select("doc_id", "pos", "path")
 
 
+@query("h05_sentence_ends")
+def sentence_ends(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", layout.ends(F.col("text")).alias("ends"))
+    return docs.select("doc_id", F.size("ends").cast("bigint").alias("n"), F.md5(F.array_join(F.col("ends").cast("array<string>"), ",").cast("binary")).alias("offsets"))
+
+
+@query("h06_long_lines")
+def long_lines(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", layout.pieces(F.col("text"), 800).alias("p"))
+    return docs.select("doc_id", F.size("p").cast("bigint").alias("n"), F.md5(F.array_join("p", "\n").cast("binary")).alias("body"))
+
+
 @query("e06_packed_chunks")
 def packed(spark, d):
     c = chunks(spark, d).select(F.col("source_stem").alias("doc"), "pos", "heading_path", "content", F.coalesce(F.col("content_type") == "table", F.lit(False)).alias("is_table"))

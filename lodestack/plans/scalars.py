@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text, vectors
 from ..operators import memory, validation
-from .inputs import ARMS, CHUNKS, REQUESTS, TURNS, arm, chunks, document_items, requests, table, turns
+from .inputs import ARMS, CHUNKS, PAIRED, REQUESTS, TURNS, arm, chunks, document_items, requests, table, turns
 from .registry import query
 
 CJK = r"\x{4e00}-\x{9fff}"
@@ -23,11 +23,11 @@ def inline_html(spark, d):
 
 
 # Tables made of the lines of each document: a header of two cells, and one row for each line.
-TABLES = r"""t AS (SELECT doc_id, '<table><tr><th>no</th><th>' || lang || '</th></tr>' || string_agg('<tr class="r"><td>' || pos || '</td><td><b>' || content[1:20] || '</b></td><td> </td></tr>', '' ORDER BY pos) || '</table>' AS html FROM chunks GROUP BY doc_id, lang)"""
+TABLES = r"""t AS (SELECT doc_id, '<table><tr><th>no</th><th>' || lang || '</th></tr>' || string_agg('<tr class="r"><td>' || pos || '</td><td><b>' || content || '</b></td><td> </td></tr>', '' ORDER BY pos) || '</table>' AS html FROM chunks GROUP BY doc_id, lang)"""
 
 
 def html_tables(spark, d):
-    rows = F.concat(F.lit('<tr class="r"><td>'), F.col("pos").cast("string"), F.lit("</td><td><b>"), F.substring("content", 1, 20), F.lit("</b></td><td> </td></tr>"))
+    rows = F.concat(F.lit('<tr class="r"><td>'), F.col("pos").cast("string"), F.lit("</td><td><b>"), "content", F.lit("</b></td><td> </td></tr>"))
     c = chunks(spark, d).groupBy("doc_id", "lang").agg(F.array_sort(F.collect_list(F.struct("pos", rows.alias("r")))).alias("rows"))
     return c.select("doc_id", F.concat(F.lit("<table><tr><th>no</th><th>"), "lang", F.lit("</th></tr>"), F.array_join(F.transform("rows", lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
 
@@ -54,13 +54,13 @@ def glued(spark, d):
     return table(spark, d, "documents").select("doc_id", text.glued_words(F.replace(F.lower("text"), F.lit(" "), F.lit(""))).cast("bigint").alias("n")).filter("n > 0")
 
 
-NUMBERED = CHUNKS + ", numbered AS (SELECT chunk_id, doc_id, pos, CASE pos % 5 WHEN 0 THEN '1.2 ' WHEN 1 THEN '第3章 ' WHEN 2 THEN '① ' WHEN 3 THEN '2) ' ELSE '' END || CASE doc_id % 3 WHEN 0 THEN '设备' ELSE '' END || content[1:30] AS content FROM chunks)"
+NUMBERED = CHUNKS + ", numbered AS (SELECT chunk_id, doc_id, pos, CASE pos % 5 WHEN 0 THEN '1.2 ' WHEN 1 THEN '第3章 ' WHEN 2 THEN '① ' WHEN 3 THEN '2) ' ELSE '' END || CASE doc_id % 3 WHEN 0 THEN '设备' ELSE '' END || content AS content FROM chunks)"
 
 
 def numbered(spark, d):
     k = F.col("pos") % 5
     head = F.when(k == 0, "1.2 ").when(k == 1, "第3章 ").when(k == 2, "① ").when(k == 3, "2) ").otherwise("")
-    return chunks(spark, d).select("chunk_id", "doc_id", "pos", F.concat(head, F.when(F.col("doc_id") % 3 == 0, "设备").otherwise(""), F.substring("content", 1, 30)).alias("content"))
+    return chunks(spark, d).select("chunk_id", "doc_id", "pos", F.concat(head, F.when(F.col("doc_id") % 3 == 0, "设备").otherwise(""), "content").alias("content"))
 
 
 W = r"[\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
@@ -128,31 +128,19 @@ STOP = "[" + ", ".join(f"'{x}'" for x in text.ANCHOR_STOP) + "]"
 
 @query(
     "h14_anchor_share",
-    rf"""WITH a AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]{{3,}}|\d+(?:\.\d+)?'), lambda x: lower(x)), lambda y: NOT list_contains({STOP}, y)) AS a, item_id % 200 AS doc_id FROM benchmark)
-SELECT item_id, round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: contains(lower(d.text), x))) / len(a) ELSE 0 END, 6) AS share FROM a JOIN documents d USING (doc_id)""",
+    rf"""WITH {PAIRED}, a AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[A-Za-z]{{3,}}|\d+(?:\.\d+)?'), lambda x: lower(x)), lambda y: NOT list_contains({STOP}, y)) AS a FROM benchmark)
+SELECT doc_id, item_id, round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: contains(lower(p.text), x))) / len(a) ELSE 0 END, 6) AS share FROM a JOIN paired p USING (item_id)""",
 )
 def anchor_share(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", text.anchors(F.col("text")).alias("a"), (F.col("item_id") % 200).alias("doc_id"))
-    return b.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("item_id", F.round(text.anchor_share(F.col("a"), F.col("text")), 6).alias("share"))
+    return document_items(spark, d).select("doc_id", "item_id", F.round(text.anchor_share(text.anchors(F.col("fact")), F.col("text")), 6).alias("share"))
 
 
 @query(
     "h15_bigram_coverage",
-    rf"""WITH n AS (SELECT item_id, regexp_replace(lower(b.text), '[^a-z0-9{CJK}]+', '', 'g')[1:120] AS f, regexp_replace(lower(d.text), '[^a-z0-9{CJK}]+', '', 'g') AS c FROM benchmark b JOIN documents d ON d.doc_id = b.item_id % 200),
-p AS (SELECT item_id, f, c, list_distinct(list_transform(range(1, length(f)), lambda i: f[i:i+1])) AS g FROM n) SELECT item_id, round(CASE WHEN length(f) < 6 THEN 0 ELSE len(list_filter(g, lambda x: contains(c, x))) / len(g) END, 6) AS cover FROM p""",
+    rf"""WITH {PAIRED}, n AS (SELECT p.doc_id, item_id, regexp_replace(lower(b.text), '[^a-z0-9{CJK}]+', '', 'g')[1:120] AS f, regexp_replace(lower(p.text), '[^a-z0-9{CJK}]+', '', 'g') AS c FROM benchmark b JOIN paired p USING (item_id)),
+p AS (SELECT doc_id, item_id, f, c, list_distinct(list_transform(range(1, length(f)), lambda i: f[i:i+1])) AS g FROM n) SELECT doc_id, item_id, round(CASE WHEN length(f) < 6 THEN 0 ELSE len(list_filter(g, lambda x: contains(c, x))) / len(g) END, 6) AS cover FROM p""",
 )
 def bigram_coverage(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("fact"), (F.col("item_id") % 200).alias("doc_id"))
-    return b.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id").select("item_id", F.round(text.bigram_coverage(F.col("fact"), F.col("text")), 6).alias("cover"))
-
-
-@query("h14_anchor_share_all")
-def anchor_share_all(spark, d):
-    return document_items(spark, d).select("doc_id", "item_id", F.round(text.anchor_share(text.anchors(F.col("fact")), F.col("text")), 6).alias("share"))
-
-
-@query("h15_bigram_coverage_all")
-def bigram_coverage_all(spark, d):
     return document_items(spark, d).select("doc_id", "item_id", F.round(text.bigram_coverage(F.col("fact"), F.col("text")), 6).alias("cover"))
 
 
@@ -217,9 +205,7 @@ def percentile_linear(spark, d):
     f"WITH {REQUESTS}, l AS (SELECT username, list_sort(list(latency_ms)) AS l FROM requests GROUP BY username) SELECT username, l[least(len(l), CAST(floor(len(l) * 0.95::DOUBLE) AS INT) + 1)] AS nearest, l[CAST(floor(len(l) * 0.95::DOUBLE) AS INT) + 1] AS floored, l[CASE WHEN floor(len(l) * 0.95::DOUBLE) - 1 < 0 THEN len(l) ELSE CAST(floor(len(l) * 0.95::DOUBLE) AS INT) END] AS ranked FROM l",
 )
 def percentile_nearest(spark, d):
-    # The latest thousand samples of a user at most are what the metrics keep (e13); here every user's list is whole.
-    l = requests(spark, d).groupBy("username").agg(F.collect_list("latency_ms").alias("l"))
-    return l.select("username", stats.nearest(F.col("l"), 0.95).alias("nearest"), stats.p95_floor(F.col("l")).alias("floored"), stats.p95_rank(F.col("l")).alias("ranked"))
+    return stats.values_at(requests(spark, d), "latency_ms", {"nearest": stats.nearest_place, "floored": stats.floor_place, "ranked": stats.rank_place}, ["username"])
 
 
 @query("i06_vector_literals", "SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:3], lambda x: printf('%.6f', CAST(x AS DOUBLE))), ',') || ']' AS v FROM embeddings")

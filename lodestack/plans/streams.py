@@ -45,7 +45,7 @@ def overlapping(spark, d):
 def breaker(spark, d):
     e = table(spark, d, "events")
     outcome = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "signup", "fatal").otherwise("ok")
-    return limits.breaker_replay(e.select((F.concat(F.lit("svc"), (F.col("user_id") % 12).cast("string"))).alias("name"), "event_id", F.col("ts").cast("timestamp").alias("ts"), outcome.alias("outcome")), cooldown=3600)
+    return limits.breaker_replay(e.select((F.concat(F.lit("svc"), (F.col("user_id") % 12).cast("string"))).alias("name"), "event_id", F.col("ts").cast("timestamp").alias("ts"), outcome.alias("outcome")), cooldown=3600, give_up=2, rest=7200)
 
 
 @query("k07_expired_keys", f"WITH {REQUESTS}, g AS (SELECT username, ts, lag(ts) OVER (PARTITION BY username ORDER BY ts) AS before FROM requests), s AS (SELECT username, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY username ORDER BY ts) AS n FROM g) SELECT username, count(DISTINCT n) AS sessions, count(*) AS writes FROM s GROUP BY username")

@@ -17,8 +17,14 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) ->
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], kind)
+    return parsed(raw, kind)
+
+
+def parsed(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
+    """The rows of JSON lines (value) that are whole objects."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     good = F.try_parse_json(F.col("value")).isNotNull() & F.col("value").rlike(r"^\s*\{")
-    return raw.filter(good).select(F.from_json("value", kind).alias("r")).select("r.*")
+    return lines.filter(good).select(F.from_json("value", kind).alias("r")).select("r.*")
 
 
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -43,20 +43,20 @@ def login_limiter(logins: DataFrame, most: int = 5, seconds: int = 60) -> DataFr
     return logins.groupBy("ip").applyInPandasWithState(step, "ip string, ts timestamp, failures int", "times array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def breaker(calls: DataFrame, threshold: int = 2, cooldown: float = 30.0, probes: int = 1) -> DataFrame:
+def breaker(calls: DataFrame, threshold: int = 2, cooldown: float = 30.0, give_up: int = 0, rest: float = 60.0) -> DataFrame:
     """(name, event_id, admitted, state) of a stream of calls (name, event_id, ts, outcome), with the breaker's state kept between batches."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        b = Breaker(threshold, cooldown, probes)
+        b = Breaker(threshold, cooldown, give_up, rest)
         if state.exists:
             b.load(*state.get)
         out = []
         for r in pd.concat(list(frames)).sort_values(["ts", "event_id"]).itertuples(index=False):
             out.append((key[0], r.event_id, b.call(r.ts.timestamp(), r.outcome), b.state))
-        state.update((b.state, b.failures, b.since, b.tried))
+        state.update(b.save())
         yield pd.DataFrame(out, columns=["name", "event_id", "admitted", "state"])
 
-    return calls.groupBy("name").applyInPandasWithState(step, "name string, event_id bigint, admitted boolean, state string", "state string, failures int, since double, tried int", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("name").applyInPandasWithState(step, "name string, event_id bigint, admitted boolean, state string", "state string, failures int, since double, lost int", "append", GroupStateTimeout.NoTimeout)
 
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

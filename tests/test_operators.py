@@ -168,8 +168,12 @@ def test_memory(spark):
 
 
 def test_breaker(spark):
-    b = limits.Breaker(2, 30, 1)
-    calls = [(0, "timeout", True, "closed"), (1, "fatal", True, "closed"), (2, "timeout", True, "open"), (10, "ok", False, "open"), (33, "fatal", True, "half_open"), (34, "timeout", True, "open"), (70, "ok", True, "closed")]
+    b = limits.Breaker(2, 30)
+    calls = [(0, "timeout", True, "closed"), (1, "fatal", True, "closed"), (2, "timeout", True, "open"), (10, "ok", False, "open"), (33, "fatal", True, "open"), (34, "ok", False, "open"), (70, "ok", True, "closed")]
+    for now, outcome, admitted, state in calls:
+        assert (b.call(now, outcome), b.state) == (admitted, state), now
+    b = limits.Breaker(1, 10, 2, 60)
+    calls = [(0, "timeout", True, "open"), (10, "timeout", True, "open"), (20, "retryable", True, "given_up"), (40, "ok", False, "given_up"), (79, "ok", False, "given_up"), (80, "timeout", True, "open"), (85, "ok", False, "open"), (90, "timeout", True, "given_up"), (150, "ok", True, "closed")]
     for now, outcome, admitted, state in calls:
         assert (b.call(now, outcome), b.state) == (admitted, state), now
 

@@ -83,19 +83,26 @@ def test_images():
     assert [images.image_size(x) for x in (png, gif, bmp, jpg, b"", None, b"text", png[:12])] == [(640, 480), (3, 5), (7, 9), (32, 16), None, None, None, None]
 
 
-def test_citations():
-    names = citations.cited_names("see [设备操作手册 p12], [图 3] and [ab]; [Nano Manufacturing Guide pp. 3]")
-    assert names[0] == "设备操作手册" and len(names) == 2
-    assert citations.is_cited("设备操作手册 第二版", ["设备操作手册"]) and not citations.is_cited("别的资料", ["设备操作手册"]) and not citations.is_cited(None, names)
-    assert citations.longest_common("abcdef", "zabcx") == 3 and citations.longest_common("", "a") == 0
+def test_citations(spark):
+    said = "see [设备操作手册 p12], [图 3] and [ab]; [Nano Manufacturing Guide pp. 3] https://a.example/x1"
+    one = spark.range(1).select(F.lit(said).alias("a"), F.lit(None).cast("string").alias("none"))
+    assert one.select(citations.cited_names(F.col("a"))).first()[0] == ["设备操作手册", "nanomanufacturingguidepp"]
+    cases = [
+        ("设备操作手册 第二版", None, True), ("别的资料", None, False), (None, None, False), ("", None, False), ("Manufacturing, Nano Guide (pp)", None, True), ("the nanomanufactur1ng", None, True), ("the nanoman1fold", None, False),
+        ("x", "https://a.example/x1/", True), ("设备操作手册", "https://b.example", False), ("设备操作手册", "/", False),
+    ]
+    for stem, url, want in cases:
+        got = one.select(citations.cites(F.col("a"), F.lit(stem).cast("string"), F.lit(url).cast("string") if url else None)).first()[0]
+        assert got == want, (stem, url)
+    assert one.select(citations.cites(F.col("none"), F.lit("manual"))).first()[0] is False
 
 
 def test_sentences_and_splits():
     t = "See Fig. 3 for it. Next one! 完。\nlast"
     assert [t[a:b] for a, b in zip([0, *layout.sentence_ends(t)], layout.sentence_ends(t))] == ["See Fig. 3 for it.", " Next one!", " 完。", "\n"]
-    assert layout.hard_split("aaaa bbbb cccc", 6) == ["aaaa", "bbbb", "cccc"] and layout.hard_split("x" * 10, 4) == ["xxxx", "xxxx", "xx"]
+    assert layout.in_pieces("aaaa bbbb cccc", 6) == ["aaaa", "bbbb", "cccc"] and layout.in_pieces("x" * 10, 4) == ["xxxx", "xxxx", "xx"]
     assert layout.split_row("a | b | c", 5) == ["a | b", "c"] and layout.clipped_header("aa | bb | cc", 7) == "aa | bb"
-    assert layout.tail_sentence("One two three. Four five six.") == "Four five six." and layout.tail_sentence("no end") == ""
+    assert layout.closing_sentence("One two three. Four five six.", 100) == "Four five six." and layout.closing_sentence("no end", 100) == ""
 
 
 def test_glossary_and_ids(spark):
