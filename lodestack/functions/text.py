@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ FINGERPRINT_PUNCTUATION = r"[\s　，。！？；：、,.!?;:\"'（）()\[\]【
 MODALITIES = ["pdf", "docx", "pptx", "xlsx", "mp4", "cad"]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``use`` has lambdas that would work the value out for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def filled(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -48,8 +55,8 @@ def spaced(c: Column) -> Column:
 
 def pieces(c: Column, size: int, step: int = 1) -> Column:
     """Distinct substrings of ``size`` characters, ``step`` apart; the whole text if it is shorter."""
-    starts = F.sequence(F.lit(1), F.length(c) - size + 1, F.lit(step))
-    return F.when(F.length(c) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(size))))).otherwise(F.array(c))
+    starts = lambda t: F.sequence(F.lit(1), F.length(t) - size + 1, F.lit(step))
+    return once(c, lambda t: F.when(F.length(t) >= size, F.array_distinct(F.transform(starts(t), lambda i: F.substring(t, i, F.lit(size))))).otherwise(F.array(t)))
 
 
 def shingles(c: Column, size: int = 8) -> Column:
@@ -200,16 +207,16 @@ def anchors(c: Column) -> Column:
 
 def anchor_share(wanted: Column, content: Column) -> Column:
     """Share of the anchors that the content holds; 0 without anchors."""
-    low = F.lower(filled(content))
-    return F.when(F.size(wanted) > 0, F.size(F.filter(wanted, lambda a: F.contains(low, a))) / F.size(wanted)).otherwise(F.lit(0.0))
+    share = lambda low, w: F.size(F.filter(w, lambda a: F.contains(low, a))) / F.size(w)
+    return once(wanted, lambda w: F.when(F.size(w) > 0, once(F.lower(filled(content)), lambda low: share(low, w))).otherwise(F.lit(0.0)))
 
 
 def bigram_coverage(fact: Column, content: Column) -> Column:
     """Share of the fact's distinct character pairs (of 120 normalised characters) found in the content."""
     norm = lambda c: F.regexp_replace(F.lower(filled(c)), rf"[^a-z0-9{CJK}]+", "")
-    f, c = F.substring(norm(fact), 1, 120), norm(content)
-    pairs = pieces(f, 2)
-    return F.when(F.length(f) < 6, 0.0).otherwise(F.size(F.filter(pairs, lambda g: F.contains(c, g))) / F.size(pairs))
+    f = F.substring(norm(fact), 1, 120)
+    share = lambda pairs, c: F.size(F.filter(pairs, lambda g: F.contains(c, g))) / F.size(pairs)
+    return F.when(F.length(f) < 6, 0.0).otherwise(once(pieces(f, 2), lambda pairs: once(norm(content), lambda c: share(pairs, c))))
 
 
 def token_estimate(c: Column) -> Column:
@@ -256,8 +263,7 @@ def physical_page(stem: Column, page: Column) -> Column:
 def source_tokens_hit(expected: Column, stem: Column) -> Column:
     """Every Latin or CJK run of the expected name is in the normalised stem; an empty name is a hit."""
     runs = F.regexp_extract_all(F.lower(filled(expected)), F.lit(rf"[a-z0-9]+|[{CJK}]+"), F.lit(0))
-    low = F.regexp_replace(F.lower(filled(stem)), rf"[^a-z0-9{CJK}]+", "")
-    return F.forall(runs, lambda t: F.contains(low, t))
+    return once(F.regexp_replace(F.lower(filled(stem)), rf"[^a-z0-9{CJK}]+", ""), lambda low: F.forall(runs, lambda t: F.contains(low, t)))
 
 
 def loose(c: Column) -> Column:
@@ -267,9 +273,8 @@ def loose(c: Column) -> Column:
 
 def window_coverage(fragment: Column, material: Column, window: int = 12, step: int = 4) -> Column:
     """Share of the windows of the (loose) fragment that the (loose) material holds."""
-    starts = F.sequence(F.lit(1), F.length(fragment) - window + 1, F.lit(step))
-    wins = F.transform(starts, lambda i: F.substring(fragment, i, F.lit(window)))
-    long = F.size(F.filter(wins, lambda w: F.contains(material, w))) / F.size(wins)
+    wins = once(fragment, lambda f: F.transform(F.sequence(F.lit(1), F.length(f) - window + 1, F.lit(step)), lambda i: F.substring(f, i, F.lit(window))))
+    long = once(wins, lambda ws: once(material, lambda m: F.size(F.filter(ws, lambda w: F.contains(m, w))) / F.size(ws)))
     return F.when(F.length(fragment) > window, long).otherwise(F.contains(material, fragment).cast("double"))
 
 

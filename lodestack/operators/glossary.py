@@ -90,8 +90,9 @@ def inferred_stems(queries: DataFrame, registry: DataFrame, least: float = 4, ma
     near = q.select("query_id", "q", F.explode(grams(F.col("q"))).alias("g")).join(tokens.withColumn("g", F.substring("t", 1, 2)), "g").filter(F.contains("q", F.col("t")))
     scored = near.groupBy("query_id", "q", "base").agg(F.sum(F.length("t") * F.col("times")).alias("score"))
     w = Window.partitionBy("query_id")
-    ranked = scored.withColumns({"best": F.max("score").over(w), "second": F.element_at(F.sort_array(F.collect_list("score").over(w), asc=False), F.when(F.count("*").over(w) > 1, 2).otherwise(1)), "many": F.count("*").over(w)})
-    second = F.when(F.col("many") > 1, F.col("second")).otherwise(0)
+    placed = scored.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"))))
+    ranked = placed.withColumns({"best": F.max("score").over(w), "second": F.max(F.when(F.col("place") == 2, F.col("score"))).over(w)})
+    second = F.coalesce("second", F.lit(0))
     tops = ranked.filter((F.col("best") >= least) & (F.col("score") >= F.col("best") * tie)).join(registry.select("base", words.alias("words")), "base")
     raw = F.size(F.filter("words", lambda x: (F.length(x) >= 2) & F.contains(F.col("q"), x)))
     tops = tops.withColumns({"clear": F.col("best") >= second * margin, "close": second >= F.col("best") * tie, "raw": raw}).withColumn("most", F.max("raw").over(w))

@@ -15,9 +15,9 @@ def unsupported_numbers(answer: Column, sources: Column) -> Column:
 
 def numeric_layer(answer: Column, sources: Column) -> Column:
     """Sentences of the answer with a number that no source has; a sentence that also has a sourced one is a derivation and passes."""
-    sourced = text.numbers(F.array_join(sources, "\n"))
-    bad = lambda s: (F.size(F.array_except(text.numbers(s), sourced)) > 0) & (F.size(F.array_intersect(text.numbers(s), sourced)) == 0)
-    return F.filter(text.sentences(answer), bad)
+    bad = lambda own, sourced: (F.size(F.array_except(own, sourced)) > 0) & (F.size(F.array_intersect(own, sourced)) == 0)
+    found = lambda sourced: F.filter(text.sentences(answer), lambda s: text.once(text.numbers(s), lambda own: bad(own, sourced)))
+    return text.once(text.numbers(F.array_join(sources, "\n")), found)
 
 
 def gated(answers: DataFrame, verdicts: DataFrame, limit: float = 0.4, replacement: str = "资料中未找到可核实的内容。") -> DataFrame:

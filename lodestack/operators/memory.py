@@ -10,16 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import fingerprint, squashed
+from ..functions.text import fingerprint, once, squashed
 from ..functions.vectors import cosine
 
 
 def verbatim(sentences: Column, content: Column, n: int) -> Column:
     """The distinct sentences that stand in the content but for white space, by lines; else its first n characters."""
-    clean = squashed(content)
-    here = F.filter(sentences, lambda s: (F.trim(s) != "") & F.contains(clean, squashed(s)))
-    once = F.array_distinct(F.transform(here, F.trim))
-    return F.when(F.size(once) > 0, F.array_join(once, "\n")).otherwise(F.substring(content, 1, n))
+    here = once(squashed(content), lambda clean: F.filter(sentences, lambda s: (F.trim(s) != "") & F.contains(clean, squashed(s))))
+    kept = F.array_distinct(F.transform(here, F.trim))
+    return once(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, "\n")).otherwise(F.substring(content, 1, n)))
 
 
 def eviction_score(importance: Column, last_access: Column, promoted: Column) -> Column:

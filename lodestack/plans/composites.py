@@ -32,7 +32,9 @@ def scored(spark, d):
     from ..functions.vectors import cosine, dot
 
     a, b = arm(spark, d, "dense"), arm(spark, d, "sparse")
-    ids = a.select("query_id", "chunk_id", "source_stem").unionByName(b.select("query_id", "chunk_id", "source_stem")).distinct()
+    both_arms = a.select("query_id", "chunk_id", "source_stem").unionByName(b.select("query_id", "chunk_id", "source_stem"))
+    # Dealt anew: Spark 4.1 may take a union with a reused exchange for partitioned when it is not.
+    ids = both_arms.repartition("query_id", "chunk_id").distinct()
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     both = ids.join(e.withColumnsRenamed({"vec_id": "chunk_id", "embedding": "v"}), "chunk_id").join(e.withColumnsRenamed({"vec_id": "query_id", "embedding": "q"}), "query_id")
     lead = lambda c: F.slice(c, 1, 16)
@@ -103,12 +105,12 @@ def quality_gate(spark, d):
     return requests(spark, d).select("event_id", g.alias("g")).select("event_id", "g.verdict")
 
 
-@query("j08_prefetch_blocks", f"WITH {TURNS}, t AS (SELECT thread_id, string_agg(role || ': ' || content[1:20], chr(10) ORDER BY pos) AS block, count(*) AS n FROM (SELECT * FROM turns WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY pos DESC) <= 4) GROUP BY thread_id) SELECT thread_id, n, md5(block) AS block FROM t")
+@query("j08_prefetch_blocks", f"WITH {TURNS}, t AS (SELECT thread_id, string_agg(role || ': ' || content, chr(10) ORDER BY pos) AS block, count(*) AS n FROM (SELECT * FROM turns WHERE role <> 'system' QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY pos DESC) <= 4) GROUP BY thread_id) SELECT thread_id, n, md5(block) AS block FROM t")
 def prefetch(spark, d):
     from ..operators import conversation
 
     r = conversation.recent(turns(spark, d), limit=4)
-    g = r.groupBy("thread_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", F.concat("role", F.lit(": "), F.substring("content", 1, 20)).alias("l")))).alias("l"))
+    g = r.groupBy("thread_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", F.concat("role", F.lit(": "), "content").alias("l")))).alias("l"))
     return g.select("thread_id", "n", F.md5(F.array_join(F.transform("l", lambda x: x["l"]), "\n").cast("binary")).alias("block"))
 
 

@@ -156,11 +156,11 @@ def not_prefetched(spark, d):
     return once.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("n <= 8").drop("n")
 
 
-@query("c16_history_fallback", f"WITH {TURNS}, s AS (SELECT * FROM turns WHERE role IN ('user', 'assistant') AND conv_id % 3 <> 0), c AS (SELECT thread_id, pos, role, content[1:10] AS content FROM turns WHERE role IN ('user', 'assistant')), u AS (SELECT thread_id, pos, role, content FROM s UNION ALL SELECT * FROM c WHERE thread_id NOT IN (SELECT thread_id FROM s)) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY pos DESC) <= 10")
+@query("c16_history_fallback", f"WITH {TURNS}, s AS (SELECT * FROM turns WHERE role IN ('user', 'assistant') AND conv_id % 3 <> 0), c AS (SELECT thread_id, pos, role, 'c: ' || content AS content FROM turns WHERE role IN ('user', 'assistant')), u AS (SELECT thread_id, pos, role, content FROM s UNION ALL SELECT * FROM c WHERE thread_id NOT IN (SELECT thread_id FROM s)) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY thread_id ORDER BY pos DESC) <= 10")
 def history(spark, d):
     t = turns(spark, d)
     server = conversation.recent(t.filter("conv_id % 3 <> 0"), limit=10).select("thread_id", "pos", "role", "content")
-    client = conversation.recent(t.withColumn("content", F.substring("content", 1, 10)), limit=10).select("thread_id", "pos", "role", "content")
+    client = conversation.recent(t.withColumn("content", F.concat(F.lit("c: "), "content")), limit=10).select("thread_id", "pos", "role", "content")
     return server.unionByName(client.join(server.select("thread_id").distinct(), "thread_id", "left_anti"))
 
 

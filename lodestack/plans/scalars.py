@@ -41,7 +41,10 @@ def table_rows(spark, d):
     return rows.select("doc_id", F.size("rows").cast("bigint").alias("n_rows"), F.md5(F.array_join("rows", "\n").cast("binary")).alias("body"))
 
 
-@query("h03_header_rows", f"WITH {CHUNKS}, {TABLES}, {ROWS} SELECT doc_id, len(string_split(rows[1], '|')) >= 2 AND NOT (len(rows) >= 2 AND len(string_split(rows[1], '|')) < len(string_split(rows[2], '|')) / 2) AS header FROM r")
+CELLS = "len(list_filter(string_split(coalesce(rows[{i}], ''), '|'), lambda x: trim(x) <> ''))"
+
+
+@query("h03_header_rows", f"WITH {CHUNKS}, {TABLES}, {ROWS}, n AS (SELECT doc_id, len(rows) AS n, {CELLS.format(i=1)} AS one, {CELLS.format(i=2)} AS two FROM r) SELECT doc_id, one >= 2 AND NOT (n >= 2 AND two > 0 AND one < two / 2) AS header FROM n")
 def header_rows(spark, d):
     return html_tables(spark, d).select("doc_id", text.has_header_row(text.table_rows(F.col("html"))).alias("header"))
 
