@@ -259,8 +259,9 @@ def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: Da
     labels = _judge(pairs, bags, labels, threshold, "near-second")
 
     # A bucket's class is the largest that its members meet in their buckets; nodes apart from it, with its members.
-    # A class may hold a third of all members: its size goes to them by several keys.
-    sizes = labels.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(CLASS_KEYS - 1))))
+    # A class may hold a third of all members: what is known of it goes to them by several keys.
+    every_share = F.explode(F.sequence(F.lit(0), F.lit(CLASS_KEYS - 1)))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size")).filter("size > 1").withColumn("share", every_share)
     share = F.pmod(F.xxhash64("bucket", "node"), F.lit(CLASS_KEYS)).cast("int")
     placed = multi.select("bucket", "key", "keys", "node").join(labels, "node").withColumn("share", share).join(sizes, ["label", "share"], "left")
     placed = stash(placed.select("bucket", "key", "keys", "node", "label", F.coalesce("size", F.lit(1)).alias("size")), "near-placed")
@@ -275,7 +276,8 @@ def _link(docs: DataFrame, id_col: str, text_col: str, sig: DataFrame, multi: Da
     votes = models.join(bags, "node").select("cls", F.explode("items").alias("item")).groupBy("cls", "item").agg(F.count("*").alias("votes"))
     quorum = models.groupBy("cls").agg(F.count("*").alias("models"))
     common = votes.join(quorum, "cls").filter("votes * 2 > models").groupBy("cls").agg(F.collect_list("item").alias("common"))
-    both = away.withColumn("apart", F.lit(True)).unionByName(inside.withColumn("apart", F.lit(False))).join(bags, "node").join(common, "cls", "left")
+    both = away.withColumn("apart", F.lit(True)).unionByName(inside.withColumn("apart", F.lit(False))).join(bags, "node")
+    both = both.withColumn("share", F.pmod(F.xxhash64("node"), F.lit(CLASS_KEYS)).cast("int")).join(common.withColumn("share", every_share), ["cls", "share"], "left")
     shared = F.coalesce("common", F.array().cast("array<bigint>"))
     around = both.select("cls", "node", "label", "apart", F.size("items").alias("na"), F.size(F.array_intersect("items", shared)).alias("both"), F.array_except("items", shared).alias("outside"))
     around = stash(around, "near-around")
