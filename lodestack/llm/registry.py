@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, language_model, near_dup, quality, secrets, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, langid, language_model, near_dup, quality, secrets, substring_dedup, token_counts, token_files, warc
 
 QUERIES = {
     "op5_warc_index": warc.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_secret_scan": secrets.query,
     "op9_bpe_round_trip": bpe.query,
     "op10_decontaminate": decontaminate.query,
+    "op12_token_files": token_files.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
