@@ -14,11 +14,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import delete_folder
+
 SLICE_BYTES = 1 << 20
 BATCH_BYTES = 2 << 20
 
@@ -206,8 +207,7 @@ def drop(*stashed: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for df in stashed:
         if files := df.inputFiles():
-            fs, folder = pafs.FileSystem.from_uri(files[0].rsplit("/", 1)[0])
-            fs.delete_dir(folder)
+            delete_folder(df.sparkSession, files[0].rsplit("/", 1)[0])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
