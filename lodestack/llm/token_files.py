@@ -15,12 +15,14 @@ Reading: files are dealt over tasks by lines of the manifest, memory-mapped
 (read whole where the folder is no local file system) and cut by their offsets;
 a document's place in all ids is its offset plus its file's base.
 
-Encoding: the library's own encoder, given the parts of a text between ASCII
-white space, which no token spans; a worker keeps the ids of ``CACHE`` short
-parts. A part that is new is cut further, after runs of ASCII letters, single
-digits and symbols, where the next byte is ASCII too: no token of this
-pre-tokenizer spans such a place, except behind an apostrophe or from a symbol
-to a control character, which are never cut. Texts with a special token's string go to the library whole.
+Encoding: the library's own encoder, over pieces of a text that it would encode
+alike in the text; a worker keeps the ids of the pieces it has met. Texts are cut
+at ASCII white space, after runs of Latin letters, single digits and symbols where
+the next character is ASCII too: no token of this pre-tokenizer spans such a
+place, but for an apostrophe's and from a symbol to a control character, which
+are never cut. New pieces of one pre-token each go to the library in one call,
+and their ids are told apart by the ends of words. Texts with a special token's
+string, and all texts under a tokenizer of another kind, go to it whole.
 
 Defined results: null and empty texts have the end id only; documents of equal
 id (or of a null one, which come first) are ordered by a hash of their text,
@@ -30,12 +32,13 @@ gives an empty manifest. Columns of other names are not written.
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,11 +48,28 @@ from .arrow import bound_batches, give_back, shared_folder, slices
 from .files import mapped, open_folder
 
 FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 22
+#: Pieces that a worker keeps, twice (new ones and those before them), and their length.
 CACHE, KEPT_LENGTH = 400_000, 64
 #: Bytes of ids that a reading task gives at once.
 READ_BYTES = 1 << 20
-#: Cuts of a part that no token spans; the last takes the rest.
-CUTS = regex.compile(rb"[A-Za-z]++(?![\x80-\xff])|[0-9](?![\x80-\xff])|[!-&(-/:-@\[-`{-~]++(?![\x00-\x1f\x7f-\xff'])|[\x00-\xff]+")
+# Latin letters that stay letters when normalised and lower-cased.
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u017f"
+_SYMBOLS = r"!-&(-/:-@\[-`{-~"
+#: Pieces that no token reaches out of; the last kind takes the rest up to white space.
+PIECES = re.compile(rf"[{_LETTERS}]++(?![^\x00-\x7f])|[0-9](?![^\x00-\x7f])|[{_SYMBOLS}]++(?![\x00-\x08\x0e-\x1f\x7f-\U0010ffff'])|[^ \t\n\r\f\v]+")
+ONE_WORD = re.compile(rf"[{_LETTERS}]+|[0-9]|[{_SYMBOLS}]+")
+# The tokenizer that these cuts are made for.
+KIND = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+WORD_END = "</w>"
 LINES = "part int, seq int, name string, width int, docs bigint, tokens bigint"
 
 
@@ -60,7 +80,7 @@ def default_vocabulary() -> str:
 
 
 class Encoder(dict):
-    """Maps a part of a text to its ids' bytes."""
+    """Maps a piece of a text to its ids' bytes."""
 
     def __init__(self, spec: str, end_id: int | None):
         from tokenizers import Tokenizer
@@ -68,36 +88,57 @@ class Encoder(dict):
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.kind = "<u2" if max(self.library.get_vocab_size() - 1, end_id or 0) < 1 << 16 else "<u4"
+        whole = json.loads(spec)
+        self.cuts = all(whole.get(k) == v for k, v in KIND.items()) and whole["model"].get("end_of_word_suffix") == WORD_END
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocab = self.library.get_vocab()
+        largest = max(vocab.values())
+        self.kind = "<u2" if max(largest, end_id or 0) < 1 << 16 else "<u4"
+        self.ends = np.zeros(largest + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
-        self.pieces: dict[bytes, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def piece(self, part: bytes) -> bytes:
-        if (ids := self.pieces.get(part)) is None:
-            ids = self.whole(part.decode())
-            if len(part) <= KEPT_LENGTH:
-                if len(self.pieces) >= CACHE:
-                    self.pieces.clear()
-                self.pieces[part] = ids
-        return ids
-
-    def __missing__(self, part: bytes) -> bytes:
-        ids = b"".join(map(self.piece, CUTS.findall(part)))
-        if len(part) <= KEPT_LENGTH:
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) <= KEPT_LENGTH:
             if len(self) >= CACHE:
+                self.before = dict(self)
                 self.clear()
-            self[part] = ids
+            self[piece] = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.before.get(piece)) is None:
+            ids = self.whole(piece)
+        self.keep(piece, ids)
         return ids
 
+    def learn(self, pieces: set[str]) -> None:
+        """Encode new pieces of one word in one call."""
+        words = [p for p in pieces if p not in self and p not in self.before and len(p) <= KEPT_LENGTH and ONE_WORD.fullmatch(p)]
+        if len(words) > CACHE:
+            return
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        after = np.flatnonzero(self.ends[ids]) + 1
+        if len(after) != len(words):  # not one word each under this vocabulary
+            return
+        raw, size = ids.tobytes(), ids.itemsize
+        at = 0
+        for word, end in zip(words, (after * size).tolist(), strict=True):
+            self.keep(word, raw[at:end])
+            at = end
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return [self.whole(t) + self.end for t in texts]
+        cut = [None if any(s in t for s in self.special) else PIECES.findall(t) for t in texts]
+        self.learn(set().union(*[c for c in cut if c]))
+        return [(self.whole(t) if c is None else b"".join(map(self.__getitem__, c))) + self.end for t, c in zip(texts, cut, strict=True)]
+
     def encode(self, text: str) -> bytes:
-        raw = text.encode()
-        if any(s in raw for s in self.special):
-            return self.whole(text) + self.end
-        return b"".join(map(self.__getitem__, raw.split())) + self.end
+        return self.encode_all([text])[0]
 
 
 _loaded: dict[tuple, Encoder] = {}
@@ -165,7 +206,7 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
             if out is None:
                 out = _Writer(folder, e.kind, keys)
             own = pa.RecordBatch.from_arrays([batch.column(0).cast(keys.field(0).type)], schema=keys)
-            out.add(own, [e.encode(t) for t in batch.column(1).to_pylist()])
+            out.add(own, e.encode_all(batch.column(1).to_pylist()))
             if out.full(file_bytes):
                 lines.append(out.close())
                 out = None
@@ -224,7 +265,8 @@ def read(spark: SparkSession, folder: str, id_col: str = "doc_id", id_type: str
                     i = j
         give_back()
 
-    return manifest(spark, folder).repartition("name").mapInArrow(documents, schema)
+    lines = manifest(spark, folder)
+    return lines.repartition(max(1, lines.count()), "name").mapInArrow(documents, schema)  # a file is a task's share
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,10 +46,21 @@ def test_random_texts(own, library):
 
 def test_bounded_caches(own, library, monkeypatch):
     monkeypatch.setattr(token_files, "CACHE", 3)
-    for text in ("a b c d e f", "a1,b2 c3;d4"):
+    for text in ("a b c d e f", "a1,b2 c3;d4", "a b a b c a d a", "é1é'2é?é"):
         assert ids(own, text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_another_kind(library):
+    """A tokenizer that the cuts are not made for gets whole texts."""
+    import public_tokenizers
+
+    spec = public_tokenizers.path("byte_bpe_50k.json")
+    with open(spec, encoding="utf-8") as f:
+        own = token_files.Encoder(f.read(), None)
+    assert not own.cuts
+    assert ids(own, "It is  so") == tokenizers.Tokenizer.from_file(spec).encode("It is  so", add_special_tokens=False).ids
+
+
 def want(library, rows):
     at, out = 0, []
     for i, text in rows:
