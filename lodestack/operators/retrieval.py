@@ -27,14 +27,21 @@ class Settings:
     fixed: int = 0
     doc_cap: int = 0
     boost: float = 1.35
+    expanded: int = 2
+    expanded_chars: int = 500
 
 
-def hybrid(arms: list[DataFrame], exact: DataFrame | None, scored: DataFrame, scopes: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+def hybrid(arms: list[DataFrame], exact: DataFrame | None, scored: DataFrame, scopes: DataFrame | None = None, settings: Settings = Settings(), rescue: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): recall arms fused, exact hits first, pool by
-    ratio, copies out, cascade, blend of two scores, scope boost, cut and seat cap.
+    ratio, copies out, cascade, blend of two scores, scope boost, cut, seat cap,
+    rescued lexical hits, and the text that follows the first rows.
 
     ``scored``: query_id, chunk_id, first, second, content, source_stem; null
     scores stand for a scorer that failed. ``scopes``: query_id, base.
+    ``rescue``: (query_id, chunk_id, rank) of hits that get a seat at the end, or
+    with ``fixed`` the last seat if it is weak. ``chunks``: (chunk_id,
+    source_stem, chunk_index, content), adds ``next_content`` to the first
+    ``expanded`` rows; rescued rows have none.
     """
     s = settings
     rows = arms[0]
@@ -51,11 +58,21 @@ def hybrid(arms: list[DataFrame], exact: DataFrame | None, scored: DataFrame, sc
     # Without any score the recall order stands.
     ranked = ranking.ranked(full.withColumn("score", F.coalesce("__blend", F.lit(0.0))).drop("__blend"), F.desc("score"), "rank")
     if scopes is not None:
-        hits = scopes.select("query_id", F.col("base").alias("__base"), F.lit(True).alias("__hit"))
-        joined = ranked.join(hits, (ranked["query_id"] == hits["query_id"]) & (seat_stem(ranked["source_stem"]) == hits["__base"]), "left").drop(hits["query_id"]).drop("__base")
+        hits = scopes.select(F.col("query_id").alias("__q"), F.col("base").alias("__base"), F.lit(True).alias("__hit"))
+        family = ranked.withColumn("__family", seat_stem(F.col("source_stem")))
+        joined = family.join(hits, (F.col("query_id") == F.col("__q")) & (F.col("__family") == F.col("__base")), "left").drop("__q", "__base", "__family")
         ranked = ranking.boosted(joined, F.coalesce("__hit", F.lit(False)), s.boost).drop("__hit")
     kept = ranking.cut(ranked, s.tau, s.most, s.least, s.cliff, s.fixed)
-    return ranking.seat_cap(kept, ranked, s.doc_cap, s.tau) if s.doc_cap else kept
+    kept = ranking.seat_cap(kept, ranked, s.doc_cap, s.tau) if s.doc_cap else kept
+    out = kept.select("query_id", "chunk_id", "score", "rank")
+    if rescue is not None:
+        out = ranking.rescue_seat(out, rescue, s.tau) if s.fixed else ranking.rescue_append(out, rescue, s.tau)
+    if chunks is not None:
+        first = kept.filter(F.col("rank") <= s.expanded).select("query_id", "chunk_id")
+        here = chunks.join(first.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "source_stem", (F.col("chunk_index") + 1).alias("chunk_index"))
+        after = here.join(chunks.select("source_stem", "chunk_index", F.substring("content", 1, s.expanded_chars).alias("next_content")), ["source_stem", "chunk_index"])
+        out = out.join(first.join(after.select("chunk_id", "next_content"), "chunk_id"), ["query_id", "chunk_id"], "left")
+    return out
 
 
 def batched(results: DataFrame, per_sub: int = 4) -> DataFrame:

@@ -9,20 +9,12 @@ from ..functions import text
 from ..functions.registry import Registry, ToolSpec
 from ..operators import evaluation, grounding, memory, ranking, retrieval
 from .aggregates import GOLD, gold
-from .inputs import ARMS, PAIRED, REQUESTS, TURNS, arm, document_items, requests, table, turns
+from .inputs import ARMS, LEXICAL_ARM, PAIRED, POOL, REQUESTS, TURNS, arm, document_items, questions, requests, table, text_index, turns, vectors
+from .predicates import CODES, code_hits
 from .registry import query
 
 # Both scores of a pool's rows: the vectors' scores of each arm; row texts are the documents of the same id.
 BLEND = "(CASE WHEN count(first) OVER w > 0 AND count(second) OVER w > 0 THEN 0.6 * CASE WHEN max(first) OVER w > min(first) OVER w THEN (first - min(first) OVER w) / (max(first) OVER w - min(first) OVER w) ELSE 0.5 END + 0.4 * CASE WHEN max(second) OVER w > min(second) OVER w THEN (second - min(second) OVER w) / (max(second) OVER w - min(second) OVER w) ELSE 0.5 END ELSE coalesce(first, second) END)"
-FUSED = ARMS + """, arms AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM sparse),
-fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM arms GROUP BY ALL)),
-top AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM fused WHERE rank <= 192), kept AS (SELECT *, count(*) FILTER (WHERE score >= t * 0.4) OVER (PARTITION BY query_id) AS n FROM top), pool AS (SELECT query_id, chunk_id, rank FROM kept WHERE rank <= greatest(n, 32)),
-full_ AS (SELECT p.query_id, p.chunk_id, p.rank, s.source_stem, s.d AS first, s.s AS second, regexp_replace(coalesce(x.text, 'v' || p.chunk_id), '\\s+', '', 'g') AS body FROM pool p JOIN scored s USING (query_id, chunk_id) LEFT JOIN documents x ON x.doc_id = p.chunk_id),
-dd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY query_id, body ORDER BY rank) = 1)),
-ca AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, r) AS c, count(*) OVER (PARTITION BY query_id) AS n FROM dd),
-cc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, chunk_id) AS r2 FROM ca WHERE n <= 24 OR c <= 24),
-bl AS (SELECT *, coalesce(round(""" + BLEND + """, 6), 0) AS score FROM cc WINDOW w AS (PARTITION BY query_id)),
-ranked AS (SELECT query_id, chunk_id, source_stem, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r2) AS rank FROM bl)"""
 CUT = """, n AS (SELECT *, least(count(*) FILTER (WHERE score >= 0.3) OVER (PARTITION BY query_id), 8) AS k FROM {src}), l AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM n WHERE rank <= CASE WHEN k < 3 THEN 3 ELSE k END),
 e AS (SELECT *, min(CASE WHEN score < 0.6 * before THEN rank END) OVER (PARTITION BY query_id) AS edge FROM l), cut AS (SELECT query_id, chunk_id, source_stem, score, rank FROM e WHERE edge IS NULL OR rank < edge)"""
 
@@ -51,10 +43,57 @@ def blend(spark, d):
     return b.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("blend"), 4).alias("total"), F.round(F.max("blend"), 4).alias("top"))
 
 
-@query("j01_hybrid_search", f"WITH {FUSED}{CUT.format(src='ranked')} SELECT query_id, chunk_id, score, rank FROM cut")
+# Rows of both tables: a vector's family, else that of the document.
+STEMS = "stems AS (SELECT coalesce(v.chunk_id, d.doc_id) AS chunk_id, coalesce(v.source_stem, 'doc' || (d.doc_id % 10) || '_p1-100') AS source_stem, v.e, d.text FROM v FULL JOIN documents d ON d.doc_id = v.chunk_id)"
+#: All stages of one search; the questions' words recall documents, their vectors recall vectors, codes are those of the document of the question's number.
+HYBRID = rf"""WITH {ARMS}, {LEXICAL_ARM}, {STEMS}, codes AS (SELECT DISTINCT doc_id, unnest({CODES}) AS code FROM documents),
+exact AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM (SELECT DISTINCT q.doc_id AS query_id, h.doc_id AS chunk_id FROM codes q JOIN codes h ON q.code = h.code AND q.doc_id <> h.doc_id WHERE q.doc_id IN (SELECT query_id FROM questions)) QUALIFY rank <= 6),
+arms AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM lexical),
+fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM arms GROUP BY ALL)),
+top AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS t FROM fused WHERE rank <= 192), kept AS (SELECT *, count(*) FILTER (WHERE score >= t * 0.4) OVER (PARTITION BY query_id) AS n FROM top),
+both_ AS (SELECT query_id, chunk_id, 0 AS arm, rank FROM exact UNION ALL SELECT query_id, chunk_id, 1, rank FROM kept WHERE rank <= greatest(n, 32)),
+pool AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY arm, rank) AS rank FROM (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY arm, rank) = 1)),
+full_ AS (SELECT p.query_id, p.chunk_id, p.rank, x.source_stem, coalesce(round(list_dot_product(q.e, x.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(x.e, x.e))), 6), 0) AS first, CAST(coalesce(l.s, 0) AS DOUBLE) AS second, regexp_replace(coalesce(x.text, 'v' || p.chunk_id), '\s+', '', 'g') AS body
+  FROM pool p JOIN stems x USING (chunk_id) JOIN v q ON q.chunk_id = p.query_id LEFT JOIN lscored l ON l.query_id = p.query_id AND l.chunk_id = p.chunk_id),
+dd AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY query_id, body ORDER BY rank) = 1)),
+ca AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, r) AS c, count(*) OVER (PARTITION BY query_id) AS n FROM dd),
+cc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC, chunk_id) AS r2 FROM ca WHERE n <= 24 OR c <= 24),
+bl AS (SELECT *, coalesce(round({BLEND}, 6), 0) AS score FROM cc WINDOW w AS (PARTITION BY query_id)),
+re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r2) AS r3 FROM bl),
+ranked AS (SELECT query_id, chunk_id, source_stem, boosted AS score, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, r3) AS rank FROM (SELECT *, CASE WHEN query_id % 100 = 0 AND regexp_replace(source_stem, '_p\d+(?:-\d+)?$', '') = 'fam' || (query_id // 50 % 10) THEN score * 1.35::DOUBLE ELSE score END AS boosted FROM re)){CUT.format(src="ranked")},
+extra AS (SELECT query_id, chunk_id, 0.3 * 0.9::DOUBLE AS score, rank + 100000 AS rank FROM lexical l WHERE rank <= 2 AND NOT EXISTS (SELECT 1 FROM cut c WHERE c.query_id = l.query_id AND c.chunk_id = l.chunk_id)),
+out_ AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (SELECT query_id, chunk_id, score, rank FROM cut UNION ALL SELECT * FROM extra)),
+near AS (SELECT query_id, chunk_id, chunk_id + 1 AS next FROM cut WHERE rank <= 2 AND chunk_id % 10 < 9)
+SELECT o.query_id, o.chunk_id, round(o.score, 6) AS score, o.rank, md5(coalesce(x.text, 'v' || x.chunk_id)[1:500]) AS next FROM out_ o LEFT JOIN near n USING (query_id, chunk_id) LEFT JOIN stems x ON x.chunk_id = n.next"""
+
+
+@query("j01_hybrid_search", HYBRID)
 def hybrid(spark, d):
-    a, b, s = scored(spark, d)
-    return retrieval.hybrid([a, b], None, s).select("query_id", "chunk_id", "score", "rank")
+    """Every stage of one search; a row's text is that of the document of its number."""
+    from ..functions.vectors import cosine
+    from ..operators import sparse
+    from ..sources.scratch import written
+    
+    e = vectors(spark, d).select("chunk_id", "source_stem", F.col("embedding").alias("v"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    other = F.concat(F.lit("doc"), (F.col("chunk_id") % 10).cast("string"), F.lit("_p1-100"))
+    rows = e.join(docs, "chunk_id", "full_outer").select("chunk_id", F.coalesce("source_stem", other).alias("source_stem"), "v", F.coalesce("content", F.concat(F.lit("v"), F.col("chunk_id").cast("string"))).alias("content"))
+    index = text_index(spark, d)
+    terms = written(sparse.query_terms(index, questions(spark, d)), "question-terms")
+    lexical = written(sparse.top_k(index, terms, POOL), "lexical")
+    dense = written(arm(spark, d, "dense"), "dense")
+    ask = e.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("v").alias("q"))
+    hits = code_hits(spark, d, ask.select("query_id"))
+    exact = hits.select("query_id", F.col("hit").alias("chunk_id"), F.lit(0.0).alias("score"), F.row_number().over(Window.partitionBy("query_id").orderBy("hit")).alias("rank"))
+    pairs = written(dense.select("query_id", "chunk_id").unionByName(lexical.select("query_id", "chunk_id")).unionByName(exact.select("query_id", "chunk_id")).repartition("query_id", "chunk_id").distinct(), "candidates")
+    second = sparse.scores(index, terms, pairs).withColumnRenamed("score", "second")
+    full = pairs.join(rows, "chunk_id").join(ask, "query_id").join(second, ["query_id", "chunk_id"])
+    scored_ = full.select("query_id", "chunk_id", "source_stem", "content", F.coalesce(F.round(cosine(F.col("q"), F.col("v")), 6), F.lit(0.0)).alias("first"), F.col("second").cast("double").alias("second"))
+    scopes = ask.filter("query_id % 100 = 0").select("query_id", F.concat(F.lit("fam"), F.expr("query_id div 50 % 10").cast("string")).alias("base"))
+    # Ten rows in a row are the chunks of one document.
+    parts = rows.select("chunk_id", F.expr("'d' || (chunk_id div 10)").alias("source_stem"), (F.col("chunk_id") % 10).alias("chunk_index"), "content")
+    out = retrieval.hybrid([dense, lexical], exact, scored_, scopes, rescue=lexical.filter("rank <= 2"), chunks=parts)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", F.md5(F.col("next_content").cast("binary")).alias("next"))
 
 
 @query("j02_batch_search", f"WITH {ARMS}, r AS (SELECT query_id, 0 AS sub, chunk_id, rank FROM dense WHERE rank <= 5 UNION ALL SELECT query_id, 1, chunk_id, rank FROM sparse WHERE rank <= 12), n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY sub, rank) = 1) SELECT query_id, sub, chunk_id, rank, sub > 0 AS pinned FROM n QUALIFY sub = 0 OR row_number() OVER (PARTITION BY query_id, sub ORDER BY rank) <= 4")

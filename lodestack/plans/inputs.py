@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search
+from ..operators import search, sparse
 
 POOL = 96
 
@@ -83,6 +83,38 @@ ARMS = f"""v AS (
 )"""
 
 
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, text): the texts of the vector queries, which are benchmark items in turn."""
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    n = F.broadcast(b.agg((F.max("item_id") + 1).alias("n")))
+    q = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id")).filter("query_id % 50 = 0").crossJoin(n)
+    return q.select("query_id", F.expr("(query_id div 50) % n").alias("item_id")).join(b, "item_id").select("query_id", "text")
+
+
+def text_index(spark: SparkSession, d: str) -> sparse.SparseIndex:
+    """Index of the words of all documents."""
+    return sparse.build(sparse.weighted_terms(table(spark, d, "documents")))
+
+
+# Words of all documents with their impacts, and the scores of the questions' words.
+LEXICAL = rf"""questions AS (SELECT q.vec_id AS query_id, b.text FROM embeddings q JOIN benchmark b ON b.item_id = (q.vec_id // 50) % (SELECT max(item_id) + 1 FROM benchmark) WHERE q.vec_id % 50 = 0),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM documents) GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT id, CAST(sum(tf) AS DOUBLE) AS n FROM tf GROUP BY id), mean AS (SELECT sum(n) / count(*) AS mean, count(*) AS docs FROM sizes),
+impacts AS MATERIALIZED (SELECT id, term, CAST(round(1000 * (tf * {sparse.K1 + 1}::DOUBLE / (tf + {sparse.K1}::DOUBLE * ({1 - sparse.B}::DOUBLE + {sparse.B}::DOUBLE * n / mean)))) AS BIGINT) AS impact FROM tf JOIN sizes USING (id), mean),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
+
+
+def weighted_sql(source: str) -> str:
+    """(query_id, chunk_id, s) of all documents that share a word with a question of ``source``."""
+    return rf"""asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS term FROM {source}) GROUP BY ALL),
+weights AS MATERIALIZED (SELECT query_id, term, CAST(times * round(100 * ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS BIGINT) AS weight FROM asked JOIN dfs USING (term), mean),
+lscored AS MATERIALIZED (SELECT query_id, id AS chunk_id, CAST(sum(weight * impact) AS BIGINT) AS s FROM weights JOIN impacts USING (term) GROUP BY ALL)"""
+
+
+LEXICAL_ARM = f"""{LEXICAL}, {weighted_sql("questions")},
+lexical AS (SELECT query_id, chunk_id, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INT) AS rank FROM lscored WHERE s > 0 QUALIFY rank <= {POOL})"""
+
+
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Conversation turns as messages of threads: (thread_id, pos, role, content)."""
     return table(spark, d, "conversations").select(F.concat(F.lit("u"), (F.col("conv_id") % 7).cast("string"), F.lit("|t"), F.col("conv_id").cast("string")).alias("thread_id"), "conv_id", F.col("turn").cast("int").alias("pos"), "role", F.col("text").alias("content"))

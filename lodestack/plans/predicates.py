@@ -55,16 +55,21 @@ def codes(spark, d):
     return table(spark, d, "documents").withColumn("c", text.alarm_codes(F.col("text"))).filter("size(c) > 0").select("doc_id", F.array_join("c", ",").alias("codes"))
 
 
+def code_hits(spark, d, asked):
+    """(query_id, hit): the first six documents that hold a code of the document of the query's number."""
+    c = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.alarm_codes(F.col("text")))).alias("code"))
+    own = c.withColumnRenamed("doc_id", "query_id").join(asked.select("query_id").distinct(), "query_id", "left_semi")
+    hits = own.join(c.withColumnRenamed("doc_id", "hit"), "code").filter("query_id <> hit").select("query_id", "hit").distinct()
+    return hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("hit"))).filter("n <= 6").drop("n")
+
+
 @query(
     "b04_exact_code_recall",
     f"""WITH c AS (SELECT DISTINCT doc_id, unnest({CODES}) AS code FROM documents), hits AS (SELECT DISTINCT q.doc_id AS query_id, h.doc_id AS hit FROM c q JOIN c h ON q.code = h.code AND q.doc_id <> h.doc_id WHERE q.doc_id % 50 = 0)
 SELECT query_id, hit FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hit) <= 6""",
 )
 def exact_codes(spark, d):
-    c = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.alarm_codes(F.col("text")))).alias("code"))
-    asked_ = c.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
-    hits = asked_.join(c.withColumnRenamed("doc_id", "hit"), "code").filter("query_id <> hit").select("query_id", "hit").distinct()
-    return hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("hit"))).filter("n <= 6").drop("n")
+    return code_hits(spark, d, table(spark, d, "documents").filter("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id")))
 
 
 KINDS = ["text", "header", "footer", "page_number", "aside_text", "table", "list", "image"]

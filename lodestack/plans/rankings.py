@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import conversation, layout, memory, ranking
-from .inputs import ARMS, CHUNKS, REQUESTS, TURNS, arm, chunks, requests, table, turns
+from ..operators import conversation, layout, memory, ranking, sparse
+from .inputs import ARMS, CHUNKS, LEXICAL, LEXICAL_ARM, POOL, REQUESTS, TURNS, arm, chunks, questions, requests, table, text_index, turns, weighted_sql
 from .registry import query
 
 DENSE = "dense"
@@ -21,10 +21,31 @@ FUSED = ARMS + """, arms AS (SELECT query_id, chunk_id, rank FROM dense UNION AL
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM arms GROUP BY ALL))"""
 
 
-@query("e01_rank_fusion", f"WITH {FUSED} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM fused WHERE rank <= 100")
+def lexical_arm(spark, d, k=POOL):
+    """(query_id, chunk_id, score, rank) of the questions' words over all documents."""
+    index = text_index(spark, d)
+    return sparse.top_k(index, sparse.query_terms(index, questions(spark, d)), k)
+
+
+@query(
+    "e01_rank_fusion",
+    f"""WITH {ARMS}, {LEXICAL_ARM}, arms AS (SELECT query_id, chunk_id, rank FROM dense UNION ALL SELECT query_id, chunk_id, rank FROM lexical)
+SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank, round(score, 6) AS score FROM (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM arms GROUP BY ALL) QUALIFY rank <= 100""",
+)
 def fusion(spark, d):
-    a, b = both(spark, d)
-    return ranking.fuse(a.unionByName(b), limit=100).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    rows = lambda df: df.select("query_id", "chunk_id", "rank")
+    return ranking.fuse(rows(arm(spark, d, DENSE)).unionByName(rows(lexical_arm(spark, d))), limit=100).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+
+
+ITEM_QUESTIONS = "items AS (SELECT item_id AS query_id, text FROM benchmark)"
+
+
+@query("e01_lexical_recall", f"WITH {LEXICAL}, {ITEM_QUESTIONS}, {weighted_sql('items')} SELECT query_id, chunk_id, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INT) AS rank FROM lscored WHERE s > 0 QUALIFY rank <= 20")
+def lexical_recall(spark, d):
+    """Every benchmark item asks all documents."""
+    index = text_index(spark, d)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return sparse.top_k(index, sparse.query_terms(index, asked), 20).select("query_id", "chunk_id", "score", "rank")
 
 
 MERGED = ARMS + """, sides AS (SELECT query_id, chunk_id, score, 0 AS arm, rank, 1.0::DOUBLE / (60 + rank) AS part FROM dense UNION ALL SELECT query_id, chunk_id, score, 1, rank, 0.7::DOUBLE / (60 + rank) FROM sparse),
