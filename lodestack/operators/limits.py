@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import SLICE, Running, counted_within, running, scan, sliced
 
 def blocked(logins: DataFrame, most: int = 5, seconds: int = 60) -> DataFrame:
     """Logins with ``most`` failures of their address or more in the seconds up to them, their own included."""
-    w = Window.partitionBy("ip").orderBy(F.unix_micros("ts")).rangeBetween(-seconds * 1_000_000, 0)
-    return logins.withColumn("failures", F.count_if(~F.col("ok")).over(w)).filter(F.col("failures") >= most)
+    placed = logins.withColumn("__us", F.unix_micros("ts"))
+    return counted_within(placed, ["ip"], "__us", seconds * 1_000_000, ~F.col("ok"), "failures").drop("__us").filter(F.col("failures") >= most)
 
 
 def lease_load(leases: DataFrame) -> DataFrame:
@@ -33,8 +34,24 @@ def lease_load(leases: DataFrame) -> DataFrame:
 
 def overlapping(leases: DataFrame, key: str) -> DataFrame:
     """Leases of a key that start before an earlier one of it has ended."""
-    w = Window.partitionBy(key).orderBy("start", "token").rowsBetween(Window.unboundedPreceding, -1)
-    return leases.withColumn("busy_until", F.max("end").over(w)).filter(F.col("start") < F.col("busy_until"))
+    found = scan(leases, [key], ["start", "token"], {"busy_until": Running("max", F.col("end"), before=True)})
+    return found.filter(F.col("start") < F.col("busy_until"))
+
+
+def serial(jobs: DataFrame, key: str) -> DataFrame:
+    """Jobs of a key one after the other: ``place`` and ``done_us``, when each ends.
+
+    A job starts when it has come (``start``) and the one before it is done, and
+    takes until ``end`` from its start. With T the work up to a job, it ends at T
+    plus the largest (arrival - work before) so far.
+    """
+    order = ["start", "token"]
+    took = jobs.withColumn("__took", F.unix_micros("end") - F.unix_micros("start"))
+    cut = sliced(took, [key], order)
+    summed = running(cut, [key], order, {"place": Running("count", F.lit(True)), "__total": Running("sum", F.col("__took"))})
+    free = F.unix_micros("start") - (F.col("__total") - F.col("__took"))
+    found = running(summed.withColumn("__free", free), [key], order, {"__late": Running("max", F.col("__free"))})
+    return found.withColumn("done_us", F.col("__late") + F.col("__total")).drop("__took", "__total", "__free", "__late", SLICE)
 
 
 class Breaker:

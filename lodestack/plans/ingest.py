@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import ingest
+from ..operators import ingest, scans
 from ..sources import content_list, sidecar, tables
 from .inputs import CHUNKS, REQUESTS, chunks, requests, table
 from .registry import query
@@ -138,7 +138,8 @@ def unique_keys(spark, d):
 
 @query("a19_event_sequence", f"WITH {REQUESTS} SELECT event_id, username, row_number() OVER (PARTITION BY username ORDER BY ts, event_id) AS seq FROM requests")
 def event_sequence(spark, d):
-    return requests(spark, d).select("event_id", "username", F.row_number().over(Window.partitionBy("username").orderBy("ts", "event_id")).alias("seq"))
+    r = requests(spark, d).select("event_id", "username", "ts")
+    return scans.scan(r, ["username"], ["ts", "event_id"], {"seq": scans.Running("count", F.lit(True))}).select("event_id", "username", F.col("seq").cast("int").alias("seq"))
 
 
 @query("a20_capped_log", "WITH n AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT event_id, user_id FROM n WHERE n <= 60 OR p > n // 2")

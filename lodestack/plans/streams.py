@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import limits
@@ -65,11 +64,4 @@ def after_cursor(spark, d):
 
 @query("k09_serial_jobs", f"WITH {LEASES}, n AS (SELECT token, username, start, epoch_us(stop) - epoch_us(start) AS took, row_number() OVER (PARTITION BY username ORDER BY start, token) AS place FROM l), s AS (SELECT *, sum(took) OVER (PARTITION BY username ORDER BY place) AS total FROM n) SELECT token, username, place, CAST(max(epoch_us(start) - (total - took)) OVER (PARTITION BY username ORDER BY place) + total AS BIGINT) AS done_us FROM s")
 def serial_jobs(spark, d):
-    # A job of a key starts when it has come and the one before it is done: with T the work up to a job,
-    # its end is T plus the largest (arrival - work before) so far.
-    w = Window.partitionBy("username").orderBy("start", "token")
-    took = F.unix_micros("end") - F.unix_micros("start")
-    j = leases(spark, d).withColumns({"took": took, "place": F.row_number().over(w)}).withColumn("total", F.sum("took").over(w))
-    return j.select("token", "username", "place", (F.max(F.unix_micros("start") - (F.col("total") - F.col("took"))).over(w) + F.col("total")).alias("done_us"))
-
-
+    return limits.serial(leases(spark, d), "username").select("token", "username", F.col("place").cast("int").alias("place"), "done_us")
