@@ -26,12 +26,15 @@ def gated(answers: DataFrame, verdicts: DataFrame, limit: float = 0.4, replaceme
     ``answers``: id, answer, sources (array of texts). ``verdicts``: id, item (sentence, from 0), supported.
     Answers that say that nothing was found pass as they are.
     """
-    s = answers.select("id", "answer", "sources", F.posexplode(text.sentences(F.col("answer"))).alias("item", "sentence"))
-    sourced = text.numbers(F.array_join("sources", "\n"))
-    own = text.numbers(F.col("sentence"))
-    numbers_bad = (F.size(F.array_except(own, sourced)) > 0) & (F.size(F.array_intersect(own, sourced)) == 0)
-    judged = s.join(verdicts.select("id", "item", "supported"), ["id", "item"], "left").withColumn("bad", numbers_bad | ~F.coalesce("supported", F.lit(True)))
-    g = judged.groupBy("id").agg(F.count_if("bad").alias("bad"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(~F.col("bad"), F.struct("item", "sentence")))).alias("kept"), F.first("answer").alias("answer"))
+    s = answers.select("id", F.posexplode(text.sentences(F.col("answer"))).alias("item", "sentence"))
+    # Numbers meet as rows of their own, so the work grows with the texts' lengths, not with their product.
+    own = s.select("id", "item", F.explode(text.numbers(F.col("sentence"))).alias("number"))
+    sourced = answers.select("id", F.explode(text.numbers(F.array_join("sources", "\n"))).alias("number")).distinct().withColumn("sourced", F.lit(True))
+    found = own.join(sourced, ["id", "number"], "left").groupBy("id", "item").agg(F.count("sourced").alias("with"), F.count("*").alias("all"))
+    numbers_bad = F.coalesce((F.col("all") > 0) & (F.col("with") == 0), F.lit(False))
+    judged = s.join(found, ["id", "item"], "left").join(verdicts.select("id", "item", "supported"), ["id", "item"], "left").withColumn("bad", numbers_bad | ~F.coalesce("supported", F.lit(True)))
+    kept = F.array_sort(F.collect_list(F.when(~F.col("bad"), F.struct("item", "sentence"))))
+    g = judged.groupBy("id").agg(F.count_if("bad").alias("bad"), F.count("*").alias("n"), kept.alias("kept")).join(answers.groupBy("id").agg(F.first("answer").alias("answer")), "id")
     passes = text.says_not_found(F.col("answer")) | (F.col("bad") == 0)
     action = F.when(passes, "pass").when(F.col("bad") / F.col("n") > limit, "replace").otherwise("trim")
     out = F.when(action == "pass", F.col("answer")).when(action == "replace", replacement).otherwise(F.array_join(F.transform("kept", lambda x: x["sentence"]), " "))

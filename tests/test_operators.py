@@ -224,3 +224,25 @@ def test_hybrid_without_scores(spark):
     assert [r.chunk_id for r in got] == ["c0", "c1"]
     scopes = spark.createDataFrame([(1, "d")], "query_id int, base string")
     assert retrieval.hybrid([a], None, scored, scopes, retrieval.Settings(cascade_keep=0)).count() > 0
+
+
+def test_gate_of_a_long_answer(spark):
+    """20,000 words in 4,000 sentences with numbers, against the rule said plainly; the work is linear."""
+    import random
+
+    rng = random.Random(9)
+    sentences = [f"w {rng.randrange(10, 4000)} x {rng.randrange(10, 4000)} y." + ("" if i % 2 else " z!") for i in range(4000)]
+    answer = "。".join(sentences)
+    have = {str(n) for n in range(10, 4000, 3)}
+    a = spark.createDataFrame([(1, answer, [" ".join(sorted(have)), None])], "id long, answer string, sources array<string>")
+    v = spark.createDataFrame([(1, 2, False)], "id long, item int, supported boolean")
+    row = grounding.gated(a, v, limit=0.9).first()
+    import re
+
+    parts = [p.strip() for p in re.split(r"(?<=[。!?;；\n])", answer) if p.strip()]
+    kept = []
+    for i, p in enumerate(parts):
+        own = set(re.findall(r"\d+", p))
+        if i != 2 and not (own and not own & have):
+            kept.append(p)
+    assert row.action == "trim" and row.answer == " ".join(kept)
