@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import fingerprint, once, squashed
-from ..functions.vectors import cosine
+from . import vector_lists
 
 
 def verbatim(sentences: Column, content: Column, n: int) -> Column:
@@ -82,17 +82,22 @@ def semantic_groups(rows: DataFrame, nearest: float = 0.9) -> DataFrame:
     return rows.repartition("username", "category").sortWithinPartitions("username", "category", "id").mapInPandas(merge, schema)
 
 
-def recall(memories: DataFrame, questions: DataFrame, k: int = 5, farthest: float | None = None) -> DataFrame:
-    """The k nearest active memories of each question's user, by cosine distance; distinct contents.
+def recall(memories: DataFrame, questions: DataFrame, k: int = 5, farthest: float | None = None, probes: int | None = None) -> DataFrame:
+    """(query_id, id, content, distance, rank): the k nearest active memories of each question's user, by cosine distance; distinct contents.
 
-    A user's memories are bounded by the eviction cap, so the join is on the user.
+    By an inverted file of all active memories; exact unless ``probes`` limits the lists that are read.
     """
-    rows = questions.join(memories.filter("status = 'active' and embedding is not null"), "username").withColumn("distance", F.round(1 - cosine(F.col("question_embedding"), F.col("embedding")), 6) + 0.0)
-    if farthest is not None:
-        rows = rows.filter(F.col("distance") <= farthest)
-    once = rows.withColumn("__d", F.row_number().over(Window.partitionBy("query_id", "content").orderBy("distance", "id"))).filter("__d = 1")
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("__d")
+    index = memory_lists(memories)
+    return vector_lists.search(index, asked_by_user(questions), k, farthest, probes)
+
+
+def memory_lists(memories: DataFrame) -> vector_lists.VectorLists:
+    active = memories.filter("status = 'active'")
+    return vector_lists.build(active.select("id", F.col("username").alias("grp"), "content", "embedding"))
+
+
+def asked_by_user(questions: DataFrame) -> DataFrame:
+    return questions.select("query_id", F.col("username").alias("grp"), F.col("question_embedding").alias("embedding"))
 
 
 def refreshed_profiles(profiles: DataFrame, updates: DataFrame, counts: DataFrame) -> DataFrame:

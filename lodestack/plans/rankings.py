@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import conversation, layout, memory, ranking, sparse
+from ..operators import conversation, layout, memory, ranking, sparse, vector_lists
 from .inputs import ARMS, CHUNKS, LEXICAL, LEXICAL_ARM, POOL, REQUESTS, TURNS, arm, chunks, questions, requests, table, text_index, turns, weighted_sql
 from .registry import query
 
@@ -267,6 +267,14 @@ def recalled(spark, d):
     return memory.recall(*memories(spark, d)).select("query_id", "id", "distance", "rank")
 
 
+@query("i08_lists_read")
+def lists_read(spark, d):
+    """How many lists of its user's memories a question looked into, and how many of them hold its result."""
+    m, q = memories(spark, d)
+    found, reads = vector_lists.searched(memory.memory_lists(m), memory.asked_by_user(q))
+    return reads.join(found.groupBy("query_id").agg(F.count("*").alias("found")), "query_id", "left")
+
+
 TERMS = "t AS (SELECT lower(w) AS term, count(*) AS tf FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) AS w FROM documents) GROUP BY lower(w))"
 
 
