@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import filled
 
@@ -66,3 +70,39 @@ def repaired(raw: Column) -> Column:
     # A stack of the closing marks that are still due.
     due = F.aggregate(clean, F.lit(""), lambda s, c: F.when(c == "{", F.concat(F.lit("}"), s)).when(c == "[", F.concat(F.lit("]"), s)).when(c.isin("}", "]"), F.substring(s, 2, 1 << 20)).otherwise(s))
     return F.concat(quoted, due)
+
+
+#: What the lexer stops at within a string: an escape that JSON knows, any other backslash, a quote that ends the string, any other quote.
+_IN_STRING = re.compile(r"""\\["\\/bfnrtu]|(?P<stray>\\)|(?P<end>"(?=[ \t\r\n]*[,:}\]]))|(?P<bare>")""")
+
+
+def with_quotes_mended(text: str) -> str:
+    """A JSON text whose strings have bare quotes or unknown escapes, with these escaped.
+
+    The lexer is outside of strings or in one. A quote opens a string; within it,
+    a quote ends it if a comma, a colon or a closing bracket comes next, white
+    space left aside, and else belongs to it. A text that ends in a string is left open.
+    """
+    out, at, inside = [], 0, False
+    while True:
+        if not inside:
+            opened = text.find('"', at)
+            if opened < 0:
+                break
+            out.append(text[at : opened + 1])
+            at, inside = opened + 1, True
+        found = _IN_STRING.search(text, at)
+        if found is None:
+            break
+        out.append(text[at : found.start()])
+        at = found.end()
+        kind = found.lastgroup
+        out.append({"stray": "\\\\", "bare": '\\"'}.get(kind, found[0]))
+        inside = kind != "end"
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(T.StringType())
+def quotes_mended(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(with_quotes_mended, na_action="ignore")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import citations, conversation, glossary, ranking
+from ..operators import citations, containment, conversation, glossary, ranking, terms
 from .inputs import ARMS, CHUNKS, TURNS, arm, chunks, table, turns
 from .registry import query
 
@@ -94,6 +94,18 @@ def contained(spark, d):
     return n.withColumnRenamed("pos", "one").join(b, "source_stem").filter((F.col("one") < F.col("two")) & (F.contains("k", F.col("k2")) | F.contains("k2", F.col("k")))).select("doc_id", "one", "two")
 
 
+@query(
+    "c11_contained_lines",
+    f"""WITH {CHUNKS}, k AS (SELECT DISTINCT source, {NORM} AS k FROM chunks WHERE source IS NOT NULL AND length({NORM}) > 8)
+SELECT a.source, md5(a.k) AS inner_line, md5(b.k) AS outer_line FROM k a JOIN k b ON a.source = b.source AND length(a.k) < length(b.k) AND contains(b.k, a.k)""",
+)
+def contained_lines(spark, d):
+    """All distinct lines of a source."""
+    k = chunks(spark, d).filter("source is not null").select("source", F.regexp_replace(F.lower("content"), "[^a-z0-9]+", "").alias("k")).filter("length(k) > 8").distinct()
+    lines = k.select(F.col("source").alias("grp"), F.md5(F.col("k").cast("binary")).alias("id"), F.col("k").alias("text"))
+    return containment.contained(lines).select(F.col("grp").alias("source"), F.col("inner").alias("inner_line"), F.col("outer").alias("outer_line"))
+
+
 _PLAIN = lambda c: f"regexp_replace(lower({c}), '{citations.NOISE}', '', 'g')"
 _SHARES = lambda size: f"length(n) >= {size} AND len(list_filter(range(1, length(n) - {size} + 2), lambda i: contains(s, n[i:i + {size} - 1]))) > 0"
 
@@ -176,3 +188,13 @@ def glossary_replaced(spark, d):
     from ..operators.layout import glossary_replaced as replaced
 
     return table(spark, d, "part").select("p_partkey", replaced({"red": "crimson", "bolt": "threaded fastener"})(F.col("p_name")).alias("name"))
+
+
+@query("h09_glossary_terms")
+def glossary_terms(spark, d):
+    """All documents, by the merged glossary of their own frequent words and the parts' names: thousands of terms."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,}"), F.lit(0))).alias("en")).groupBy("en").agg(F.count("*").alias("tf")).filter("tf >= 5")
+    merged_ = glossary.merged(found.withColumn("zh", F.array(F.concat(F.lit("<"), "en", F.lit(">")))), _terms(spark, d, "p_name", "p_type"))
+    usable = terms.usable_terms(merged_.select(F.col("en").alias("term"), F.explode("zh").alias("target")))
+    return docs.select("doc_id", terms.replacer(usable)("text").alias("r")).select("doc_id", "r.n", F.md5(F.col("r.text").cast("binary")).alias("text"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, text, vectors
-from ..operators import memory, validation
+from ..operators import memory, segmentation, validation
 from .inputs import ARMS, CHUNKS, PAIRED, REQUESTS, TURNS, arm, chunks, document_items, requests, table, turns
 from .registry import query
 
@@ -57,6 +57,15 @@ def glued(spark, d):
     return table(spark, d, "documents").select("doc_id", text.glued_words(F.replace(F.lower("text"), F.lit(" "), F.lit(""))).cast("bigint").alias("n")).filter("n > 0")
 
 
+@query("h04_deglued")
+def deglued(spark, d):
+    """Every third blank between lower-case words stays; the runs that come of it are taken apart by the documents' own words."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    costs = segmentation.word_costs(docs)
+    glued_ = docs.withColumn("text", F.regexp_replace("text", "([a-z]{3,}) ([a-z]{3,}) ([a-z]{3,}) ", "$1$2$3 "))
+    return segmentation.deglued(glued_, costs).select("doc_id", "split_runs", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
 NUMBERED = CHUNKS + ", numbered AS (SELECT chunk_id, doc_id, pos, CASE pos % 5 WHEN 0 THEN '1.2 ' WHEN 1 THEN '第3章 ' WHEN 2 THEN '① ' WHEN 3 THEN '2) ' ELSE '' END || CASE doc_id % 3 WHEN 0 THEN '设备' ELSE '' END || content AS content FROM chunks)"
 
 
@@ -258,3 +267,16 @@ def json_walk(spark, d):
     nested = F.concat(F.lit('{"a": {"b": ["mark ", {"c": '), "props", F.lit('}]}, "d": "mark'), F.when(F.contains("props", F.lit("7")), ' mark7", "e": "mark').otherwise(""), F.lit('", "f": 1}'))
     found = validation.strings_with(nested, "mark")
     return table(spark, d, "events").select("event_id", (F.size(found) - 1 + F.size(F.filter(found, lambda x: x.contains("mark7")))).cast("bigint").alias("n"))
+
+
+# What the strings held before their quotes and backslashes were left bare.
+MENDED = r"""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_id % 4 WHEN 0 THEN 'say "hi" to ' || event_type WHEN 1 THEN 'C:\_' || event_type WHEN 2 THEN event_type ELSE '"' || event_type || '" done' END AS s FROM events""".replace("\\\\", "\\")
+
+
+@query("i16_quotes_mended", MENDED)
+def mended(spark, d):
+    i, t = F.col("event_id") % 4, F.col("event_type")
+    s = F.when(i == 0, F.concat(F.lit('say "hi" to '), t)).when(i == 1, F.concat(F.lit("C:\\_"), t)).when(i == 2, t).otherwise(F.concat(F.lit('"'), t, F.lit('" done')))
+    raw = F.concat(F.regexp_replace("props", r"\}\s*$", ', "s": "'), s, F.lit('"}'))
+    fixed = table(spark, d, "events").select("event_id", validation.quotes_mended(raw).alias("raw"))
+    return fixed.select("event_id", validation.payload(F.col("raw"), "k bigint, s string").alias("p")).select("event_id", "p.k", "p.s")
