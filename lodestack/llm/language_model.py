@@ -17,11 +17,14 @@ On Spark: a block is the documents of one input partition. It gives its
 documents, packed by the megabyte, and asks for its distinct words and grams,
 with their counts in training documents, in packed rows for each bucket of
 words and of grams. Word buckets add up the counts. A gram bucket has all grams
-of some contexts of ``SPLIT`` bytes (a two-byte context is dealt over several
-buckets by its next byte) and works out the trees below them; the sums for the
-two-byte contexts go to buckets of their own, whose sums for shorter contexts
-(at most 256 x 255 rows) meet in the driver. The weights go back the same way,
-and the buckets answer the blocks, which meet their documents in a cogroup. All
+of some contexts of ``SPLIT`` bytes and works out the trees below them. How many
+grams each bucket was asked for is summed up before any is brought together: one
+of more than ``MOST_GRAMS`` is dealt anew by one more byte of context, and so on
+down to whole contexts, so a frequent context is spread over as many buckets as
+its weight needs. What the trees of a bucket give to shorter contexts goes to
+buckets of these, level by level down to two bytes, whose sums for one byte (at
+most 256 x 255 rows) meet in the driver. The weights go back the same way, and
+the buckets answer the blocks, which meet their documents in a cogroup. All
 counts come from all documents; nothing that grows with the corpus goes through
 the driver or one task, and the number of buckets grows with the input.
 
@@ -49,8 +52,8 @@ from .arrow import LOWER, SPACE, give_back, mix, slices, split_words, stash, tex
 from .langid import distinct
 
 DEPTH = 6
-#: Context bytes that a gram bucket has whole trees of.
-SPLIT = 3
+#: Context bytes that a gram bucket has whole trees of, at least; grams that it is asked for at most, if one more byte of context can part them.
+SPLIT, MOST_GRAMS = 3, 1 << 24
 #: Text worked on at once.
 SLICE = 1 << 19
 #: Text that a bucket stands for.
@@ -203,19 +206,19 @@ def mixed(kt: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pw, np.exp(kt + _HALF - pw)
 
 
-def trees(gram: np.ndarray, n: np.ndarray) -> list[Tree]:
-    """Trees of depth DEPTH to SPLIT of sorted grams with whole contexts of SPLIT bytes."""
+def trees(gram: np.ndarray, n: np.ndarray, split: int = SPLIT) -> list[Tree]:
+    """Trees of depth DEPTH to ``split`` of sorted grams with whole contexts of ``split`` bytes."""
     out = [Tree(DEPTH, gram, n)]
-    while out[-1].depth > SPLIT:
+    while out[-1].depth > split:
         longer = out[-1]
         out.append(longer.shallower())
         out[-1].weigh(np.bincount(longer.parents(out[-1]), weights=longer.pw, minlength=len(out[-1].kt)))
     return out
 
 
-def chunks(gram: np.ndarray) -> Iterator[slice]:
-    """Ranges of about CHUNK grams, or one context of SPLIT bytes."""
-    context, i = gram >> U64(8 * (DEPTH + 1 - SPLIT)), 0
+def chunks(gram: np.ndarray, split: int = SPLIT) -> Iterator[slice]:
+    """Ranges of about CHUNK grams, or one context of ``split`` bytes."""
+    context, i = gram >> U64(8 * (DEPTH + 1 - split)), 0
     while i < len(gram):
         j = min(len(gram), i + CHUNK)
         j = len(gram) if j == len(gram) else int(np.searchsorted(context, context[j - 1], side="right"))
@@ -275,10 +278,10 @@ def top_levels(table: pd.DataFrame) -> tuple[Level, Level]:
     return Level(key, zeros, ones, mixed(log_kt(zeros.astype(np.int64), ones.astype(np.int64)), below)[1]), one
 
 
-def log10_probability(gram: np.ndarray, n: np.ndarray, two: Level, state: State) -> np.ndarray:
-    """log10 of the mixture's probability of each gram's byte after its context, for sorted grams with whole contexts."""
-    levels = trees(gram, n)[::-1]
-    at = np.searchsorted(two.key, cut(levels[0].node_key().astype(np.int64)))
+def log10_probability(gram: np.ndarray, n: np.ndarray, above: Level, state: State, split: int) -> np.ndarray:
+    """log10 of the mixture's probability of each gram's byte after its context, for sorted grams with whole contexts of ``split`` bytes."""
+    levels = trees(gram, n, split)[::-1]
+    at = np.searchsorted(above.key, cut(levels[0].node_key().astype(np.int64)))
     for tree, longer in zip(levels, [*levels[1:], None]):
         state = state.down(at, tree.zeros, tree.ones, tree.weight)
         if longer is not None:
@@ -375,7 +378,7 @@ def _requests(rows: DataFrame, buckets: int) -> DataFrame:
             gram, often = key[first] >> U64(1), np.add.reduceat(np.where(key & U64(1), n, 0), first) if len(first) else n
             for b, whole in _groups(bucket_of(gram)):
                 for own in _rows(whole):
-                    yield rows_of([("gram", b, 0, _pack(gram[own], often[own]))])
+                    yield rows_of([("gram", b, len(own), _pack(gram[own], often[own]))])
 
         for part in slices(batches, "text", SLICE):
             texts = texts_of(part.column("text"))
@@ -446,55 +449,119 @@ def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return sums.merged()
 
 
+GRAMS = "bucket int, depth int, block int, n bigint, packed binary"
+
+
+def _dealt(grams: DataFrame, buckets: int) -> DataFrame:
+    """The requests for grams, those of heavy buckets dealt anew by one more byte of context until none is too heavy."""
+    spark = grams.sparkSession
+    rows = grams.select("bucket", F.lit(SPLIT).alias("depth"), "block", "n", "packed")
+    done, fresh = buckets, rows
+    for depth in range(SPLIT, DEPTH):
+        heavy = fresh.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > MOST_GRAMS).collect()  # as many as the input has times MOST_GRAMS grams
+        if not heavy:
+            break
+        plan = []
+        for r in heavy:
+            parts = int(min(256, -(-2 * r["n"] // MOST_GRAMS)))
+            plan.append((r["bucket"], done, parts))
+            done += parts
+        named = F.broadcast(spark.createDataFrame(plan, "bucket int, first int, parts int"))
+        fresh = stash(fresh.join(named, "bucket").select("first", "parts", "block", "packed").mapInArrow(_part_by(depth + 1), GRAMS), "lm-parts")
+        rows = rows.join(named, "bucket", "left_anti").select(*rows.columns).unionByName(fresh)
+    return rows
+
+
+def _part_by(depth: int):
+    """Requests parted by contexts of ``depth`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, parts, block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                gram, n = _unpack(packed)
+                to = first + (mix(gram >> U64(8 * (DEPTH + 1 - depth))) % U64(parts)).astype(np.int64)
+                for bucket, own in _groups(to):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([depth], pa.int32()), pa.array([block], pa.int32()), pa.array([len(own)], pa.int64()), pa.array([_pack(gram[own], n[own])], pa.binary())], names=["bucket", "depth", "block", "n", "packed"])
+
+    return run
+
+
+SUMS = "level int, bucket int, asker int, packed binary"
+
+
+def _sent(level: int, buckets: int, asker: int | None, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, pw: np.ndarray) -> list[tuple]:
+    """Sums of pairs of ``level`` bytes of context, packed by the bucket of the context."""
+    to = (mix(key.astype(U64) >> U64(8)) % U64(buckets)).astype(np.int64)
+    return [(level, b, asker, _pack(key[own].astype(U64), zeros[own].astype(np.int64), ones[own].astype(np.int64), pw[own])) for b, own in _groups(to)]
+
+
+def _sums(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["level", "bucket", "asker", "packed"]).astype({"asker": "Int32"})
+
+
 def _tree_sums(buckets: int):
-    """What the trees of a bucket give to the two-byte contexts, packed by the bucket of those."""
+    """What the trees of a bucket give to the contexts that are a byte shorter; of still shorter ones it asks for the weights only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        depth, asker = int(pdf["depth"].iloc[0]), int(pdf["bucket"].iloc[0])
         gram, n = _merged(pdf)
         parts = []
-        for own in chunks(gram):
-            three = trees(gram[own], n[own])[-1]
-            parts.append(summed(cut(three.node_key().astype(np.int64)), three.zeros, three.ones, three.pw))
-        key, zeros, ones, pw = summed(*(np.concatenate(c) for c in zip(*parts)))
-        to = (mix(key.astype(U64) >> U64(8)) % U64(buckets)).astype(np.int64)
+        for own in chunks(gram, depth):
+            top = trees(gram[own], n[own], depth)[-1]
+            parts.append(summed(cut(top.node_key().astype(np.int64)), top.zeros, top.ones, top.pw))
+        key, *sums = summed(*(np.concatenate(c) for c in zip(*parts)))
+        out = _sent(depth - 1, buckets, asker, key, *sums)
+        for level in range(depth - 2, 1, -1):
+            key = np.unique(cut(key))
+            out += _sent(level, buckets, asker, key, *np.zeros((3, len(key))))
         give_back()
-        asker = int(pdf["bucket"].iloc[0])
-        return pd.DataFrame([(b, asker, _pack(key[own].astype(U64), zeros[own].astype(np.int64), ones[own].astype(np.int64), pw[own])) for b, own in _groups(to)], columns=["bucket", "asker", "packed"])
+        return _sums(out)
 
     return run
 
 
-PAIRS = "bucket int, packed binary, key bigint, zeros bigint, ones bigint, pw double"
+PAIRS = "kind string, level int, bucket int, packed binary, key bigint, zeros bigint, ones bigint, pw double"
 
 
-def _weigh_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weights of two-byte contexts for the buckets that asked, and the sums for one-byte contexts."""
-    asked = [(a, *_unpack(x)) for a, x in zip(pdf["asker"], pdf["packed"])]
-    key, zeros, ones, below = summed(*(np.concatenate(c) for c in list(zip(*asked))[1:]))
-    zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
-    pw, weight = mixed(log_kt(zeros, ones), below)
-    out = []
-    for asker, own, *_ in asked:
-        at = np.searchsorted(key, own)
-        out.append((asker, _pack(own, zeros[at], ones[at], weight[at]), None, None, None, None))
-    for k, z, o, p in zip(*summed(cut(key.astype(np.int64)), zeros, ones, pw)):
-        out.append((None, None, int(k), int(z), int(o), float(p)))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
-    return frame.astype({"bucket": "Int32", "key": "Int64", "zeros": "Int64", "ones": "Int64"})
+def _weigh(level: int, buckets: int):
+    """Weights of contexts of ``level`` bytes for the buckets that asked, and the sums for contexts that are a byte shorter."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = [(None if pd.isna(a) else int(a), *_unpack(x)) for a, x in zip(pdf["asker"], pdf["packed"])]
+        key, zeros, ones, below = summed(*(np.concatenate(c) for c in list(zip(*asked))[1:]))
+        zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+        pw, weight = mixed(log_kt(zeros, ones), below)
+        out = []
+        for asker, own, *_ in asked:
+            if asker is not None:
+                at = np.searchsorted(key, own)
+                out.append(("weight", level, asker, _pack(own, zeros[at], ones[at], weight[at]), None, None, None, None))
+        shorter = summed(cut(key.astype(np.int64)), zeros, ones, pw)
+        if level > 2:
+            out += [("sum", to, b, x, None, None, None, None) for to, b, _, x in _sent(level - 1, buckets, None, *shorter)]
+        else:
+            out += [("one", None, None, None, int(k), int(z), int(o), float(p)) for k, z, o, p in zip(*shorter)]
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in PAIRS.split(", ")])
+        return frame.astype({"level": "Int32", "bucket": "Int32", "key": "Int64", "zeros": "Int64", "ones": "Int64"})
+
+    return run
 
 
 def _predict(zero: Level, one: Level):
     def run(pairs: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(asked):
             return _answers([])
-        parts = [_unpack(x) for x in pairs["packed"]]
-        key, zeros, ones, weight = (np.concatenate(c) for c in zip(*parts))
-        order = np.argsort(key)
-        two = Level(key[order].astype(np.int64), zeros[order], ones[order], weight[order])
+        depth = int(asked["depth"].iloc[0])
         start = State(np.full((2, 1), 0.5), np.zeros((2, 1)), np.ones(1))
-        state = two.down(one, one.down(zero, zero.down(None, start)))
+        above, state = one, one.down(zero, zero.down(None, start))
+        for level in range(2, depth):
+            parts = [_unpack(x) for x in pairs["packed"][pairs["level"] == level]]
+            key, zeros, ones, weight = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(key)
+            here = Level(key[order].astype(np.int64), zeros[order], ones[order], weight[order])
+            above, state = here, here.down(above, state)
         gram, n = _merged(asked)
-        p = np.concatenate([log10_probability(gram[own], n[own], two, state) for own in chunks(gram)])
+        p = np.concatenate([log10_probability(gram[own], n[own], above, state, depth) for own in chunks(gram, depth)])
         units = np.rint(-p * UNIT).astype(np.int64)
         out = []
         for block, blob in zip(asked["block"], asked["packed"]):
@@ -516,12 +583,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", learn
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     asked = stash(_requests(rows, buckets), "lm-requests")
     of = lambda kind: asked.filter(F.col("kind") == kind)
-    sums = of("gram").groupBy("bucket").applyInPandas(_tree_sums(buckets), "bucket int, asker int, packed binary")
-    pairs = stash(sums.groupBy("bucket").applyInPandas(_weigh_pairs, PAIRS), "lm-pairs")
+    dealt = _dealt(of("gram"), buckets)
+    sums = stash(dealt.groupBy("bucket").applyInPandas(_tree_sums(buckets), SUMS), "lm-sums")
+    weights, carried = [], None
+    for level in range((dealt.agg(F.max("depth")).first()[0] or SPLIT) - 1, 1, -1):
+        rows_of = sums.filter(F.col("level") == level)
+        rows_of = rows_of if carried is None else rows_of.unionByName(carried)
+        pairs = stash(rows_of.groupBy("bucket").applyInPandas(_weigh(level, buckets), PAIRS), "lm-pairs")
+        weights.append(pairs.filter("kind = 'weight'").select("bucket", "level", "packed"))
+        carried = pairs.filter("kind = 'sum'").select("level", "bucket", F.lit(None).cast("int").alias("asker"), "packed")
     # One-byte contexts and nodes: at most 256 x 255 rows.
-    table = pairs.filter("key is not null").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "pw")]).toPandas()
-    weights = pairs.filter("bucket is not null").select("bucket", "packed")
-    grams = weights.groupBy("bucket").cogroup(of("gram").select("bucket", "block", "packed").groupBy("bucket")).applyInPandas(_predict(*top_levels(table)), ANSWER)
+    table = pairs.filter("kind = 'one'").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "pw")]).toPandas()
+    known = weights[0]
+    for w in weights[1:]:
+        known = known.unionByName(w)
+    # Dealt anew: see the note on unions in the entry.
+    known = known.repartition(F.col("bucket"))
+    grams = known.groupBy("bucket").cogroup(dealt.select("bucket", "depth", "block", "packed").groupBy("bucket")).applyInPandas(_predict(*top_levels(table)), ANSWER)
     words = stash(of("word").groupBy("bucket").applyInPandas(_count_words, ANSWER), "lm-words")
     v, n = words.agg(F.sum("v"), F.sum("n")).first()
     ends = of("end").agg(F.sum("n")).first()[0] or 0

@@ -48,3 +48,25 @@ def test_long_contexts(spark):
     df = spark.createDataFrame([(i, say(), i > 0) for i in range(20)], "doc_id long, text string, learn boolean")
     out = {r.doc_id: r for r in M.score(df).collect()}[0]
     assert -out.score / math.log10(2) / 400 < 1.2
+
+
+def test_heavy_contexts_are_dealt_by_weight(spark, monkeypatch):
+    """One three-byte context that stands for a fifth of the text goes to many buckets; the scores are those of brute force."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, " ".join("the" + "".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(20)), i % 3 > 0) for i in range(40)] + [(99, "the" * 90, True), (98, "x", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(4)
+    want = sorted((r[0], *b) for r, b in zip(rows, M.brute_force([(t, x) for _, t, x in rows])))
+    seen = []
+    dealt = M._dealt
+    monkeypatch.setattr(M, "_dealt", lambda *a: seen.append(dealt(*a)) or seen[-1])
+    for most in (500, 60):
+        monkeypatch.setattr(M, "MOST_GRAMS", most)
+        got = sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in M.score(df).collect())
+        assert [g[:4] for g in got] == [w[:4] for w in want]
+        for g, w in zip(got, want):
+            assert g[4:] == pytest.approx(w[4:], rel=1e-9, abs=1e-9)
+        sizes = {r.bucket: (r.depth, r.n) for r in seen[-1].groupBy("bucket", "depth").agg(F.sum("n").alias("n")).collect()}
+        assert all(n <= most for depth, n in sizes.values() if depth < M.DEPTH) and len({d for d, _ in sizes.values()}) > 1
+        assert max(d for d, _ in sizes.values()) >= (4 if most == 500 else 5)
