@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ingest, scans
-from ..sources import content_list, sidecar, tables
+from ..sources import content_list, sidecar, snapshots, tables
+from ..sources.scratch import shared_folder
 from .inputs import CHUNKS, REQUESTS, chunks, requests, table
 from .registry import query
 
@@ -62,6 +65,24 @@ def replaced(spark, d):
     return ingest.replaced_documents(c.select("source_stem", "chunk_id", F.lit("old").alias("v")), new)
 
 
+@query(
+    "a08_committed_changes",
+    f"""WITH {CHUNKS}, r AS (SELECT source_stem, chunk_id, 'new' AS v FROM chunks WHERE doc_id % 10 = 0 AND pos = 0), u AS (SELECT source_stem, chunk_id, 'touched' AS v FROM chunks WHERE doc_id % 10 = 1 AND pos % 2 = 0),
+one AS (SELECT * FROM r UNION ALL SELECT source_stem, chunk_id, 'old' FROM chunks WHERE source_stem NOT IN (SELECT source_stem FROM r)), two AS (SELECT * FROM u UNION ALL SELECT * FROM one WHERE (source_stem, chunk_id) NOT IN (SELECT source_stem, chunk_id FROM u))
+SELECT * FROM two WHERE source_stem NOT IN (SELECT source_stem FROM chunks WHERE doc_id % 15 = 7)""",
+)
+def committed(spark, d):
+    """A table written, documents replaced, rows put in, documents deleted, each as a snapshot of its own, and read back."""
+    c = chunks(spark, d)
+    t = snapshots.SnapshotTable(spark, f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}", buckets=16)
+    rows = lambda df, v: df.select("source_stem", "chunk_id", F.lit(v).alias("v"))
+    t.replace(rows(c, "old"))
+    t.replace(rows(c.filter("doc_id % 10 = 0 and pos = 0"), "new"))
+    t.upsert(rows(c.filter("doc_id % 10 = 1 and pos % 2 = 0"), "touched"), ["source_stem", "chunk_id"])
+    t.delete(c.filter("doc_id % 15 = 7").select("source_stem"))
+    return t.read()
+
+
 @query("a09_text_points", f"WITH {CHUNKS}, s AS (SELECT chunk_id, content, unnest(regexp_extract_all(lower(content), '[a-z]{{4,}}')) AS w FROM chunks), c AS (SELECT chunk_id, content, length(w) AS i, count(*) AS n FROM s GROUP BY ALL) SELECT chunk_id, content, string_agg(i, ',' ORDER BY i) AS indices, string_agg(n, ',' ORDER BY i) AS weights FROM c GROUP BY ALL")
 def text_points(spark, d):
     # Word lengths stand for token ids, their counts for weights.
