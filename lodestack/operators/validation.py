@@ -26,6 +26,8 @@ class Rule:
     required: bool = False
     allowed: list[str] = field(default_factory=list)
     longest: int | None = None
+    least: float | None = None
+    most: float | None = None
 
 
 def coerced(args: Column, rules: list[Rule]) -> Column:
@@ -47,6 +49,9 @@ def coerced(args: Column, rules: list[Rule]) -> Column:
             errors.append(F.when(raw.isNotNull() & ~good, f"{r.name}: not {article} {r.kind}"))
         if r.allowed:
             errors.append(F.when(raw.isNotNull() & ~raw.isin(r.allowed), f"{r.name}: not allowed"))
+        if r.least is not None or r.most is not None:
+            low, high = (raw.try_cast("double") < r.least if r.least is not None else F.lit(False)), (raw.try_cast("double") > r.most if r.most is not None else F.lit(False))
+            errors.append(F.when(raw.isNotNull() & good & (low | high), f"{r.name}: out of range"))
         if r.longest is not None:
             errors.append(F.when(F.length(raw) > r.longest, f"{r.name}: too long"))
     unknown = F.transform(F.filter(F.map_keys(args), lambda k: ~k.isin([r.name for r in rules])), lambda k: F.concat(k, F.lit(": unknown")))

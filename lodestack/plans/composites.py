@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..functions.registry import Registry, ToolSpec
-from ..operators import evaluation, grounding, memory, ranking, retrieval
+from ..functions import table_functions
+from ..operators import evaluation, grounding, memory, ranking, retrieval, validation
 from .aggregates import GOLD, gold
-from .inputs import ARMS, LEXICAL_ARM, PAIRED, POOL, REQUESTS, TURNS, arm, document_items, questions, requests, table, text_index, turns, vectors
+from .inputs import ARMS, CHUNKS, LEXICAL_ARM, PAIRED, POOL, REQUESTS, TURNS, arm, chunks, document_items, questions, requests, table, text_index, turns, vectors
 from .predicates import CODES, code_hits
 from .registry import query
 
@@ -193,27 +194,89 @@ def upserted_facts(spark, d):
     return u.join(names, "fid").select("thread_id", "k", "freq", "fid", F.round("importance", 6).alias("importance"))
 
 
-TOOLS = Registry()
-TOOLS.register(ToolSpec("search_text", "retrieval", lambda rows, k=5: rows.filter(F.col("rank") <= k), {"k": "int"}))
-TOOLS.register(ToolSpec("get_chunk", "retrieval", lambda rows, chunk_id="": rows.filter(F.col("chunk_id") == chunk_id), {"chunk_id": "string"}))
-TOOLS.register(ToolSpec("family_parts", "catalogue", lambda rows, base="": rows.filter(text.scope_stem(F.col("source_stem")) == base), {"base": "string"}))
+# Calls of the table functions, one an event: which function, and its arguments as texts, some of which the specs refuse.
+CALLS = """calls AS (SELECT event_id, ['search_text', 'search_batch', 'search_image', 'get_chunk', 'find'][event_id % 5 + 1] AS tool, CASE WHEN event_id % 7 = 0 THEN 'three' WHEN event_id % 7 > 1 THEN CAST(event_id % 60 AS VARCHAR) END AS k,
+  CAST(event_id % 13 AS VARCHAR) || '.5' AS tenths, event_id % 11 = 0 AS extra, event_id % 3 > 0 AS named, event_id FROM events)"""
+# What is wrong with a call, by the specs.
+WRONG = """errors AS (SELECT event_id, tool, list_sort(list_filter([CASE WHEN extra THEN 'x: unknown' END,
+  CASE WHEN tool IN ('search_text', 'search_image') AND k = 'three' THEN 'k: not an integer' END, CASE WHEN tool IN ('search_text', 'search_image') AND TRY_CAST(k AS INT) NOT BETWEEN 1 AND 50 THEN 'k: out of range' END,
+  CASE WHEN tool = 'search_batch' AND k IS NOT NULL THEN 'k: unknown' END, CASE WHEN tool = 'search_batch' THEN 'score_ratio: unknown' END,
+  CASE WHEN tool IN ('search_text', 'search_image') AND CAST(tenths AS DOUBLE) / 10 > 1 THEN 'score_ratio: out of range' END,
+  CASE WHEN tool = 'get_chunk' AND NOT named THEN 'chunk_id: missing' END], lambda x: x IS NOT NULL)) AS wrong FROM calls WHERE tool <> 'find')"""
+
+
+def calls(spark, d):
+    """(event_id, tool, args)."""
+    i = F.col("event_id")
+    names = F.array(*map(F.lit, ["search_text", "search_batch", "search_image", "get_chunk", "find"]))
+    k = F.when(i % 7 == 0, "three").when(i % 7 > 1, (i % 60).cast("string"))
+    ratio = (F.concat((i % 13).cast("string"), F.lit(".5")).cast("double") / 10).cast("string")
+    e = table(spark, d, "events").select("event_id", F.get(names, (i % 5).cast("int")).alias("tool"))
+    chunk = F.when((F.col("tool") == "get_chunk") & (i % 3 > 0), F.concat(F.lit("c"), i.cast("string")))
+    search_ = F.col("tool") != "get_chunk"
+    pairs = F.array(F.struct(F.lit("k").alias("p"), F.when(search_, k).alias("v")), F.struct(F.lit("score_ratio").alias("p"), F.when(search_, ratio).alias("v")), F.struct(F.lit("chunk_id").alias("p"), chunk.alias("v")), F.struct(F.lit("x").alias("p"), F.when(i % 11 == 0, "1").alias("v")))
+    return e.select("event_id", "tool", F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("args"))
+
 
+def judged_calls(spark, d):
+    """Calls of known functions with what their specs say is wrong."""
+    c, wrong = calls(spark, d), F.lit(None).cast("array<string>")
+    for f in table_functions.FUNCTIONS.values():
+        wrong = F.when(F.col("tool") == f.name, F.array_sort(validation.coerced(F.col("args"), table_functions.rules(f))["errors"])).otherwise(wrong)
+    return c.withColumn("wrong", wrong)
 
-@query("u01_tool_specs", "SELECT * FROM (VALUES ('get_chunk', 'retrieval', 'chunk_id:string', 800, 1), ('search_text', 'retrieval', 'k:int', 800, 1), ('family_parts', 'catalogue', 'base:string', 800, 1)) AS t(name, category, parameters, most_chars, n)")
+
+@query("u01_tool_specs", f"WITH {CALLS}, {WRONG} SELECT event_id, tool, array_to_string(wrong, '; ') AS wrong FROM errors")
 def tool_specs(spark, d):
-    """What each declared function asks for, and how much of its result is shown."""
-    specs = [t for c in ("retrieval", "catalogue") for t in TOOLS.by_category(c)]
-    return spark.createDataFrame([(t.name, t.category, ",".join(f"{k}:{v}" for k, v in t.parameters.items()), t.most_chars, len(t.parameters)) for t in specs], "name string, category string, parameters string, most_chars int, n int")
+    """Every event as a call, against the spec of its function."""
+    return judged_calls(spark, d).filter("wrong is not null").select("event_id", "tool", F.array_join("wrong", "; ").alias("wrong"))
 
 
-@query("u02_registry", "SELECT * FROM (VALUES ('search_text', 'retrieval', 'k', 'int'), ('get_chunk', 'retrieval', 'chunk_id', 'string'), ('family_parts', 'catalogue', 'base', 'string')) AS t(name, category, parameter, type)")
+@query(
+    "u02_registry",
+    f"WITH {CALLS}, {WRONG}, c AS (SELECT tool, len(wrong) = 0 AS passed FROM errors UNION ALL SELECT tool, NULL FROM calls WHERE tool = 'find') SELECT tool, CASE tool WHEN 'get_chunk' THEN 'catalogue' WHEN 'find' THEN 'unknown' ELSE 'retrieval' END AS category, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS refused, count(*) FILTER (WHERE passed IS NULL) AS unknown FROM c GROUP BY ALL",
+)
 def registry(spark, d):
-    return TOOLS.schemas(spark)
+    """Calls by function: passed on, refused by the spec, or of no function that is registered."""
+    category = F.lit("unknown")
+    for f in table_functions.FUNCTIONS.values():
+        category = F.when(F.col("tool") == f.name, f.category).otherwise(category)
+    n = F.size("wrong")
+    known = F.col("wrong").isNotNull()
+    return judged_calls(spark, d).groupBy("tool", category.alias("category")).agg(F.count_if(known & (n == 0)).alias("passed"), F.count_if(known & (n > 0)).alias("refused"), F.count_if(~known).alias("unknown"))
+
+
+def called(spark, name, rows, call):
+    """A table function over a DataFrame, by SQL; the view has a name of its own."""
+    table_functions.register(spark)
+    view = f"{name}_{uuid.uuid4().hex}"
+    rows.createOrReplaceTempView(view)
+    return spark.sql(f"SELECT * FROM {name}(TABLE({view}) {call})")
 
 
 @query("u03_table_functions", f"WITH {ARMS} SELECT query_id, chunk_id, rank FROM dense WHERE rank <= 3")
-def table_functions(spark, d):
-    return TOOLS.dispatch("search_text", arm(spark, d, "dense"), k=3).select("query_id", "chunk_id", "rank")
+def table_functions_(spark, d):
+    return called(spark, "search_text", arm(spark, d, "dense"), "PARTITION BY query_id ORDER BY rank, k => 3, score_ratio => 0.0").select("query_id", "chunk_id", "rank")
+
+
+@query("u03_search_batch", f"WITH {ARMS}, r AS (SELECT query_id, 0 AS sub, chunk_id, rank FROM dense WHERE rank <= 5 UNION ALL SELECT query_id, 1, chunk_id, rank FROM sparse WHERE rank <= 12), n AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY sub, rank) = 1) SELECT query_id, sub, chunk_id, rank, sub > 0 AS pinned FROM n QUALIFY sub = 0 OR row_number() OVER (PARTITION BY query_id, sub ORDER BY rank) <= 4")
+def search_batch(spark, d):
+    side = lambda df, n, k: df.filter(F.col("rank") <= k).select("query_id", F.lit(n).alias("sub"), "chunk_id", "rank")
+    rows = side(arm(spark, d, "dense"), 0, 5).unionByName(side(arm(spark, d, "sparse"), 1, 12))
+    return called(spark, "search_batch", rows, "PARTITION BY query_id ORDER BY (sub, rank), per_sub => 4")
+
+
+@query("u03_search_image", f"WITH {ARMS}, i AS (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS top, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM dense WHERE label <> 5) SELECT query_id, chunk_id, CAST(place AS INT) AS place FROM i WHERE score >= top * 0.6::DOUBLE AND place <= 8")
+def search_image_(spark, d):
+    rows = arm(spark, d, "dense").withColumn("content_type", F.when(F.col("label") == 5, "portrait"))
+    return called(spark, "search_image", rows, "PARTITION BY query_id ORDER BY rank, k => 8").select("query_id", "chunk_id", "place")
+
+
+@query("u03_get_chunk", f"WITH {CHUNKS} SELECT chunk_id, md5(content) AS content, content[1:20] AS shown FROM chunks WHERE chunk_id = (SELECT min(chunk_id) FROM chunks)")
+def get_chunk(spark, d):
+    c = chunks(spark, d).select("chunk_id", "content")
+    first = c.agg(F.min("chunk_id")).first()[0]
+    return called(spark, "get_chunk", c, f"PARTITION BY chunk_id, chunk_id => '{first}', max_chars => 20").select("chunk_id", F.md5(F.col("content").cast("binary")).alias("content"), "shown")
 
 
 @query("u05_citations", f"WITH {ARMS} SELECT query_id, chunk_id, source_stem, d.text[1:160] AS snippet, round(score, 4) AS score FROM dense JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 5")
