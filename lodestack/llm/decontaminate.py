@@ -33,7 +33,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import DataFrame
@@ -41,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import NOT_ALNUM, bound_batches, give_back, slices, split_words, stash, texts_of
+from .files import open_folder
 
 WIDTH = 10
 #: Words by which a proximity match may be longer than its window.
@@ -237,7 +237,7 @@ class _Blocks:
 
     def __iter__(self) -> Iterator[Queries]:
         for name in self.files:
-            fs, path = pafs.FileSystem.from_uri(name)
+            fs, path = open_folder(name)
             with fs.open_input_file(path) as f:
                 file = pq.ParquetFile(f)
                 for g in range(file.num_row_groups):
@@ -248,6 +248,34 @@ class _Blocks:
                         yield self.last[1]
 
 
+#: Packed postings of the shards that meet the blocks of the benchmark in one pass.
+HELD_BYTES = 8 << 20
+
+
+class _Shard:
+    """A shard and what has been found in it so far."""
+
+    def __init__(self, rows: pa.StructArray, packed: bytes):
+        n = len(rows)
+        self.rows, self.index = rows, unpack_shard(packed)
+        self.starts, self.ends, self.items, self.near = [[] for _ in range(n)], [[] for _ in range(n)], [set() for _ in range(n)], [set() for _ in range(n)]
+
+    def search(self, q: Queries, slop: int) -> None:
+        first = self.index.first
+        win, at, win2, at2 = find_windows(self.index, q, slop)
+        for d, own in _by_doc(np.searchsorted(first, at, side="right") - 1):
+            a = at[own] - first[d]
+            self.starts[d].append(a)
+            self.ends[d].append(a + q.width[win[own]])
+            self.items[d].update(_owners(q, win[own]))
+        for d, own in _by_doc(np.searchsorted(first, at2, side="right") - 1):
+            self.near[d].update(_owners(q, win2[own]))
+
+    def found(self) -> list:
+        spans = [[{"start": a, "end": b} for a, b in _ranges(np.concatenate(x), np.concatenate(y))] if x else [] for x, y in zip(self.starts, self.ends)]
+        return [np.diff(self.index.first), spans, [sorted(x) for x in self.items], [sorted(x) for x in self.near]]
+
+
 FIELDS = "decon_words bigint, decon_spans array<struct<start:int,end:int>>, decon_items array<string>, decon_near array<string>"
 
 
@@ -265,25 +293,25 @@ def search(index: DataFrame, queries: DataFrame, slop: int = SLOP) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [f.type for f in to_arrow_schema(new)]
-        blocks = _Blocks(files)
+        blocks, held, size = _Blocks(files), [], 0
+
+        def searched() -> Iterator[pa.RecordBatch]:
+            for q in blocks:
+                for shard in held:
+                    shard.search(q, slop)
+            for shard in held:
+                made = shard.found()
+                yield pa.RecordBatch.from_arrays([*[shard.rows.field(f.name) for f in carried], *[pa.array(x, kind) for x, kind in zip(made, kinds)]], names=schema.names)
+
         for batch in batches:
             for i in range(batch.num_rows):
-                rows, s = batch.column("rows")[i].values, unpack_shard(batch.column("postings")[i].as_py())
-                n = len(rows)
-                starts, ends, items, near = [[] for _ in range(n)], [[] for _ in range(n)], [set() for _ in range(n)], [set() for _ in range(n)]
-                for q in blocks:
-                    win, at, win2, at2 = find_windows(s, q, slop)
-                    doc = np.searchsorted(s.first, at, side="right") - 1
-                    for d, own in _by_doc(doc):
-                        a = at[own] - s.first[d]
-                        starts[d].append(a)
-                        ends[d].append(a + q.width[win[own]])
-                        items[d].update(_owners(q, win[own]))
-                    for d, own in _by_doc(np.searchsorted(s.first, at2, side="right") - 1):
-                        near[d].update(_owners(q, win2[own]))
-                spans = [[{"start": a, "end": b} for a, b in _ranges(np.concatenate(x), np.concatenate(y))] if x else [] for x, y in zip(starts, ends)]
-                made = [np.diff(s.first), spans, [sorted(x) for x in items], [sorted(x) for x in near]]
-                yield pa.RecordBatch.from_arrays([*[rows.field(f.name) for f in carried], *[pa.array(x, kind) for x, kind in zip(made, kinds)]], names=schema.names)
+                packed = batch.column("postings")[i].as_py()
+                held.append(_Shard(batch.column("rows")[i].values, packed))
+                size += len(packed)
+                if size >= HELD_BYTES:
+                    yield from searched()
+                    held, size = [], 0
+        yield from searched()
         give_back()
 
     return index.mapInArrow(run, schema)

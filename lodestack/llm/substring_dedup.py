@@ -312,7 +312,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(6 * partitions, -(-size // BUCKET_BYTES))
-    hot = hot_minimisers(source, 24 * partitions, window, mmer)
+    # A string that is not hot is less than a bucket's share.
+    hot = hot_minimisers(source, max(24 * partitions, buckets), window, mmer)
     packed = _pack(source, hot, buckets, window, mmer)
     found = packed.groupBy("bucket").applyInPandas(_count_bucket(window), FOUND)
     if len(hot):

@@ -41,22 +41,17 @@ from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import shared_folder, stash
+from .files import open_folder
 
 LEAST_BYTES = 100
 BLOCK_LINES = 300
 KEPT = 8  # directories and blocks that a task keeps
 
 
-def open_folder(path: str) -> tuple[pafs.FileSystem, str]:
-    """A file system that every executor reaches, by the folder's URI."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def url_key(url: str | None) -> str:
     """Reversed host, port, path and query: ``https://a.b.com/x?y`` is ``com,b,a)/x?y``; the fragment is dropped."""
     if not url:
