@@ -74,9 +74,19 @@ def compaction(messages: DataFrame, trigger: int, budget: int, least_text: int =
             if total > budget:
                 break
             at = a
-        calls, answers = pdf["tool_call_ids"].tolist(), pdf["tool_call_id"].tolist()
-        while at > 0 and {c for own in calls[:at] for c in own} - {x for x in answers[:at] if x}:
-            at = max((s for s in starts if s < at), default=-1)
+        # Calls without their result before each place, in one pass.
+        made, answered, due, waiting = set(), set(), [0], 0
+        for own, answer in zip(pdf["tool_call_ids"], pdf["tool_call_id"], strict=True):
+            for c in own:
+                if c not in made:
+                    made.add(c)
+                    waiting += c not in answered
+            if answer and answer not in answered:
+                answered.add(answer)
+                waiting -= answer in made
+            due.append(waiting)
+        if at > 0 and due[at]:
+            at = next((s for s in reversed(starts) if s < at and (s <= 0 or not due[s])), -1)
         texts = sum(1 for r, c in zip(pdf["role"].tolist()[max(at, 0) :], pdf["content"].tolist()[max(at, 0) :], strict=True) if r in ("user", "assistant") and (c or "").strip())
         if at <= 0 or texts < least_text:
             return none

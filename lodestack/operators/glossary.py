@@ -84,10 +84,12 @@ def inferred_stems(queries: DataFrame, registry: DataFrame, least: float = 4, ma
     all_words = F.regexp_extract_all(F.lower("base"), F.lit("[a-z0-9][a-z0-9-]*[a-z0-9]|[a-z0-9]"), F.lit(0))
     mixed = F.filter(all_words, lambda w: (F.length(w) >= 3) & w.rlike("[0-9]") & w.rlike("[a-z]"))
     tokens = registry.select("base", F.explode(F.concat(mixed, runs)).alias("t")).groupBy("base", "t").agg(F.count("*").alias("times"))
-    # Queries share words or CJK pairs with the token; the containment test follows on these pairs only.
+    # A token that the query has is one of its substrings of a token's length: they meet by the whole token.
     q = queries.select("query_id", F.lower("text").alias("q"))
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 1)), lambda i: F.substring(c, i, F.lit(2))))
-    near = q.select("query_id", "q", F.explode(grams(F.col("q"))).alias("g")).join(tokens.withColumn("g", F.substring("t", 1, 2)), "g").filter(F.contains("q", F.col("t")))
+    lengths = F.broadcast(tokens.agg(F.collect_set(F.length("t")).alias("lengths")))  # one row
+    places = q.crossJoin(lengths).select("query_id", "q", "lengths", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("q")))).alias("at"))
+    parts = places.select("query_id", "q", F.explode(F.transform("lengths", lambda n: F.substring(F.col("q"), F.col("at"), n))).alias("t")).distinct()
+    near = parts.join(tokens, "t")
     scored = near.groupBy("query_id", "q", "base").agg(F.sum(F.length("t") * F.col("times")).alias("score"))
     w = Window.partitionBy("query_id")
     placed = scored.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"))))

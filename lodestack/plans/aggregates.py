@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..operators import evaluation, glossary, layout, memory, metrics, ranking
 from ..sources import logs
-from .inputs import ARMS, CHUNKS, REQUESTS, arm, chunks, requests, table
+from .inputs import ARMS, CHUNKS, REQUESTS, arm, chunks, document_items, requests, table
 from .registry import query
 
 
@@ -247,14 +247,13 @@ LOOSE = r"lower(regexp_replace({c}, '[^0-9A-Za-z\x{{4e00}}-\x{{9fff}}]', '', 'g'
 
 @query(
     "d22_evidence_coverage",
-    f"""WITH p AS (SELECT item_id, {LOOSE.format(c="b.text")} AS f, {LOOSE.format(c="d.text")} AS m FROM benchmark b JOIN documents d ON d.doc_id % 200 = b.item_id),
+    f"""WITH p AS (SELECT item_id, {LOOSE.format(c="b.text")} AS f, {LOOSE.format(c="d.text")} AS m FROM benchmark b JOIN documents d ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = b.item_id),
 w AS (SELECT item_id, f, m, list_transform(range(1, length(f) - 10, 4), lambda i: f[i:i+11]) AS w FROM p), c AS (SELECT item_id, CASE WHEN length(f) > 12 THEN len(list_filter(w, lambda x: contains(m, x))) / len(w) ELSE CASE WHEN contains(m, f) THEN 1 ELSE 0 END END AS c FROM w)
 SELECT item_id, round(max(c), 6) AS best, count(*) FILTER (WHERE c >= 0.6) AS passed FROM c GROUP BY item_id""",
 )
 def evidence(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", text.loose(F.col("text")).alias("f"))
-    docs = table(spark, d, "documents").select((F.col("doc_id") % 200).alias("item_id"), text.loose(F.col("text")).alias("m"))
-    c = b.join(docs, "item_id").withColumn("c", text.window_coverage(F.col("f"), F.col("m")))
+    pairs = document_items(spark, d).select("item_id", text.loose(F.col("fact")).alias("f"), text.loose(F.col("text")).alias("m"))
+    c = pairs.withColumn("c", text.window_coverage(F.col("f"), F.col("m")))
     return c.groupBy("item_id").agg(F.round(F.max("c"), 6).alias("best"), F.count_if(F.col("c") >= 0.6).alias("passed"))
 
 
@@ -304,10 +303,17 @@ def gold(spark, d):
     return q.join(v.withColumnRenamed("vec_id", "chunk_id"), "label").filter("query_id <> chunk_id").select("query_id", "chunk_id")
 
 
-@query("d29_gold_ranks", f"WITH {ARMS}, {GOLD} SELECT query_id, chunk_id, d.rank, d.score FROM gold LEFT JOIN dense d USING (query_id, chunk_id)")
+@query(
+    "d29_gold_ranks",
+    f"""WITH {ARMS}, q AS (SELECT chunk_id AS query_id, label, (SELECT count(*) FROM v o WHERE o.label = v.label) - 1 AS n_gold FROM v WHERE chunk_id % 50 = 0)
+SELECT query_id, d.chunk_id, d.rank, d.score, CAST(n_gold AS BIGINT) AS n_gold FROM q LEFT JOIN dense d USING (query_id, label)""",
+)
 def gold_ranks(spark, d):
-    a = arm(spark, d, "dense")
-    return evaluation.gold_ranks(a, gold(spark, d)).join(a.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left")
+    """The gold rows that a query found, with how many there are; a query that found none has one row. Pairs that were not found are not listed."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
+    counts = v.groupBy("label").agg((F.count("*") - 1).alias("n_gold"))
+    q = v.filter("query_id % 50 = 0").join(counts, "label")
+    return q.join(arm(spark, d, "dense").select("query_id", "label", "chunk_id", "rank", "score"), ["query_id", "label"], "left").select("query_id", "chunk_id", "rank", "score", "n_gold")
 
 
 @query("d30_arm_hits", f"WITH {ARMS}, {GOLD} SELECT query_id, count(*) FILTER (WHERE d.rank <= 4) > 0 AS dense, count(*) FILTER (WHERE s.rank <= 4) > 0 AS sparse FROM gold LEFT JOIN dense d USING (query_id, chunk_id) LEFT JOIN sparse s USING (query_id, chunk_id) GROUP BY query_id")
