@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ingest, scans
-from ..sources import content_list, sidecar, snapshots, tables
+from ..sources import content_list, sidecar, snapshots, spool, tables
 from ..sources.scratch import shared_folder
 from .inputs import CHUNKS, REQUESTS, chunks, requests, table
 from .registry import query
@@ -168,6 +169,21 @@ def capped_log(spark, d):
     return ingest.capped_log(table(spark, d, "events").select("event_id", "user_id"), "user_id", "event_id", 60)
 
 
+@query("a20_spool_replay", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS tries FROM events")
+def spool_replay(spark, d):
+    """All events as records of a spool, replayed in portions; every seventh fails once and comes again. The shared folder must be one that tasks open as files."""
+    folder = urlsplit(f"{shared_folder(spark)}/spool-{uuid.uuid4().hex}").path
+    table(spark, d, "events").select(F.to_json(F.struct("event_id")).alias("value")).write.text(f"{folder}/in")
+    n = F.get_json_object("record", "$.event_id").cast("bigint")
+    q = spool.replay(spark, f"{folder}/in", f"{folder}/done", lambda rows: rows.withColumn("ok", (n % 7 != 0) | (F.col("tries") > 0)), f"{folder}/checkpoint", records=5000).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    done = spark.read.schema("record string, tries int").parquet(f"{folder}/done/records")
+    return done.select(n.alias("event_id"), "tries")
+
+
 @query("a21_replayed_once", "WITH r AS (SELECT event_id, event_id % 700 AS eid, event_id % 3 = 0 AS done FROM events) SELECT eid, min(event_id) AS event_id FROM r WHERE eid NOT IN (SELECT eid FROM r WHERE done AND event_id < 300) GROUP BY eid")
 def replayed(spark, d):
     r = table(spark, d, "events").select("event_id", (F.col("event_id") % 700).alias("eid"))

@@ -53,7 +53,7 @@ class SpoolReader(DataSourceStreamReader):
         return os.path.join(self.folder, ".progress")
 
     def _files(self) -> list[str]:
-        return sorted(f for f in os.listdir(self.folder) if f.endswith(".jsonl")) if os.path.isdir(self.folder) else []
+        return sorted(f for f in os.listdir(self.folder) if f.endswith((".jsonl", ".txt")) and f[0] not in "._") if os.path.isdir(self.folder) else []
 
     def initialOffset(self) -> dict:
         return {}
