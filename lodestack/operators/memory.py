@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import fingerprint, once, squashed
-from . import vector_lists
+from . import links, vector_lists
 
 
 def verbatim(sentences: Column, content: Column, n: int) -> Column:
@@ -49,9 +49,10 @@ def semantic_groups(rows: DataFrame, nearest: float = 0.9) -> DataFrame:
     In the order of id, a memory joins the nearest one kept so far if its cosine
     is ``nearest`` or more, and takes its place; else it is kept by itself.
     Adds ``into``, the id of the memory that it updates, its own if it is new.
-    Without a vector, or with one of length 0, it is kept by itself. Rows of a
-    group stream through a task in order; only its kept vectors are held, as
-    many as a user has different memories.
+    Without a vector, or with one of length 0, it is kept by itself. Only
+    memories of one component of near vectors can meet: each component streams
+    through a task in order, which holds its kept vectors, and a group is as many
+    tasks as it has components. Ids are distinct.
     """
     names = [f.name for f in rows.schema.fields]
 
@@ -59,9 +60,9 @@ def semantic_groups(rows: DataFrame, nearest: float = 0.9) -> DataFrame:
         group, kept, owner, n = None, np.zeros((0, 0)), [], 0
         for pdf in batches:
             into = []
-            for name, category, i, v in zip(pdf["username"], pdf["category"], pdf["id"], pdf["embedding"], strict=True):
-                if (name, category) != group:
-                    group, owner, n = (name, category), [], 0
+            for name, category, component, i, v in zip(pdf["username"], pdf["category"], pdf["__component"], pdf["id"], pdf["embedding"], strict=True):
+                if (name, category, component) != group:
+                    group, owner, n = (name, category, component), [], 0
                 length = float(np.linalg.norm(v)) if v is not None and len(v) else 0.0
                 if not length:
                     into.append(i)
@@ -79,7 +80,10 @@ def semantic_groups(rows: DataFrame, nearest: float = 0.9) -> DataFrame:
             yield pdf.assign(into=into)[[*names, "into"]]
 
     schema = T.StructType([*rows.schema.fields, T.StructField("into", rows.schema["id"].dataType)])
-    return rows.repartition("username", "category").sortWithinPartitions("username", "category", "id").mapInPandas(merge, schema)
+    near = links.components(links.edges(rows.select("id", F.to_json(F.struct("username", "category")).alias("grp"), "embedding"), nearest))
+    parted = rows.join(near.withColumnRenamed("node", "id"), "id", "left").withColumn("__component", F.coalesce("component", "id"))
+    key = ["username", "category", "__component"]
+    return parted.select(*names, "__component").repartition(*key).sortWithinPartitions(*key, "id").mapInPandas(merge, schema)
 
 
 def recall(memories: DataFrame, questions: DataFrame, k: int = 5, farthest: float | None = None, probes: int | None = None) -> DataFrame:
