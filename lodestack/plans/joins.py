@@ -128,8 +128,8 @@ def cited(spark, d):
     names = F.array(F.concat(F.lit("Manual "), src, F.lit(" edition ")), F.concat(src, F.lit(" by the manual ")), F.concat(F.lit("Guide "), src, F.lit(" ")))
     stem = F.when(i % 4 < 3, F.concat(F.get(names, (i % 4).cast("int")), (i % 3).cast("string"))).otherwise("")
     sources = docs.filter("source is not null").select("source", F.when(i % 4 == 3, F.concat(F.lit("https://kb.example/"), src, F.lit("/"))).alias("url"), stem.alias("stem")).distinct()
-    near = answers.join(sources, "source")
-    return near.select("doc_id", "stem", "url", citations.cites(F.col("answer"), F.col("stem"), F.col("url")).alias("cited"))
+    near = answers.select("doc_id", "source", citations.mentions(F.col("answer")).alias("found")).join(sources, "source")
+    return near.select("doc_id", "stem", "url", citations.cited_among(F.col("found"), F.col("stem"), F.col("url")).alias("cited"))
 
 
 def _terms(spark, d, key, name):
