@@ -42,15 +42,19 @@ def terms(docs: DataFrame, text_col: str = "text", least: int = 4, top: int = 40
     count's spelling. ``top``: the report has that many terms at most.
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    without = lambda words, low=False: lambda p: ~F.arrays_overlap(F.split(F.lower(p) if low else p, " +"), F.array(*map(F.lit, words)))
-    multi = F.filter(found(MULTI), without(EVERYDAY, True))
-    clean = F.filter(found(PHRASE), without(STOP + BOILERPLATE))
-    pairs = F.flatten(F.transform(F.filter(clean, lambda p: F.size(F.split(p, " ")) == 3), lambda p: F.array(F.substring_index(p, " ", 2), F.substring_index(p, " ", -2))))
-    classes = [("multi", multi, least), ("acronym", found(ACRONYM), 2 * least), ("model", F.transform(F.filter(found(MODEL), lambda m: F.length(m) >= 3), F.lower), least), ("phrase", F.concat(clean, pairs), 2 * least)]
-    tagged = lambda k, n: lambda x: F.struct(F.lit(k).alias("kind"), F.lit(n).alias("least"), x.alias("term"))
-    rows = docs.select(F.explode(F.concat(*[F.transform(a, tagged(k, n)) for k, a, n in classes])).alias("r")).select("r.*")
-    counted = rows.groupBy("kind", "least", "term").agg(F.count("*").alias("tf")).filter("tf >= least")
+    kinds = {"multi": MULTI, "acronym": ACRONYM, "model": MODEL, "phrase": PHRASE}
+    tagged = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), x.alias("term"))
+    found = F.concat(*[F.transform(F.regexp_extract_all(t, F.lit(p), F.lit(0)), tagged(k)) for k, p in kinds.items()])
+    # Counted first: what follows sees each distinct candidate once.
+    raw = docs.select(F.explode(found).alias("r")).select("r.*").groupBy("kind", "term").agg(F.count("*").alias("tf"))
+    without = lambda words, c: ~F.arrays_overlap(F.split(c, " +"), F.array(*map(F.lit, words)))
+    p = F.col("term")
+    is_multi, is_phrase, is_model = (F.col("kind") == k for k in ("multi", "phrase", "model"))
+    kept = raw.filter(F.when(is_multi, without(EVERYDAY, F.lower(p))).when(is_phrase, without(STOP + BOILERPLATE, p)).when(is_model, F.length(p) >= 3).otherwise(True))
+    three = is_phrase & (F.size(F.split(p, " ")) == 3)
+    named = F.when(three, F.array(p, F.substring_index(p, " ", 2), F.substring_index(p, " ", -2))).when(is_model, F.array(F.lower(p))).otherwise(F.array(p))
+    few = F.when(F.col("kind").isin("multi", "model"), least).otherwise(2 * least)
+    counted = kept.select("kind", F.explode(named).alias("term"), "tf").groupBy("kind", "term").agg(F.sum("tf").alias("tf")).filter(F.col("tf") >= few)
     best = counted.groupBy(F.lower("term").alias("key")).agg(F.max_by("term", F.struct("tf", "term")).alias("term"), F.max("tf").alias("tf"))
     return best.orderBy(F.desc("tf"), "term").limit(top).select("term", "tf")
 
