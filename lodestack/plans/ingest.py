@@ -32,6 +32,17 @@ def discovery(spark, d):
     return content_list.discovered(table(spark, d, "documents").select(path.alias("path")), "path").select("stem", "path")
 
 
+@query("a02_files_read", f"WITH {FILES}, {CHUNKS}, c AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) SELECT 'd' || doc_id AS stem, CASE WHEN doc_id % 9 <> 0 THEN n ELSE 0 END AS items, CASE WHEN doc_id % 9 = 0 THEN 'broken' END AS finding FROM f JOIN c USING (doc_id) WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0")
+def files_read(spark, d):
+    """A file for each document, written, then listed and parsed: those in other folders and second versions are left aside."""
+    i = F.col("doc_id")
+    c = chunks(spark, d).groupBy("doc_id", "source").agg(F.to_json(F.array_sort(F.collect_list(F.struct("pos", F.lit("text").alias("type"), F.col("content").alias("text"))))).alias("json"))
+    path = F.concat("source", F.lit("/"), F.when(i % 2 == 0, "auto").otherwise("tmp"), F.lit("/d"), i.cast("string"), F.when(i % 5 == 0, "_v2").otherwise(""), F.lit("_content_list.json"))
+    root = f"{shared_folder(spark)}/layout-{uuid.uuid4().hex}"
+    content_list.write(c.select(path.alias("path"), F.when(i % 9 == 0, F.expr("substring(json, 1, length(json) - 3)")).otherwise(F.col("json")).alias("json")), root)
+    return content_list.read(spark, root).select("stem", F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("items"), "finding")
+
+
 SPLIT = "s AS (SELECT 'f' || p_partkey AS stem, p_partkey % 1500 + 1 AS pages, p_size * 3.0::DOUBLE AS mib FROM part), p AS (SELECT *, CAST(CASE WHEN mib > 70 THEN greatest(10, least(500, floor(25 / (mib / pages)))) WHEN pages > 500 THEN 500 ELSE pages END AS INT) AS per FROM s)"
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,25 @@ def parsed(rows: DataFrame, json_col: str) -> DataFrame:
     return out.withColumn("items", F.when(F.col("finding").isNull(), items))
 
 
+def write(files: DataFrame, root: str) -> int:
+    """Write a file for each row (path below the root, json); gives their number. A file that is there is replaced.
+
+    Tasks write them, by Arrow's file systems, so the root must be one that these open.
+    """
+    pafs.FileSystem.from_uri(root)  # an unknown scheme fails here
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(root)
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["json"], strict=True):
+                fs.create_dir(f"{base}/{path}".rsplit("/", 1)[0])
+                with fs.open_output_stream(f"{base}/{path}") as f:
+                    f.write((text or "").encode())
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return files.select("path", "json").mapInPandas(put, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def read(spark: SparkSession, root: str) -> DataFrame:
     """(path, stem, items, finding) of all documents below a folder."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_content_list.json").option("wholetext", True).text(root)
