@@ -9,7 +9,7 @@ from lodestack.operators import limits
 from lodestack.plans import streams
 from lodestack.streaming import stateful
 
-FILES = 4
+FILES = 2
 
 
 class Replay:
