@@ -42,8 +42,10 @@ def few(spark):
     stateful.prepare(spark)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     yield
     spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
 
 
 def test_leases(spark, tmp_path, tiny, few):
@@ -81,6 +83,7 @@ def test_breakers(spark, tmp_path, tiny, few):
 def test_expiring(spark, tmp_path, tiny, few):
     """Every life ends by a timer or by the write that follows it; a last row, much later, lets the watermark pass all of them."""
     rows = spark.read.parquet(f"{tiny}/events.parquet").filter("event_id < 300").select(F.concat(F.lit("u"), (F.col("user_id") % 15).cast("string")).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")  # timers fire in a batch without rows
     batch = rows.groupBy("key", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
     want = sorted((r.key, r.session_window.start, r.session_window.end, r.n) for r in batch.collect())
     end = rows.agg(F.max("ts")).first()[0] + dt.timedelta(days=40)
