@@ -182,11 +182,11 @@ def capped_log(spark, d):
 
 @query("a20_spool_replay", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS tries FROM events")
 def spool_replay(spark, d):
-    """All events as records of a spool, replayed in portions; every seventh fails once and comes again. The shared folder must be one that tasks open as files."""
+    """All events as records of a spool, replayed in portions of 5000 for each core; every seventh fails once and comes again. The shared folder must be one that tasks open as files."""
     folder = urlsplit(f"{shared_folder(spark)}/spool-{uuid.uuid4().hex}").path
     table(spark, d, "events").select(F.to_json(F.struct("event_id")).alias("value")).write.text(f"{folder}/in")
     n = F.get_json_object("record", "$.event_id").cast("bigint")
-    q = spool.replay(spark, f"{folder}/in", f"{folder}/done", lambda rows: rows.withColumn("ok", (n % 7 != 0) | (F.col("tries") > 0)), f"{folder}/checkpoint", records=5000).start()
+    q = spool.replay(spark, f"{folder}/in", f"{folder}/done", lambda rows: rows.withColumn("ok", (n % 7 != 0) | (F.col("tries") > 0)), f"{folder}/checkpoint", records=5000, tasks=spark.sparkContext.defaultParallelism).start()
     try:
         q.processAllAvailable()
     finally:

@@ -2,9 +2,10 @@
 
 A spool is a folder of files of JSON lines that writers only append to. The source
 ``spool`` reads it from where the last batch ended: an offset is, for each file, how
-many bytes of whole lines are behind it. A batch has ``records`` lines at most, so a
-backlog is taken in portions; a line without its end is left for later. Lines that
-are no JSON object come as rows with ``bad`` and without values.
+many bytes of whole lines are behind it. A batch has ``records`` lines at most for
+each of ``tasks`` tasks (one, if not said), so a backlog is taken in portions and a
+larger cluster needs fewer of them; a line without its end is left for later. Lines
+that are no JSON object come as rows with ``bad`` and without values.
 
 ``replay`` runs a stream over it. Records that fail go into a file of their own at the
 end of the spool and come again in a later batch; done ones are written once, bad
@@ -20,7 +21,7 @@ import json
 import os
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -38,16 +39,16 @@ def append(folder: str, name: str, records: list[dict]) -> None:
 
 
 class Piece(InputPartition):
-    """Bytes of a file, from the start of a line to the end of one."""
+    """The lines of a file that begin from ``start`` on and before ``end``; ``whole``: a line begins at ``start``."""
 
-    def __init__(self, file: str, start: int, end: int):
-        super().__init__((file, start, end))
-        self.file, self.start, self.end = file, start, end
+    def __init__(self, file: str, start: int, end: int, whole: bool):
+        super().__init__((file, start, end, whole))
+        self.file, self.start, self.end, self.whole = file, start, end, whole
 
 
 class SpoolReader(DataSourceStreamReader):
-    def __init__(self, folder: str, records: int):
-        self.folder, self.records, self.last = folder, records, None
+    def __init__(self, folder: str, records: int, tasks: int = 1):
+        self.folder, self.records, self.tasks, self.last = folder, records, tasks, None
 
     def _progress(self) -> str:
         return os.path.join(self.folder, ".progress")
@@ -59,9 +60,13 @@ class SpoolReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self) -> dict:
-        """``records`` lines beyond the last planned batch, or all that there are."""
-        at, left = dict(self._known()), self.records
+        """``records`` lines for each task beyond the last planned batch, or all that there are."""
+        at, left = dict(self._known()), self.records * self.tasks
         for name in self._files():
+            if left <= 0:
+                break
+            if os.path.getsize(os.path.join(self.folder, name)) <= at.get(name, 0):
+                continue
             with open(os.path.join(self.folder, name), "rb") as f:
                 f.seek(at.get(name, 0))
                 while left > 0 and (line := f.readline()) and line.endswith(b"\n"):
@@ -89,11 +94,15 @@ class SpoolReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         if os.path.isdir(self.folder):
             self._keep({k: max(v, self._known().get(k, 0)) for k, v in end.items()})
-        return [Piece(os.path.join(self.folder, f), start.get(f, 0), to) for f, to in sorted(end.items()) if to > start.get(f, 0)]
+        spans = [(os.path.join(self.folder, f), start.get(f, 0), to) for f, to in sorted(end.items()) if to > start.get(f, 0)]
+        step = -(-sum(to - at for _, at, to in spans) // self.tasks)  # bytes of a task
+        return [Piece(f, a, min(a + step, to), a == at) for f, at, to in spans for a in range(at, to, step)]
 
     def read(self, partition: Piece) -> Iterator[tuple]:
         with open(partition.file, "rb") as f:
-            f.seek(partition.start)
+            f.seek(partition.start if partition.whole else partition.start - 1)
+            if not partition.whole:
+                f.readline()  # the piece before has it
             while f.tell() < partition.end:
                 at, raw = f.tell(), f.readline()
                 line = raw.decode("utf-8", "replace").strip()
@@ -123,15 +132,15 @@ class Spool(DataSource):
         return FIELDS
 
     def streamReader(self, schema) -> SpoolReader:
-        return SpoolReader(self.options["path"], int(self.options.get("records", RECORDS)))
+        return SpoolReader(self.options["path"], int(self.options.get("records", RECORDS)), int(self.options.get("tasks", 1)))
 
 
-def stream(spark: SparkSession, folder: str, records: int = RECORDS) -> DataFrame:
+def stream(spark: SparkSession, folder: str, records: int = RECORDS, tasks: int = 1) -> DataFrame:
     spark.dataSource.register(Spool)
-    return spark.readStream.format("spool").option("path", folder).option("records", records).load()
+    return spark.readStream.format("spool").option("path", folder).option("records", records).option("tasks", tasks).load()
 
 
-def replay(spark: SparkSession, folder: str, done: str, attempt: Callable[[DataFrame], DataFrame], checkpoint: str, records: int = RECORDS):
+def replay(spark: SparkSession, folder: str, done: str, attempt: Callable[[DataFrame], DataFrame], checkpoint: str, records: int = RECORDS, tasks: int = 1):
     """A query, not yet started, that replays the spool at ``folder`` into ``done``.
 
     ``attempt``: gives the rows it is given with a boolean ``ok``; rows of ``record``
@@ -140,12 +149,15 @@ def replay(spark: SparkSession, folder: str, done: str, attempt: Callable[[DataF
     """
 
     def batch_of(rows: DataFrame, number: int) -> None:
+        seen = Observation()
+        rows = rows.observe(seen, F.count_if(~F.col("bad")).alias("n"), F.count_if("bad").alias("bad"))
         tried = attempt(rows.filter("not bad").select("file", "at", "record", "tries"))
         part = f"{done}/.tried/batch={number}"
         tried.write.mode("overwrite").parquet(part)  # tried once, whatever follows
         tried = rows.sparkSession.read.schema(tried.schema).parquet(part)
         tried.filter("ok").select("record", "tries").write.mode("overwrite").parquet(f"{done}/records/batch={number}")
-        kept = [dict(json.loads(r["record"]), __tries=r["tries"] + 1) for r in tried.filter("not coalesce(ok, false)").orderBy("file", "at").collect()]  # ``records`` rows at most
+        failed = sorted(tried.filter("not coalesce(ok, false)").collect(), key=lambda r: (r["file"], r["at"]))  # of one batch
+        kept = [dict(json.loads(r["record"]), __tries=r["tries"] + 1) for r in failed]
         # A name that sorts behind all others; the same batch writes the same file.
         target = os.path.join(folder, f"~kept-{number:012d}.jsonl")
         if kept:
@@ -155,7 +167,8 @@ def replay(spark: SparkSession, folder: str, done: str, attempt: Callable[[DataF
                 f.flush()
                 os.fsync(f.fileno())
             os.replace(draft, target)
-        counts = rows.agg(F.count_if(~F.col("bad")).alias("n"), F.count_if("bad").alias("bad"))
-        counts.select((F.col("n") - len(kept)).alias("sent"), F.lit(len(kept)).cast("bigint").alias("kept"), "bad").write.mode("overwrite").parquet(f"{done}/counts/batch={number}")
+        n, bad = seen.get["n"], seen.get["bad"]
+        counts = {"sent": n - len(kept), "kept": len(kept), "bad": bad}
+        rows.sparkSession.range(1).select(*(F.lit(v).cast("bigint").alias(k) for k, v in counts.items())).write.mode("overwrite").parquet(f"{done}/counts/batch={number}")
 
-    return stream(spark, folder, records).writeStream.foreachBatch(batch_of).option("checkpointLocation", checkpoint)
+    return stream(spark, folder, records, tasks).writeStream.foreachBatch(batch_of).option("checkpointLocation", checkpoint)

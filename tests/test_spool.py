@@ -77,3 +77,23 @@ def test_offsets(tmp_path):
     first = reader.latestOffset()
     assert len(list(reader.read(*reader.partitions({}, first)))) == 3
     assert spool.SpoolReader(folder, 3).latestOffset()["x.jsonl"] == (tmp_path / "x.jsonl").stat().st_size  # a new reader goes on from there
+
+
+def test_tasks_share_a_batch(spark, tmp_path):
+    folder = str(tmp_path / "spool")
+    spool.append(folder, "x", [{"n": i, "pad": "é" * (i % 40)} for i in range(200)])
+    spool.append(folder, "y", [{"n": 200 + i} for i in range(5)])
+    reader = spool.SpoolReader(folder, 20, 8)
+    end = reader.latestOffset()
+    pieces = reader.partitions({}, end)
+    read = [[json.loads(row[2])["n"] for row in reader.read(p)] for p in pieces]
+    assert len(pieces) > 4 and sum(read, []) == list(range(160)) and max(map(len, read)) < 60
+    later = reader.latestOffset()
+    assert [json.loads(row[2])["n"] for p in reader.partitions(end, later) for row in reader.read(p)] == list(range(160, 205))
+
+    ok = lambda rows: rows.withColumn("ok", F.get_json_object("record", "$.n").cast("int") % 7 != 0)
+    other, done = str(tmp_path / "other"), str(tmp_path / "done")
+    spool.append(other, "x", [{"n": i} for i in range(1, 120) if i % 7])
+    drain(spool.replay(spark, other, done, ok, str(tmp_path / "ck"), records=20, tasks=8))
+    assert read_done(spark, done)[0] == Counter(i for i in range(1, 120) if i % 7)
+    assert len(spark.read.parquet(f"{done}/counts").collect()) == 1  # a batch of 20 lines a task, where one of 20 lines took six
