@@ -196,7 +196,8 @@ SELECT thread_id, pos, CASE WHEN length(q) <= 1 OR regexp_matches(q, '{routing.G
 def clarify(spark, d):
     # Places of the messages that say something are even, of the others odd: eight places back are the last four of them.
     says = F.trim(F.coalesce("content", F.lit(""))) != ""
-    order = Window.partitionBy("thread_id").orderBy("pos")
+    # By rows: messages that came twice are two, also where their places are equal.
+    order = Window.partitionBy("thread_id").orderBy("pos", "content").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = asked(spark, d).withColumn("place", 2 * F.count_if(says).over(order) + F.when(says, 0).otherwise(1))
     recent = F.collect_list(F.when(says, F.col("content"))).over(Window.partitionBy("thread_id").orderBy("place").rangeBetween(-8, -1))
     return placed.withColumn("history", recent).select("thread_id", "pos", routing.needs_clarification(F.col("content"), F.col("history")).alias("clarify"))
