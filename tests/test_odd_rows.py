@@ -33,3 +33,10 @@ def test_extractive_sentences_stay_as_they_are(spark, tmp_path):
     documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = dict(same_as_sql(spark, tmp_path, "h18_extractive_check", documents=documents))
     assert rows[0].startswith("000a")
+
+
+def test_gold_ranks_list_every_gold_pair(spark, tiny):
+    v = spark.read.parquet(f"{tiny}/embeddings.parquet").select("vec_id", "label").collect()
+    gold = {(q.vec_id, g.vec_id) for q in v if q.vec_id % 50 == 0 for g in v if g.label == q.label and g.vec_id != q.vec_id}
+    rows = plans.QUERIES["d29_gold_ranks"](spark, tiny).collect()
+    assert len(rows) == len(gold) and {(r.query_id, r.chunk_id) for r in rows} == gold
