@@ -23,8 +23,9 @@ fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score
 
 def lexical_arm(spark, d, k=POOL):
     """(query_id, chunk_id, score, rank) of the questions' words over all documents."""
-    index = text_index(spark, d)
-    return sparse.top_k(index, sparse.query_terms(index, questions(spark, d)), k)
+    asked = questions(spark, d)
+    index = text_index(spark, d, asked)
+    return sparse.top_k(index, sparse.query_terms(index, asked), k)
 
 
 @query(
@@ -43,8 +44,8 @@ ITEM_QUESTIONS = "items AS (SELECT item_id AS query_id, text FROM benchmark)"
 @query("e01_lexical_recall", f"WITH {LEXICAL}, {ITEM_QUESTIONS}, {weighted_sql('items')} SELECT query_id, chunk_id, s AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS INT) AS rank FROM lscored WHERE s > 0 QUALIFY rank <= 20")
 def lexical_recall(spark, d):
     """Every benchmark item asks all documents."""
-    index = text_index(spark, d)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    index = text_index(spark, d, asked)
     return sparse.top_k(index, sparse.query_terms(index, asked), 20).select("query_id", "chunk_id", "score", "rank")
 
 

@@ -66,3 +66,21 @@ def test_texts(spark):
     assert [(r.query_id, r.chunk_id) for r in sorted(got, key=lambda r: r.rank)] == [(9, 2), (9, 1)]
     empty = sparse.build(sparse.weighted_terms(docs.limit(0)))
     assert sparse.top_k(empty, sparse.query_terms(empty, spark.createDataFrame([(9, "blue")], "query_id long, text string")), 3).count() == 0
+
+
+def test_index_for_stated_queries(spark, monkeypatch):
+    """The same rows, from no more lists than are asked, each word counted where its document is."""
+    docs = spark.createDataFrame([(1, "Red red, blue!"), (2, "blue "), (3, None), (4, ""), (5, "?!"), (6, "green red"), (1, " red")], "doc_id long, text string")
+    asked = spark.createDataFrame([(9, "blue RED nothing"), (8, None)], "query_id long, text string")
+
+    def found(index):
+        return sorted(map(tuple, sparse.top_k(index, sparse.query_terms(index, asked), 3).collect()))
+
+    whole, few = sparse.index_texts(docs), sparse.index_texts(docs, asked)
+    assert {r.term for r in few.terms.collect()} == {"red", "blue"} < {r.term for r in whole.terms.collect()}
+    assert few.docs.first().docs == 3 and found(few) == found(whole) and len(found(few)) == 3
+    assert {(r.id, r.term) for r in whole.rows.collect()} == {(1, "red"), (1, "blue"), (2, "blue"), (6, "green"), (6, "red")}
+    plan = sparse.weighted_terms(docs.filter("doc_id > 1"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(id" not in plan  # no row a word is shuffled to be counted
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", 1)
+    assert found(sparse.index_texts(docs, asked)) == found(whole)
