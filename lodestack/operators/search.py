@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 #: Of the queries of one block, and of the queries that are broadcast.
 BLOCK_BYTES, BROADCAST_BYTES = 8 << 20, 32 << 20
 #: Rows of one block, and the numbers that a task scores at once.
-BLOCK_ROWS, SCORED = 8192, 1 << 22
+BLOCK_ROWS, SCORED = 8192, 1 << 20
 DIGITS = 6
 
 

@@ -40,3 +40,17 @@ def test_gold_ranks_list_every_gold_pair(spark, tiny):
     gold = {(q.vec_id, g.vec_id) for q in v if q.vec_id % 50 == 0 for g in v if g.label == q.label and g.vec_id != q.vec_id}
     rows = plans.QUERIES["d29_gold_ranks"](spark, tiny).collect()
     assert len(rows) == len(gold) and {(r.query_id, r.chunk_id) for r in rows} == gold
+
+
+def test_arrow_batches_are_cut_by_bytes(spark, tiny):
+    import __spark_entry__ as driver
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, kept in (("64m", str(driver.BATCH_BYTES)), ("67108864b", str(driver.BATCH_BYTES)), ("1000", "1000")):
+            spark.conf.set(name, given)
+            driver.queries()["h05_sentence_ends"](spark, tiny)
+            assert spark.conf.get(name).removesuffix("b") == kept
+    finally:
+        spark.conf.set(name, before)
