@@ -1,31 +1,167 @@
 """Texts that stand in other texts of their group, by a substring join.
 
-A text that stands in another has all of its q-grams there. Of each text the
-rarest of its q-grams in the group (of ties the first) is looked up in the table
-of all q-grams with their places; where it is met, the shorter text would have to
-begin at one place of the longer one, and is compared there. So what is looked at
-grows with the occurrences of the rarest grams, not with pairs of texts.
+Texts are classed by length: from ``q`` characters on, from twice, four times as
+many, and so on. A class has grams of one size and windows of as many characters
+as its shortest text; of each window the grams with the least hash are picked. A
+text that stands in another brings its windows along, so what is picked of it is
+picked of the longer one as well. Of each text one gram of its own class, that
+which the fewest texts have, is the key; longer texts are looked up with what is
+picked of them in their own and all shorter classes. Where a key is met, the
+shorter text would have to begin at one place of the longer one, and is compared
+there.
+
+A Bloom filter of the keys, of ``FILTER_BYTES`` at most, goes to all tasks, so
+that picked grams that are nobody's key are not shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-Q = 8
+Q, LONGEST_GRAM = 8, 32
+SLICE_CHARS = 1 << 17
+#: The filter's parts, its size and its bits a key; with more keys it lets more through.
+PARTS, FILTER_BYTES, BITS = 256, 32 << 20, 16
+ROWS = "key long, row long, n int, place int"
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambler of 64-bit words (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _slide(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
+    """The best of each ``size`` neighbours."""
+    step = 1
+    while 2 * step <= size:
+        x, step = best(x[:-step], x[step:]), 2 * step
+    return best(x[: len(x) - size + step], x[size - step :]) if size > step else x
+
+
+def _grams(x: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` neighbours, never 0."""
+    step = 1
+    while step < size:
+        by = min(step, size - step)
+        x, step = x[:-by] * np.uint64(0x9E3779B97F4A7C15 + 2 * by) + x[by:], step + by
+    return _mix(x) | np.uint64(1)
+
+
+def picked(texts: list[str], q: int, own: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(class, text numbers, places from 0, hashes) of the picked grams; of each text in its ``own`` class only, or in that and all shorter ones."""
+    size = np.array([len(t) for t in texts])
+    chars = _mix(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    text, left = np.repeat(np.arange(len(size)), size), np.repeat(np.cumsum(size), size) - np.arange(len(chars))
+    level, least = 0, q
+    while least <= size.max(initial=0):
+        here = (size >= least) & (size < 2 * least) if own else size >= least
+        if here.any():
+            inside = here[text]
+            c, t, r = chars[inside], text[inside], left[inside]
+            gram = max(q, min(least // 2, LONGEST_GRAM))
+            window = least - gram + 1
+            h = _grams(c, gram)
+            low = _slide(h, window, np.minimum)
+            low[r[: len(low)] < least] = 0  # would end in the next text
+            edge = np.zeros(window - 1, np.uint64)
+            at = np.flatnonzero(_slide(np.concatenate((edge, low, edge)), window, np.maximum) == h)
+            yield level, t[at], size[t[at]] - r[at], h[at]
+        level, least = level + 1, 2 * least
+
+
+def _keys(pdf: pd.DataFrame, q: int, own: bool) -> Iterator[pd.DataFrame]:
+    """Rows of ``ROWS`` for a batch of (row, salt, text)."""
+    cut = np.cumsum(pdf["text"].str.len().to_numpy()) // SLICE_CHARS
+    for _, part in pdf.groupby(cut, sort=False):
+        texts, row, salt = part["text"].tolist(), part["row"].to_numpy(), part["salt"].to_numpy().astype(np.int64).view(np.uint64)
+        size = part["text"].str.len().to_numpy()
+        for level, t, place, h in picked(texts, q, own):
+            key = _mix(h ^ _mix(salt[t] + np.uint64(level)))
+            yield pd.DataFrame({"key": key.view(np.int64), "row": row[t], "n": size[t].astype(np.int32), "place": (place + 1).astype(np.int32)})
+
+
+def _probes(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places of a key in its part of the filter, which has ``bits`` bits, a power of two."""
+    return [((key >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 18, 36)]
+
+
+def key_filter(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """(bits of a part, the parts' bytes one after the other) of a Bloom filter of ``key``; a part is made by one task."""
+    wanted = max(1, keys.count()) * BITS // PARTS
+    bits = min(FILTER_BYTES * 8 // PARTS, 1 << max(10, int(wanted).bit_length()))
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for part, own in pdf.groupby("part")["key"]:
+                on = parts.setdefault(part, np.zeros(bits, bool))
+                for at in _probes(own.to_numpy().view(np.uint64), bits):
+                    on[at] = True
+        for part, on in parts.items():
+            yield pd.DataFrame({"part": [part], "bytes": [np.packbits(on, bitorder="little").tobytes()]})
+
+    dealt = keys.select("key", F.shiftrightunsigned("key", 56).cast("int").alias("part")).repartition("part")
+    out = np.zeros((PARTS, bits // 8), np.uint8)
+    for r in dealt.mapInPandas(fill, "part int, bytes binary").collect():  # of a bounded size
+        out[r.part] = np.frombuffer(r.bytes, np.uint8)
+    return bits, out.ravel()
+
+
+def passes(key: np.ndarray, bits: int, known: np.ndarray) -> np.ndarray:
+    """Numbers of the keys that the filter lets through."""
+    key = key.view(np.uint64)
+    left = np.arange(len(key))
+    for i in range(3):
+        k = key[left]
+        at = (k >> np.uint64(56)).astype(np.int64) * bits + _probes(k, bits)[i]
+        left = left[(known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+    return left
+
+
+def _numbered(texts: DataFrame, q: int) -> DataFrame:
+    """(row, grp, id, text, n), written: texts of ``q`` characters and more under a number of their own."""
+    rows = texts.filter(F.col("grp").isNotNull() & (F.length("text") >= q)).select(F.monotonically_increasing_id().alias("row"), "grp", "id", "text", F.length("text").alias("n"))
+    return written(rows, "texts")
+
+
+def _met(rows: DataFrame, q: int) -> DataFrame:
+    """(inner, outer, size, at): row numbers of a text and a longer one that has its key, and where it would begin, from 1."""
+    spark = rows.sparkSession
+    salted = rows.select("row", F.xxhash64("grp").alias("salt"), "text")
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from _keys(pdf, q, True)
+
+    mine = written(salted.mapInPandas(own, ROWS), "grams")
+    often = mine.groupBy("key").agg(F.count("*").alias("often"))
+    rarest = mine.join(often, "key").groupBy("row", "n").agg(F.min(F.struct("often", "place", "key")).alias("r"))
+    keys = written(rarest.select(F.col("r.key").alias("key"), F.col("row").alias("inner"), F.col("n").alias("size"), F.col("r.place").alias("offset")), "keys")
+    bits, known = key_filter(keys)
+    shared = spark.sparkContext.broadcast(known)
+
+    def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for found in _keys(pdf, q, False):
+                yield found.iloc[passes(found["key"].to_numpy(), bits, shared.value)]
+
+    grams = salted.mapInPandas(seen, ROWS)
+    fits = (F.col("n") > F.col("size")) & (F.col("place") >= F.col("offset")) & (F.col("n") - F.col("place") >= F.col("size") - F.col("offset"))
+    return keys.join(grams, "key").filter(fits).select("inner", F.col("row").alias("outer"), "size", (F.col("place") - F.col("offset") + 1).alias("at"))
 
 
 def candidates(texts: DataFrame, q: int = Q) -> DataFrame:
-    """(grp, inner, outer, at): pairs of ids whose texts share the inner one's rarest gram; ``at``: where it would begin, from 1."""
-    grams = texts.filter(F.length("text") >= q).select("grp", "id", F.length("text").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length("text") - q + 1), lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(q))))).alias("place", "gram"))
-    grams = written(grams, "grams")
-    often = grams.groupBy("grp", "gram").agg(F.count("*").alias("often"))
-    rarest = grams.join(often, ["grp", "gram"]).groupBy("grp", "id", "n").agg(F.min(F.struct("often", "place", "gram")).alias("r"))
-    keys = rarest.select("grp", F.col("id").alias("inner"), F.col("n").alias("size"), F.col("r.gram").alias("gram"), F.col("r.place").alias("offset"))
-    met = keys.join(grams, ["grp", "gram"]).filter((F.col("n") > F.col("size")) & (F.col("place") >= F.col("offset")) & (F.col("n") - F.col("place") >= F.col("size") - F.col("offset")))
-    return met.select("grp", "inner", F.col("id").alias("outer"), (F.col("place") - F.col("offset") + 1).alias("at"))
+    """(inner, outer, size, at): numbers of texts of which the longer one has the shorter one's key; ``at``: where that would begin, from 1."""
+    return _met(_numbered(texts, q), q)
 
 
 def contained(texts: DataFrame, q: int = Q) -> DataFrame:
@@ -34,8 +170,9 @@ def contained(texts: DataFrame, q: int = Q) -> DataFrame:
     ``texts``: grp, id, text, with distinct texts in a group. Texts of fewer than
     ``q`` characters are in no pair, as the inner one or the outer one.
     """
-    text = texts.select("grp", "id", "text")
-    pairs = candidates(texts, q)
-    inner = pairs.join(text.select("grp", F.col("id").alias("inner"), F.col("text").alias("short")), ["grp", "inner"])
-    both = inner.join(text.select("grp", F.col("id").alias("outer"), F.col("text").alias("long")), ["grp", "outer"])
-    return both.filter(F.expr("substring(long, at, length(short)) = short")).select("grp", "inner", "outer").distinct()
+    rows = _numbered(texts, q)
+    # Only the piece of the longer text goes on, not all of it.
+    outer = rows.select(F.col("row").alias("outer"), F.col("grp").alias("outer_grp"), F.col("id").alias("outer_id"), "text")
+    pieces = _met(rows, q).join(outer, "outer").select("inner", "outer_grp", "outer_id", F.substring("text", F.col("at"), F.col("size")).alias("piece"))
+    both = pieces.join(rows.select(F.col("row").alias("inner"), "grp", "id", "text"), "inner")
+    return both.filter((F.col("piece") == F.col("text")) & (F.col("grp") == F.col("outer_grp"))).select("grp", F.col("id").alias("inner"), F.col("outer_id").alias("outer")).distinct()
