@@ -97,9 +97,12 @@ def committed(spark, d):
 
 @query("a09_text_points", f"WITH {CHUNKS}, s AS (SELECT chunk_id, content, unnest(regexp_extract_all(lower(content), '[a-z]{{4,}}')) AS w FROM chunks), c AS (SELECT chunk_id, content, length(w) AS i, count(*) AS n FROM s GROUP BY ALL) SELECT chunk_id, content, string_agg(i, ',' ORDER BY i) AS indices, string_agg(n, ',' ORDER BY i) AS weights FROM c GROUP BY ALL")
 def text_points(spark, d):
-    # Word lengths stand for token ids, their counts for weights.
-    w = chunks(spark, d).select("chunk_id", "content", F.explode(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
-    m = w.groupBy("chunk_id", "content", F.length("w").alias("i")).agg(F.count("*").alias("n")).groupBy("chunk_id", "content").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("sparse"))
+    # Word lengths stand for token ids, their counts for weights. Chunks that come again have the same words: they are counted, and then looked into.
+    word, low = "[a-z]{4,}", F.lower("content")
+    c = chunks(spark, d).select("chunk_id", "content").filter(low.rlike(word)).groupBy("chunk_id", "content").agg(F.count("*").alias("times"))
+    lengths = F.transform(F.regexp_extract_all(low, F.lit(word), F.lit(0)), F.length)
+    counted = lambda l: F.transform(F.array_distinct(l), lambda i: F.struct(i.alias("i"), (F.size(F.filter(l, lambda x: x == i)) * F.col("times")).alias("n")))  # noqa: E731, E741
+    m = c.select("chunk_id", "content", F.map_from_entries(text.once(lengths, counted)).alias("sparse"))
     p = ingest.text_points(m, ["chunk_id", "content"])
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return p.select("chunk_id", "content", joined("indices"), joined("weights"))
