@@ -28,6 +28,8 @@ DEVICE_COMMON = [
     "THE", "AND", "FOR", "WITH", "FROM", "THIS", "THAT", "WHEN", "WHAT", "HOW", "ARE", "WAS", "NOT", "BUT", "ALL", "CAN", "HAS", "HAVE", "ITS",
     "INTO", "AFTER", "BEFORE", "DURING", "VALUE", "SETTING", "PAGE", "CHAPTER", "SECTION", "FIG", "TABLE", "REV", "PDF", "DOC", "TORR",
 ]
+# A whole run of letters and digits: letters with a digit after them, or three at least without small letters but with a capital, or letters from a capital on.
+DEVICE_NAME = "(?<![0-9A-Za-z])(?:[A-Za-z]++[0-9][0-9A-Za-z]*+|(?=[0-9]*+[A-Z])[0-9A-Z]{3,}+(?![a-z])|[A-Z][A-Za-z]{2,}+(?![0-9]))"
 GLUE_WORDS = "the|and|that|with|for|are|was|were|this|which|from|been|have|into|using|used|will|than|then|these|those"
 KEY_PUNCTUATION = r"[\s，。、;；:：,\.\"'“”‘’「」『』【】\[\]()（）·—\-]"
 FINGERPRINT_PUNCTUATION = r"[\s　，。！？；：、,.!?;:\"'（）()\[\]【】<>《》…\-_/\\]+"
@@ -162,14 +164,11 @@ def heading_number(c: Column) -> Column:
 
 def device_tokens(c: Column, most: int = 16) -> Column:
     """Model names: letter-digit mixes and capitals first, then capitalised words; upper case, distinct."""
-    runs = F.regexp_extract_all(filled(c), F.lit("[0-9A-Za-z]+"), F.lit(0))
-    common = F.array(*map(F.lit, DEVICE_COMMON))
-    mixed = lambda f: f.rlike("^[A-Za-z]") & f.rlike("[0-9]")
-    plain = lambda f: ~mixed(f) & (F.length(f) >= 3) & ~F.array_contains(common, F.upper(f))
-    capitals = lambda f: plain(f) & f.rlike("[A-Z]") & (f == F.upper(f))
-    strong = F.transform(F.filter(runs, lambda f: mixed(f) | capitals(f)), F.upper)
-    weak = F.transform(F.filter(runs, lambda f: plain(f) & ~capitals(f) & f.rlike("^[A-Z]")), F.upper)
-    return F.slice(F.array_distinct(F.concat(strong, weak)), 1, most)
+    found = F.regexp_extract_all(filled(c), F.lit(DEVICE_NAME), F.lit(0))
+    strong = lambda f: f.rlike("[0-9]") | (f == F.upper(f))
+    ordered = lambda names: F.concat(F.filter(names, strong), F.filter(names, lambda f: ~strong(f)))
+    names = once(F.filter(found, lambda f: ~F.upper(f).isin(DEVICE_COMMON)), ordered)
+    return F.slice(F.array_distinct(F.transform(names, F.upper)), 1, most)
 
 
 def numbers(c: Column) -> Column:
