@@ -25,7 +25,7 @@ from . import vector_lists
 #: What rounding may do to a cosine.
 SLACK = 1e-8
 #: Blocks are compared by strips of so many bytes, of which a task holds two.
-STRIP_BYTES, MOST_TASKS = 4 << 20, 1000
+STRIP_BYTES, MOST_TASKS = 16 << 20, 1000
 
 
 def roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
