@@ -143,8 +143,9 @@ def _met(rows: DataFrame, q: int) -> DataFrame:
             yield from _keys(pdf, q, True)
 
     mine = written(salted.mapInPandas(own, ROWS), "grams")
-    often = mine.groupBy("key").agg(F.count("*").alias("often"))
-    rarest = mine.join(often, "key").groupBy("row", "n").agg(F.min(F.struct("often", "place", "key")).alias("r"))
+    # Written, so that the join is shuffled by itself and Spark can split a key that many texts have.
+    often = written(mine.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    rarest = mine.join(often, "key", "left").groupBy("row", "n").agg(F.min(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "place", "key")).alias("r"))
     keys = written(rarest.select(F.col("r.key").alias("key"), F.col("row").alias("inner"), F.col("n").alias("size"), F.col("r.place").alias("offset")), "keys")
     bits, known = key_filter(keys)
     shared = spark.sparkContext.broadcast(known)
