@@ -59,6 +59,8 @@ def code_hits(spark, d, asked):
     """(query_id, hit): the first six documents that hold a code of the document of the query's number."""
     c = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.alarm_codes(F.col("text")))).alias("code"))
     own = c.withColumnRenamed("doc_id", "query_id").join(asked.select("query_id").distinct(), "query_id", "left_semi")
+    # Of a code no more than its first seven documents can be among a query's first six, which are others than its own.
+    c = c.filter("doc_id is not null").withColumn("n", F.dense_rank().over(Window.partitionBy("code").orderBy("doc_id"))).filter("n <= 7").drop("n")
     hits = own.join(c.withColumnRenamed("doc_id", "hit"), "code").filter("query_id <> hit").select("query_id", "hit").distinct()
     return hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("hit"))).filter("n <= 6").drop("n")
 

@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
+import __spark_entry__ as entry
 from lodestack.operators import sparse
+from lodestack.plans.predicates import code_hits
 
 
 def brute_force(rows, queries, k):
@@ -119,3 +121,20 @@ def test_neither_postings_nor_scores_are_shuffled(spark):
     asked_terms = {t for _, t, _ in weights}
     assert index.rows.count() == sum(t in asked_terms for _, t, _ in impacts)
     assert moved < 300_000, moved
+
+
+def test_hybrid_search_shuffles_no_texts(spark):
+    d = "/root/testdata/sf0.01"
+    began = shuffled(spark)
+    assert entry.queries()["j01_hybrid_search"](spark, d).count() > 50
+    moved = shuffled(spark) - began
+    assert moved < 2_000_000, moved
+
+
+def test_codes_of_many_documents(spark, tmp_path):
+    """The first six hits of a query, where a code is in many documents and a document in several rows."""
+    rows = [(i, f"code 4711 and {300 + i % 3}") for i in range(40)] + [(0, "4711"), (2, "4711 302"), (2, "300"), (None, "4711"), (50, "815"), (51, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = spark.createDataFrame([(0,), (5,), (39,), (50,), (60,)], "query_id long")
+    got = sorted(map(tuple, code_hits(spark, str(tmp_path), asked).collect()))
+    assert got == [(0, x) for x in range(1, 7)] + [(5, x) for x in (0, 1, 2, 3, 4, 6)] + [(39, x) for x in range(6)]
