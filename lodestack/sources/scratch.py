@@ -31,3 +31,10 @@ def dropped(*tables: DataFrame) -> None:
             spark = df.sparkSession
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def packed(df: DataFrame, name: str) -> DataFrame:
+    """``written``, for long texts: a third smaller, and slower to write."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

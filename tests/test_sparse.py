@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from lodestack.operators import sparse
 from lodestack.plans.predicates import code_hits
+from measured import shuffled
 
 
 def brute_force(rows, queries, k):
@@ -88,14 +89,6 @@ def test_index_for_stated_queries(spark, monkeypatch):
     assert found(sparse.index_texts(docs, asked)) == found(whole)
 
 
-def shuffled(spark):
-    """Bytes that all stages so far have shuffled."""
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    jvm = spark.sparkContext._gateway
-    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
-    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
-
-
 def test_neither_postings_nor_scores_are_shuffled(spark):
     """Most documents share a word with most queries; only best rows move. Documents go on over batches, some come in two rows, queries come twice."""
     rng = random.Random(5)

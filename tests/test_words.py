@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from lodestack.functions.text import GLUE_WORDS
 from lodestack.operators import containment, segmentation, terms, validation
+from measured import shuffled
 
 
 def all_splits(run, costs, alone):
@@ -124,6 +125,26 @@ def test_candidates_follow_the_results(spark):
     assert found <= n <= max(3 * found, every / 50)
 
 
+def test_only_compared_lines_are_shuffled(spark):
+    """Lines that share a phrase with many others but stand in none stay where they are."""
+    rng = random.Random(6)
+    line = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    phrases = [line(30) for _ in range(5)]
+    texts = [line(300) + rng.choice(phrases) + line(300) for _ in range(1500)] + [line(20) + rng.choice(phrases) + line(20) for _ in range(1500)]
+    texts += [t[200:500] for t in texts[:20]]
+    lines = spark.createDataFrame([("g", i, t) for i, t in enumerate(texts)], "grp string, id int, text string").repartition(4).cache()
+    lines.count()
+    small, began = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        got = sorted(map(tuple, containment.contained(lines).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    moved = shuffled(spark) - began
+    assert got == sorted(("g", i, k) for i, x in enumerate(texts[3000:], 3000) for k, y in enumerate(texts) if len(x) < len(y) and x in y) and len(got) == 20
+    assert moved < 800_000, moved  # the texts are 1,150,000
+
+
 def plain_replaced(text, pairs):
     """The longest term first in one alternation, with word bounds for ASCII."""
     own = {k: v for k, v in pairs.items() if k.isascii() == text.isascii()}
