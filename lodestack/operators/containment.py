@@ -35,6 +35,8 @@ PARTS, FILTER_BYTES, BITS = 256, 128 << 20, 16
 ROWS = "key long, row long, n int, place int, around long"
 #: Characters on each side of a gram that are told by four bits.
 AROUND = 8
+#: Grams of several texts whose numbers are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -163,6 +165,8 @@ def _met(rows: DataFrame, q: int) -> DataFrame:
     mine = written(salted.mapInPandas(own, ROWS), "grams")
     # Written, so that the join is shuffled by itself and Spark can split a key that many texts have.
     often = written(mine.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    often = F.broadcast(often) if often.count() <= BROADCAST_ROWS else often
+    # A text's grams stand one after the other: where they have not been shuffled, one row a text is.
     rarest = mine.join(often, "key", "left").groupBy("row", "n").agg(F.min(F.struct(F.coalesce("often", F.lit(1)).alias("often"), "place", "key", "around")).alias("r"))
     keys = written(rarest.select(F.col("r.key").alias("key"), F.col("row").alias("inner"), F.col("n").alias("size"), F.col("r.place").alias("offset"), F.col("r.around").alias("own")), "keys")
     bits, known = key_filter(keys)
